@@ -149,7 +149,7 @@ def _mode(df: DataFrame, c: str, prefix: str) -> DataFrame:
 def time_clusters(anomalies: DataFrame, sales: DataFrame, above: int = 2) -> DataFrame:
     """Hours of a day with several anomalous sales, and what those sales share."""
     slot = [*KEY, "date", "hour"]
-    hit = anomalous_sales(anomalies, sales).dropna("any", ["date", "hour"])
+    hit = anomalous_sales(anomalies, sales).dropna(subset=["date", "hour"])
     counts = hit.groupBy(*slot).agg(F.count(F.lit(1)).alias("anomaly_count")).where(F.col("anomaly_count") > above)
     both = counts.join(_mode(hit, "employee_id", "same_employee_"), slot, "left").join(
         _mode(hit, "payment_method", "same_payment_method_"), slot, "left"
@@ -163,7 +163,7 @@ def time_clusters(anomalies: DataFrame, sales: DataFrame, above: int = 2) -> Dat
 def cluster_sales(anomalies: DataFrame, sales: DataFrame, above: int = 2) -> DataFrame:
     """The sales of each cluster, one row per sale."""
     slot = [*KEY, "date", "hour"]
-    hit = anomalous_sales(anomalies, sales).dropna("any", ["date", "hour"])
+    hit = anomalous_sales(anomalies, sales).dropna(subset=["date", "hour"])
     counts = hit.groupBy(*slot).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > above)
     return attach(hit, counts, slot, "inner", weight="n").select(*slot, "sale_id")
 

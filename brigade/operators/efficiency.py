@@ -13,7 +13,7 @@ KEY = ["location_id"]
 
 def rates(sales: DataFrame, *by: str) -> DataFrame:
     """Transactions, revenue, items and both per transaction; rows without a key do not count."""
-    known = sales.dropna("any", list(by)) if by else sales
+    known = sales.dropna(subset=list(by)) if by else sales
     n = F.count("sale_id")
     revenue = F.coalesce(F.sum(F.col("total_amount").cast(MONEY)), F.lit(0))
     items = F.coalesce(F.sum("number_of_items"), F.lit(0)).cast("long")

@@ -176,7 +176,8 @@ def substring_pairs(texts: DataFrame, text: str, needles: DataFrame, needle: str
         texts.select(F.col(text))
         .distinct()
         .withColumn("_text", F.lower(text))
-        .withColumn("_len", F.explode(F.filter(lengths, lambda n: n <= F.length("_text"))))
+        .withColumn("_len", F.explode(lengths))
+        .where(F.col("_len") <= F.length("_text"))
     )
     pieces = sized.select(
         text,

@@ -1,6 +1,8 @@
 """All registered queries."""
 
 from brigade.plans import (  # noqa: F401
+    anomaly_queries,
+    dashboard_queries,
     kpi_queries,
 )
 from brigade.plans.registry import QUERIES, SQL, runnable  # noqa: F401
