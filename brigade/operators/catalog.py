@@ -25,6 +25,26 @@ PERIOD_WORDS = (
     "last year", "past year", "this year",
     "all time", "overall",
 )
+COLUMN_WORDS = {
+    "sales": {
+        "total amount": "total_amount", "total_amount": "total_amount", "amount": "total_amount",
+        "subtotal": "subtotal", "tips": "tip", "tip": "tip", "comps": "comps", "voids": "voids",
+        "promos": "promos", "discount": "discount_applied", "tax": "tax", "revenue": "total_amount",
+    },
+    "inventory": {
+        "quantity": "quantity", "stock": "quantity", "amount": "quantity", "unit cost": "unit_cost",
+        "cost": "unit_cost", "par level": "par_level", "par": "par_level",
+    },
+    "menu": {
+        "selling price": "item_price", "price": "item_price", "unit cost": "unit_cost", "cost": "unit_cost",
+        "profit margin": "profit_margin", "margin": "profit_margin",
+    },
+    "labor": {
+        "hours worked": "hours_worked", "hours": "hours_worked", "total wages": "total_wages",
+        "wages": "total_wages", "hourly rate": "hourly_rate", "rate": "hourly_rate",
+        "overtime": "overtime_hours", "overtime hours": "overtime_hours",
+    },
+}
 DEFAULT_COLUMNS = {"sales": "total_amount", "inventory": "quantity", "menu": "item_price", "labor": "hours_worked"}
 
 
@@ -289,10 +309,11 @@ def column_by_date(df: DataFrame, column: str, bounds: tuple[dt.date, dt.date])
     return periods.between(df, periods.checked_range(*bounds)).select(*KEY, "date", F.col(column).alias("value"))
 
 
-def column_for(question: str, words: Mapping[str, str], table: str) -> str:
+def column_for(question: str, table: str, words: Mapping[str, str] | None = None) -> str:
     """Column named by the first known word in the question, else the table's default."""
     low = question.lower()
-    return next((c for w, c in words.items() if w in low), DEFAULT_COLUMNS[table])
+    known = COLUMN_WORDS[table] if words is None else words
+    return next((c for w, c in known.items() if w in low), DEFAULT_COLUMNS[table])
 
 
 def match_questions(

@@ -50,13 +50,18 @@ CHANNELS = {
 ANY_AUDIENCE, ANY_CHANNEL = ("General audience",), ("All channels",)
 
 
+def _pick(subject: Column, n: Column) -> Column:
+    """A place from 1 to n, fixed by the subject."""
+    return (F.conv(F.substring(F.md5(subject), 1, 7), 16, 10).cast("bigint") % n + 1).cast("int")
+
+
 def pick_offer(kind: Column, subject: Column) -> Column:
     """An offer title of the kind, chosen by a hash of the subject: the same on every run."""
     table = F.create_map(
         *[x for k, titles in OFFERS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in titles]))]
     )
     titles = table[kind]
-    return F.element_at(titles, (F.pmod(F.xxhash64(subject), F.size(titles)) + 1).cast("int"))
+    return F.element_at(titles, _pick(subject, F.size(titles)))
 
 
 def sales_dips(daily: DataFrame) -> DataFrame:
@@ -200,8 +205,7 @@ def campaign_copy(suggestions: DataFrame, templates: DataFrame) -> DataFrame:
     )
     channels = sets.agg(F.collect_list(F.struct("channel", "_texts"))).scalar()
     each = suggestions.withColumn("_c", F.explode(channels))
-    pick = (F.pmod(F.xxhash64("item"), F.size("_c._texts")) + 1).cast("int")
-    text = F.element_at(F.col("_c._texts"), pick)
+    text = F.element_at(F.col("_c._texts"), _pick(F.col("item"), F.size("_c._texts")))
     filled = F.replace(F.replace(text, F.lit("{item}"), F.col("item")), F.lit("{offer}"), F.col("offer"))
     return each.withColumn("channel", F.col("_c.channel")).withColumn("copy", filled).drop("_c")
 

@@ -54,7 +54,8 @@ def unit(v: Column | str) -> Column:
     """Vector of length one; null for the zero vector."""
     v = doubles(v)
     norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    # the norm rides along as a second array, so that it is computed once and not per element
+    return F.when(norm > 0, F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: x / n))
 
 
 def similar_chunks(
@@ -113,9 +114,9 @@ def already_embedded(files: DataFrame, chunks: DataFrame, keys: Sequence[str]) -
     return files.join(chunks.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def reduced(v: Column | str, length: int = REDUCED_LENGTH) -> Column:
+def with_reduced(df: DataFrame, vector: str, name: str, length: int = REDUCED_LENGTH) -> DataFrame:
     """Means of consecutive triples, cut or zero-padded to ``length``, scaled to length one."""
-    v = doubles(v)
+    v = F.col("_v")
     groups = F.floor(F.size(v) / 3).cast("int")
     means = F.when(
         groups > 0,
@@ -125,7 +126,12 @@ def reduced(v: Column | str, length: int = REDUCED_LENGTH) -> Column:
         ),
     ).otherwise(F.array().cast("array<double>"))
     padded = F.slice(F.concat(means, F.array_repeat(F.lit(0.0), length)), 1, length)
-    return F.coalesce(unit(padded), padded)
+    return (
+        df.withColumn("_v", doubles(vector))
+        .withColumn("_p", padded)
+        .withColumn(name, F.coalesce(unit("_p"), F.col("_p")))
+        .drop("_v", "_p")
+    )
 
 
 def conversations_newest_first(history: DataFrame, conversation: str, turn: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from brigade.plans import (  # noqa: F401
     anomaly_queries,
+    catalog_queries,
     dashboard_queries,
     kpi_queries,
+    service_queries,
 )
 from brigade.plans.registry import QUERIES, SQL, runnable  # noqa: F401
