@@ -6,6 +6,9 @@ is never one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,20 +24,20 @@ REPEATED, OUTLIER = "repeated_identical_transactions", "unusual_transaction"
 SUSPECT_METHODS = ("Bitcoin", "Cryptocurrency", "Gift Card", "Wire Transfer")
 
 
-def amount_stats(sales: DataFrame, *by: str) -> DataFrame:
+def amount_stats(sales: DataFrame, *by: str, more: Sequence[Column] = ()) -> DataFrame:
     """Mean and sample spread of the amounts; n counts rows, for fan-out of hot keys."""
     x = F.col("total_amount")
     return sales.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         ratio(F.sum(x.cast("decimal(18,2)")), F.count(x)).alias("mean_amount"),
         F.stddev_samp(dbl(x)).alias("std_amount"),
+        *more,
     )
 
 
 def with_z(sales: DataFrame, *by: str) -> DataFrame:
     """z-score of each amount against its group; null where the group has no spread."""
-    z = (dbl("total_amount") - F.col("mean_amount")) / F.when(F.col("std_amount") > 0, F.col("std_amount"))
-    return attach(sales, amount_stats(sales, *by), by, weight="n").withColumn("z_score", z)
+    return attach(sales, amount_stats(sales, *by), by, weight="n").withColumn("z_score", _z("mean_amount", "std_amount"))
 
 
 def business_hours(sales: DataFrame, quantile: float = 0.25, drop_night: bool = True) -> DataFrame:
@@ -47,23 +50,46 @@ def business_hours(sales: DataFrame, quantile: float = 0.25, drop_night: bool =
     return busy.select(*KEY, "hour", "cnt")
 
 
+def location_profile(sales: DataFrame, quantile: float = 0.25) -> DataFrame:
+    """One row per location: amounts' mean and spread, and its busy hours (at most 24)."""
+    busy = business_hours(sales, quantile, drop_night=False).groupBy(*KEY).agg(
+        F.collect_set("hour").alias("busy_hours")
+    )
+    stats = amount_stats(sales, *KEY, more=[F.count("hour").alias("timed")])
+    return stats.join(busy, KEY, "left")
+
+
+def _off(drop_night: bool) -> Column:
+    """Is the hour no business hour? A null hour is unusual; a location without any hour gives no flag."""
+    inside = F.coalesce(F.array_contains("busy_hours", F.col("hour")), F.lit(False))
+    if drop_night:
+        inside = inside & ~F.col("hour").isin(*NIGHT_HOURS)
+    return F.when(F.col("timed") > 0, ~inside).otherwise(F.lit(False))
+
+
+def _z(mean: str, std: str) -> Column:
+    return (dbl("total_amount") - F.col(mean)) / F.when(F.col(std) > 0, F.col(std))
+
+
+PROFILE = ("n", "mean_amount", "std_amount", "timed", "busy_hours")
+
+
+def with_profile(sales: DataFrame, quantile: float = 0.25) -> DataFrame:
+    """Location z-score and the two off-hours flags, from one attach."""
+    df = attach(sales, location_profile(sales, quantile), KEY, weight="n")
+    return (
+        df.withColumn("z_score", _z("mean_amount", "std_amount"))
+        .withColumn("off_hours", _off(True))
+        .withColumn("off_hours_with_night", _off(False))
+        .drop(*PROFILE)
+    )
+
+
 def flag_off_hours(
     sales: DataFrame, name: str = "off_hours", quantile: float = 0.25, drop_night: bool = True
 ) -> DataFrame:
-    """True where the hour is no business hour; a null hour counts as unusual.
-
-    A location without any hour at all gives no flag.
-    """
-    hours = business_hours(sales, quantile, drop_night)
-    known = sales.groupBy(*KEY).agg(F.count("hour").alias("_timed"), F.count(F.lit(1)).alias("_n"))
-    busy = hours.groupBy(*KEY).agg(F.collect_set("hour").alias("_busy"))  # at most 24 values
-    per_location = known.join(busy, KEY, "left")
-    inside = F.coalesce(F.array_contains("_busy", F.col("hour")), F.lit(False))
-    return (
-        attach(sales, per_location, KEY, weight="_n")
-        .withColumn(name, F.when(F.col("_timed") > 0, ~inside).otherwise(F.lit(False)))
-        .drop("_busy", "_timed", "_n")
-    )
+    df = attach(sales, location_profile(sales, quantile), KEY, weight="n")
+    return df.withColumn(name, _off(drop_night)).drop(*PROFILE)
 
 
 def method_shares(sales: DataFrame) -> DataFrame:
@@ -82,84 +108,126 @@ def with_method_share(sales: DataFrame) -> DataFrame:
     return attach(sales, shares, [*KEY, "payment_method"], weight="n").drop("n")
 
 
-def _shape(
-    df: DataFrame, category: str, severity: Column, score: Column | None = None, pattern: str | None = None
-) -> DataFrame:
-    score = F.lit(None) if score is None else score
-    return df.select(
-        "location_id",
-        F.lit(category).alias("category"),
-        F.lit(pattern).cast("string").alias("pattern"),
-        "sale_id",
-        "employee_id",
-        F.col("total_amount").alias("amount"),
-        "date",
-        "hour",
-        score.cast("double").alias("score"),
-        severity.alias("severity"),
+def with_employee_z(sales: DataFrame) -> DataFrame:
+    """Number of sales and z-score within the employee's own sales."""
+    keys = [*KEY, "employee_id"]
+    stats = amount_stats(sales.where(F.col("employee_id").isNotNull()), *keys)
+    df = attach(sales, stats, keys, weight="n")
+    return (
+        df.withColumn("employee_z", _z("mean_amount", "std_amount"))
+        .withColumnRenamed("n", "employee_sales")
+        .drop("mean_amount", "std_amount")
     )
 
 
-def high_value(sales: DataFrame, threshold: float = 12.0, high_above: float = 5.0) -> DataFrame:
-    hit = with_z(sales, *KEY).where(F.col("z_score") > threshold)
-    return _shape(
-        hit, "high_value_transactions",
-        F.when(F.col("z_score") > high_above, "high").otherwise("medium"), F.col("z_score"),
+def with_repeats(sales: DataFrame, at_least: int = 10) -> DataFrame:
+    """How often the employee booked this very amount, where that is often; else null."""
+    keys = [*KEY, "employee_id", "total_amount"]
+    known = sales.where(F.col("employee_id").isNotNull() & F.col("total_amount").isNotNull())
+    often = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats")).where(F.col("repeats") >= at_least)
+    return attach(sales, often, keys, weight="repeats")
+
+
+class Kind(NamedTuple):
+    category: str
+    pattern: str | None
+    test: Column
+    score: Column
+    severity: Column
+
+
+def _kind_high_value(threshold: float = 12.0, high_above: float = 5.0) -> Kind:
+    z = F.col("z_score")
+    return Kind("high_value_transactions", None, z > threshold, z, F.when(z > high_above, "high").otherwise("medium"))
+
+
+def _kind_unusual_time() -> Kind:
+    return Kind("unusual_time_transactions", None, F.col("off_hours"), F.lit(None), F.lit("medium"))
+
+
+def _kind_repeated(high_at: int = 5) -> Kind:
+    n = F.col("repeats")
+    return Kind(EMPLOYEE_KIND, REPEATED, n.isNotNull(), n, F.when(n >= high_at, "high").otherwise("medium"))
+
+
+def _kind_outlier(threshold: float = 2.0, min_sales: int = 8, high_above: float = 5.0) -> Kind:
+    z = F.col("employee_z")
+    test = (F.col("employee_sales") >= min_sales) & (F.abs(z) > threshold)
+    return Kind(EMPLOYEE_KIND, OUTLIER, test, z, F.when(F.abs(z) > high_above, "high").otherwise("medium"))
+
+
+def _kind_payment(below: float = 0.10) -> Kind:
+    share = F.col("method_share")
+    test = (share < below) | F.col("payment_method").isin(*SUSPECT_METHODS)
+    return Kind("payment_method_anomalies", None, test, share, F.lit("low"))
+
+
+def _kind_discount(above: float = 20.0, medium_above: float = 50.0) -> Kind:
+    pct = F.col("discount_percent")
+    return Kind("discount_anomalies", None, pct > above, pct, F.when(pct > medium_above, "medium").otherwise("low"))
+
+
+def _rows(df: DataFrame, *kinds: Kind) -> DataFrame:
+    """One row per sale and kind that applies, all kinds in one pass over the sales."""
+    found = F.array(
+        *[
+            F.when(
+                k.test,
+                F.struct(
+                    F.lit(k.category).alias("category"),
+                    F.lit(k.pattern).cast("string").alias("pattern"),
+                    k.score.cast("double").alias("score"),
+                    k.severity.alias("severity"),
+                ),
+            )
+            for k in kinds
+        ]
+    )
+    hits = df.select(
+        *KEY, "sale_id", "employee_id", F.col("total_amount").alias("amount"), "date", "hour",
+        F.explode(F.filter(found, lambda x: x.isNotNull())).alias("_k"),
     )
+    return hits.select(
+        *KEY, "_k.category", "_k.pattern", "sale_id", "employee_id", "amount", "date", "hour", "_k.score", "_k.severity"
+    )
+
+
+def high_value(sales: DataFrame, threshold: float = 12.0, high_above: float = 5.0) -> DataFrame:
+    return _rows(with_profile(sales), _kind_high_value(threshold, high_above))
 
 
 def unusual_time(sales: DataFrame, quantile: float = 0.25) -> DataFrame:
-    hit = flag_off_hours(sales, "off_hours", quantile).where("off_hours")
-    return _shape(hit, "unusual_time_transactions", F.lit("medium"))
+    return _rows(with_profile(sales, quantile), _kind_unusual_time())
 
 
 def repeated_identical(sales: DataFrame, at_least: int = 10, high_at: int = 5) -> DataFrame:
     """Every sale of an (employee, amount) pair seen at least so often."""
-    keys = [*KEY, "employee_id", "total_amount"]
-    known = sales.where(F.col("employee_id").isNotNull() & F.col("total_amount").isNotNull())
-    often = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
-    hit = attach(known, often, keys, "inner", weight="n")
-    severity = F.when(F.col("n") >= high_at, "high").otherwise("medium")
-    return _shape(hit, EMPLOYEE_KIND, severity, F.col("n"), REPEATED)
+    return _rows(with_repeats(sales, at_least), _kind_repeated(high_at))
 
 
 def employee_outliers(
     sales: DataFrame, threshold: float = 2.0, min_sales: int = 8, high_above: float = 5.0
 ) -> DataFrame:
     """Amounts far from the employee's own mean, for employees with enough sales."""
-    known = sales.where(F.col("employee_id").isNotNull())
-    z = with_z(known, *KEY, "employee_id")
-    hit = z.where((F.col("n") >= min_sales) & (F.abs("z_score") > threshold))
-    severity = F.when(F.abs("z_score") > high_above, "high").otherwise("medium")
-    return _shape(hit, EMPLOYEE_KIND, severity, F.col("z_score"), OUTLIER)
+    return _rows(with_employee_z(sales), _kind_outlier(threshold, min_sales, high_above))
 
 
 def unusual_payment(sales: DataFrame, below: float = 0.10) -> DataFrame:
-    shares = with_method_share(sales)
-    hit = shares.where((F.col("method_share") < below) | F.col("payment_method").isin(*SUSPECT_METHODS))
-    return _shape(hit, "payment_method_anomalies", F.lit("low"), F.col("method_share"))
+    return _rows(with_method_share(sales), _kind_payment(below))
 
 
 def high_discount(sales: DataFrame, above: float = 20.0, medium_above: float = 50.0) -> DataFrame:
-    hit = sales.where(F.col("discount_percent") > above)
-    severity = F.when(F.col("discount_percent") > medium_above, "medium").otherwise("low")
-    return _shape(hit, "discount_anomalies", severity, F.col("discount_percent"))
-
-
-def all_anomalies(sales: DataFrame, high_value_threshold: float = 12.0) -> DataFrame:
-    """All kinds in one table."""
-    parts = [
-        high_value(sales, high_value_threshold),
-        unusual_time(sales),
-        repeated_identical(sales),
-        employee_outliers(sales),
-        unusual_payment(sales),
-        high_discount(sales),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return _rows(sales, _kind_discount(above, medium_above))
+
+
+def all_anomalies(sales: DataFrame, high_value_threshold: float = 12.0, repeated_at_least: int = 10) -> DataFrame:
+    """All kinds in one table, found in a single pass once the group figures are attached."""
+    df = with_repeats(with_employee_z(with_method_share(with_profile(sales))), repeated_at_least)
+    return _rows(
+        df,
+        _kind_high_value(high_value_threshold), _kind_unusual_time(), _kind_repeated(),
+        _kind_outlier(), _kind_payment(), _kind_discount(),
+    )
 
 
 def baseline(sales: DataFrame, as_of) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brigade.functions.numbers import ratio
-from brigade.operators.anomaly import KEY, amount_stats, flag_off_hours, with_method_share, with_z
+from brigade.operators.anomaly import KEY, amount_stats, flag_off_hours, with_method_share, with_profile
 from brigade.operators.efficiency import first_per_employee
 from brigade.operators.spread import attach
 
@@ -23,11 +23,11 @@ def risk_transactions(
     rare_below: float = 0.05, high_from: int = 3,
 ) -> DataFrame:
     """Sales with at least one risk factor."""
-    df = with_method_share(flag_off_hours(with_z(sales, *KEY), "off_hours", drop_night=False))
+    df = with_method_share(with_profile(sales))
     factors = factor_list(
         {
             "high_value": F.col("z_score") > z_above,
-            "unusual_time": F.col("off_hours"),
+            "unusual_time": F.col("off_hours_with_night"),
             "high_discount": F.col("discount_percent") > discount_above,
             "rare_payment": F.col("method_share") < rare_below,
         }
