@@ -74,58 +74,57 @@ def _z(mean: str, std: str) -> Column:
 PROFILE = ("n", "mean_amount", "std_amount", "timed", "busy_hours")
 
 
-def with_profile(sales: DataFrame, quantile: float = 0.25) -> DataFrame:
+# Each with_* takes the rows to extend and, where those carry joins already, the plain sales to
+# take the group figures from.
+
+
+def with_profile(df: DataFrame, base: DataFrame | None = None, quantile: float = 0.25) -> DataFrame:
     """Location z-score and the two off-hours flags, from one attach."""
-    df = attach(sales, location_profile(sales, quantile), KEY, weight="n")
     return (
-        df.withColumn("z_score", _z("mean_amount", "std_amount"))
+        attach(df, location_profile(df if base is None else base, quantile), KEY, weight="n")
+        .withColumn("z_score", _z("mean_amount", "std_amount"))
         .withColumn("off_hours", _off(True))
         .withColumn("off_hours_with_night", _off(False))
         .drop(*PROFILE)
     )
 
 
-def flag_off_hours(
-    sales: DataFrame, name: str = "off_hours", quantile: float = 0.25, drop_night: bool = True
-) -> DataFrame:
-    df = attach(sales, location_profile(sales, quantile), KEY, weight="n")
-    return df.withColumn(name, _off(drop_night)).drop(*PROFILE)
-
-
 def method_shares(sales: DataFrame) -> DataFrame:
     """Share of each payment method in its location; sales without a method do not count."""
     counts = sales.where(F.col("payment_method").isNotNull()).groupBy(*KEY, "payment_method").agg(
         F.count(F.lit(1)).alias("n")
     )
-    totals = counts.groupBy(*KEY).agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_methods"))
-    return attach(counts, totals, KEY, "inner", weight="_methods").select(
+    totals = counts.groupBy(*KEY).agg(F.sum("n").alias("_total"))
+    return counts.join(totals, KEY).select(
         *KEY, "payment_method", "n", ratio("n", "_total").alias("method_share")
     )
 
 
-def with_method_share(sales: DataFrame) -> DataFrame:
-    shares = method_shares(sales)
-    return attach(sales, shares, [*KEY, "payment_method"], weight="n").drop("n")
+def with_method_share(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    shares = method_shares(df if base is None else base)
+    return attach(df, shares, [*KEY, "payment_method"], weight="n").drop("n")
 
 
-def with_employee_z(sales: DataFrame) -> DataFrame:
+def with_employee_z(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Number of sales and z-score within the employee's own sales."""
     keys = [*KEY, "employee_id"]
-    stats = amount_stats(sales.where(F.col("employee_id").isNotNull()), *keys)
-    df = attach(sales, stats, keys, weight="n")
+    stats = amount_stats((df if base is None else base).where(F.col("employee_id").isNotNull()), *keys)
     return (
-        df.withColumn("employee_z", _z("mean_amount", "std_amount"))
+        attach(df, stats, keys, weight="n")
+        .withColumn("employee_z", _z("mean_amount", "std_amount"))
         .withColumnRenamed("n", "employee_sales")
         .drop("mean_amount", "std_amount")
     )
 
 
-def with_repeats(sales: DataFrame, at_least: int = 10) -> DataFrame:
+def with_repeats(df: DataFrame, base: DataFrame | None = None, at_least: int = 10) -> DataFrame:
     """How often the employee booked this very amount, where that is often; else null."""
     keys = [*KEY, "employee_id", "total_amount"]
-    known = sales.where(F.col("employee_id").isNotNull() & F.col("total_amount").isNotNull())
+    known = (df if base is None else base).where(
+        F.col("employee_id").isNotNull() & F.col("total_amount").isNotNull()
+    )
     often = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats")).where(F.col("repeats") >= at_least)
-    return attach(sales, often, keys, weight="repeats")
+    return attach(df, often, keys, weight="repeats")
 
 
 class Kind(NamedTuple):
@@ -197,12 +196,12 @@ def high_value(sales: DataFrame, threshold: float = 12.0, high_above: float = 5.
 
 
 def unusual_time(sales: DataFrame, quantile: float = 0.25) -> DataFrame:
-    return _rows(with_profile(sales, quantile), _kind_unusual_time())
+    return _rows(with_profile(sales, quantile=quantile), _kind_unusual_time())
 
 
 def repeated_identical(sales: DataFrame, at_least: int = 10, high_at: int = 5) -> DataFrame:
     """Every sale of an (employee, amount) pair seen at least so often."""
-    return _rows(with_repeats(sales, at_least), _kind_repeated(high_at))
+    return _rows(with_repeats(sales, at_least=at_least), _kind_repeated(high_at))
 
 
 def employee_outliers(
@@ -222,7 +221,8 @@ def high_discount(sales: DataFrame, above: float = 20.0, medium_above: float = 5
 
 def all_anomalies(sales: DataFrame, high_value_threshold: float = 12.0, repeated_at_least: int = 10) -> DataFrame:
     """All kinds in one table, found in a single pass once the group figures are attached."""
-    df = with_repeats(with_employee_z(with_method_share(with_profile(sales))), repeated_at_least)
+    df = with_method_share(with_profile(sales), sales)
+    df = with_repeats(with_employee_z(df, sales), sales, repeated_at_least)
     return _rows(
         df,
         _kind_high_value(high_value_threshold), _kind_unusual_time(), _kind_repeated(),

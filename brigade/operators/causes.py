@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brigade.functions.numbers import dbl, ratio
-from brigade.operators.anomaly import EMPLOYEE_KIND, KEY, flag_off_hours, with_method_share, with_z
+from brigade.operators.anomaly import EMPLOYEE_KIND, KEY, with_employee_z, with_method_share, with_profile
 from brigade.operators.efficiency import first_per_employee
 from brigade.operators.risk import factor_list
 from brigade.operators.spread import attach, substring_pairs
@@ -66,11 +66,10 @@ def transaction_causes(
 
 def employee_profile(sales: DataFrame, z_above: float = 3.0) -> DataFrame:
     """Per employee: share of own sales far from the own mean and share outside business hours."""
-    known = flag_off_hours(sales, "off_hours").where(F.col("employee_id").isNotNull())
-    df = with_z(known, *KEY, "employee_id").drop("n")
+    df = with_employee_z(with_profile(sales), sales).where(F.col("employee_id").isNotNull())
     return df.groupBy(*KEY, "employee_id").agg(
         F.count(F.lit(1)).alias("sales"),
-        ratio(F.count_if(F.abs("z_score") > z_above), F.count(F.lit(1))).alias("unusual_share"),
+        ratio(F.count_if(F.abs("employee_z") > z_above), F.count(F.lit(1))).alias("unusual_share"),
         ratio(F.count_if("off_hours"), F.count(F.lit(1))).alias("off_hours_share"),
     )
 

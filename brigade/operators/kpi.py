@@ -124,7 +124,10 @@ def average_check(sales: DataFrame) -> DataFrame:
 
 
 def top_items(sales: DataFrame, limit: int = 10) -> DataFrame:
-    base = item_base(sales)
+    return top_of(item_base(sales), limit)
+
+
+def top_of(base: DataFrame, limit: int = 10) -> DataFrame:
     order = [F.col("units").desc(), F.col("menu_item")]
     return top_within(base, KEY, order, limit).select(
         *KEY, "rank", "menu_item", "units", F.round("revenue", 2).alias("revenue")
@@ -143,7 +146,11 @@ def with_cost(base: DataFrame, menu: DataFrame) -> DataFrame:
 
 
 def gross_profit_per_item(sales: DataFrame, menu: DataFrame) -> DataFrame:
-    costed = with_cost(item_base(sales), menu).withColumn("cost", times("units", "unit_cost"))
+    return profit_of(item_base(sales), menu)
+
+
+def profit_of(base: DataFrame, menu: DataFrame) -> DataFrame:
+    costed = with_cost(base, menu).withColumn("cost", times("units", "unit_cost"))
     profit = F.col("revenue") - F.col("cost")
     return costed.select(
         *KEY,
@@ -159,7 +166,10 @@ def gross_profit_per_item(sales: DataFrame, menu: DataFrame) -> DataFrame:
 
 
 def food_cost_pct(sales: DataFrame, menu: DataFrame) -> DataFrame:
-    per_item = gross_profit_per_item(sales, menu)
+    return food_cost_of(gross_profit_per_item(sales, menu))
+
+
+def food_cost_of(per_item: DataFrame) -> DataFrame:
     sums = per_item.groupBy(*KEY).agg(F.sum("cost").alias("cost"), F.sum("revenue").alias("revenue"))
     pct = ratio("cost", "revenue") * 100
     return sums.select(*KEY, "cost", "revenue", pct.alias("food_cost_pct")).withColumn(
@@ -179,21 +189,33 @@ def category_of(ingredient: Column | str, word_boundary: bool = False) -> Column
 
 
 def ingredient_cost(sales: DataFrame, menu: DataFrame) -> DataFrame:
-    units = item_base(sales).select(*KEY, "menu_item", "units")
+    return ingredient_cost_of(item_base(sales), menu)
+
+
+def ingredient_cost_of(base: DataFrame, menu: DataFrame) -> DataFrame:
+    units = base.select(*KEY, "menu_item", "units")
     used = units.join(recipe_lines(menu), ["location_id", "menu_item"])
     cost = line_cost().cast(UNIT_COST) * F.col("units").cast("decimal(12,0)")
     return used.groupBy(*KEY, "ingredient").agg(F.round(F.sum(cost), 2).cast("decimal(28,2)").alias("cost"))
 
 
 def cogs_by_category(sales: DataFrame, menu: DataFrame, word_boundary: bool = False) -> DataFrame:
-    costs = ingredient_cost(sales, menu).withColumn("category", category_of("ingredient", word_boundary))
+    return cogs_of(ingredient_cost(sales, menu), word_boundary)
+
+
+def cogs_of(costs: DataFrame, word_boundary: bool = False) -> DataFrame:
+    costs = costs.withColumn("category", category_of("ingredient", word_boundary))
     return costs.groupBy(*KEY, "category").agg(
         F.sum("cost").alias("cogs"), F.count(F.lit(1)).alias("ingredients")
     )
 
 
 def inventory_turnover(sales: DataFrame, menu: DataFrame, inventory: DataFrame) -> DataFrame:
-    cogs = ingredient_cost(sales, menu).groupBy(*KEY).agg(F.sum("cost").alias("cogs"))
+    return turnover_of(ingredient_cost(sales, menu), inventory)
+
+
+def turnover_of(costs: DataFrame, inventory: DataFrame) -> DataFrame:
+    cogs = costs.groupBy(*KEY).agg(F.sum("cost").alias("cogs"))
     value = F.col("quantity").cast(AMOUNT_QTY) * F.col("unit_cost").cast(MONEY)
     stock = inventory.groupBy(*KEY).agg(
         F.sum(value).alias("stock_value"), F.count(value).alias("stock_rows")
@@ -249,11 +271,12 @@ def overtime_pct(labor: DataFrame, warn_above: float = 50.0) -> DataFrame:
 
 
 def menu_quadrants(sales: DataFrame, menu: DataFrame) -> DataFrame:
-    """Popularity against profitability with exact medians and full ranks.
+    """Popularity against profitability with exact medians and full ranks."""
+    return quadrants_of(gross_profit_per_item(sales, menu))
 
-    The medians are read off the ranks, so no task holds all items of a location.
-    """
-    items = gross_profit_per_item(sales, menu)
+
+def quadrants_of(items: DataFrame) -> DataFrame:
+    """Medians are read off the ranks, so no task holds all items of a location."""
     by_profit = [F.col("gross_profit").desc(), F.col("units").desc(), F.col("menu_item")]
     by_units = [F.col("units").desc(), F.col("gross_profit").desc(), F.col("menu_item")]
     ranked = running(items, KEY, by_profit, rank="profitability_rank")

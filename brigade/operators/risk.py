@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brigade.functions.numbers import ratio
-from brigade.operators.anomaly import KEY, amount_stats, flag_off_hours, with_method_share, with_profile
+from brigade.operators.anomaly import KEY, amount_stats, with_method_share, with_profile
 from brigade.operators.efficiency import first_per_employee
 from brigade.operators.spread import attach
 
@@ -23,7 +23,7 @@ def risk_transactions(
     rare_below: float = 0.05, high_from: int = 3,
 ) -> DataFrame:
     """Sales with at least one risk factor."""
-    df = with_method_share(with_profile(sales))
+    df = with_method_share(with_profile(sales), sales)
     factors = factor_list(
         {
             "high_value": F.col("z_score") > z_above,
@@ -75,13 +75,13 @@ def employee_risk(
     discounted_above: float = 50.0, off_hours_above: float = 20.0,
 ) -> DataFrame:
     """Employees with at least one risk factor, with the first matching directory row."""
-    flagged = flag_off_hours(sales, "off_hours", drop_night=False).where(F.col("employee_id").isNotNull())
+    flagged = with_profile(sales).where(F.col("employee_id").isNotNull())
     amount = F.col("total_amount").cast("decimal(18,2)")
     per = flagged.groupBy(*KEY, "employee_id").agg(
         F.count(F.lit(1)).alias("transaction_count"),
         ratio(F.sum(amount), F.count(amount)).alias("average_amount"),
         (ratio(F.count_if(F.col("discount_percent") > 0), F.count(F.lit(1))) * 100).alias("_discounted"),
-        (ratio(F.count_if("off_hours"), F.count(F.lit(1))) * 100).alias("_off"),
+        (ratio(F.count_if("off_hours_with_night"), F.count(F.lit(1))) * 100).alias("_off"),
     ).where(F.col("transaction_count") >= min_sales)
     stats = amount_stats(sales, *KEY).select(*KEY, "mean_amount", "std_amount")
     joined = per.join(stats, KEY)

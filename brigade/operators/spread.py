@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from brigade.session import shared_path
@@ -24,10 +24,21 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
 
     Cuts the lineage, survives the loss of executors, and gives Catalyst real sizes.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _settled(df, name)[0]
+
+
+def _settled(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """The settled frame and measures over it, taken while it was written."""
+    path = shared_path(df.sparkSession, name)
+    schema = df.schema
+    seen = {}
+    if measures:
+        note = Observation()
+        df.observe(note, *[c.alias(n) for n, c in measures.items()]).write.parquet(path)
+        seen = note.get
+    else:
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path), seen
 
 
 def attach(
@@ -49,14 +60,13 @@ def attach(
     """
     broadcast_rows = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     on = list(on)
-    stats = settle(stats, "stats")
-    n_rows = stats.count()
-    if n_rows <= broadcast_rows:
+    total = F.lit(0) if weight is None else F.sum(weight)
+    stats, seen = _settled(stats, "stats", rows=F.count(F.lit(1)), total=total)
+    if seen["rows"] <= broadcast_rows:
         return fact.join(F.broadcast(stats), on, how)
     if weight is None:
         return fact.join(stats, on, how)
-    total = stats.agg(F.sum(weight)).first()[0] or 0
-    mark = max(hot_rows or HOT_ROWS, total // HOT_KEYS + 1)
+    mark = max(hot_rows or HOT_ROWS, (seen["total"] or 0) // HOT_KEYS + 1)
     spread_by = list(spread_by or [c for c in fact.columns if c not in on])
     fan = F.greatest(F.lit(1), F.ceil(F.col(weight) / F.lit(mark))).cast("int")
     # at most total / mark <= HOT_KEYS distinct keys pass this filter

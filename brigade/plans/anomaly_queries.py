@@ -323,7 +323,7 @@ TRANSACTION = VIEWS + f""", v_tcause AS (
 
 @query("cause_transactions", TRANSACTION + f"SELECT {LOC}, sale_id, anomaly_type, causes, recommendation FROM v_tcause")
 def _(t):
-    return causes.transaction_causes(anomaly.all_anomalies(t.sales, HIGH_Z), t.sales)
+    return causes.transaction_causes(t.anomalies, t.sales)
 
 
 ECAUSE = VIEWS + f""", v_ecause AS (
@@ -340,7 +340,7 @@ ECAUSE = VIEWS + f""", v_ecause AS (
 
 @query("cause_employees", ECAUSE + f"SELECT {LOC}, employee_id, name, role, anomalies, causes, recommendation FROM v_ecause")
 def _(t):
-    return causes.employee_causes(anomaly.all_anomalies(t.sales, HIGH_Z), t.sales, t.labor, AS_OF)
+    return causes.employee_causes(t.anomalies, t.sales, t.labor, AS_OF)
 
 
 NAMED = """, v_named AS (
@@ -390,14 +390,14 @@ v_cluster AS (
 SELECT {LOC}, CAST(date AS VARCHAR) AS date, hour::BIGINT AS hour, anomaly_count, common_factors,
        'Investigate this time period for potential systematic issues' AS recommendation FROM v_cluster""")
 def _(t):
-    return causes.time_clusters(anomaly.all_anomalies(t.sales, HIGH_Z), t.sales)
+    return causes.time_clusters(t.anomalies, t.sales)
 
 
 @query("cause_cluster_sales", CLUSTER + """
 SELECT h.location_id::BIGINT AS location_id, CAST(h.date AS VARCHAR) AS date, h.hour::BIGINT AS hour, sale_id
 FROM v_hit h JOIN v_slot s ON h.location_id = s.location_id AND h.date = s.date AND h.hour = s.hour""")
 def _(t):
-    return causes.cluster_sales(anomaly.all_anomalies(t.sales, HIGH_Z), t.sales)
+    return causes.cluster_sales(t.anomalies, t.sales)
 
 
 @query("cause_frequency", TRANSACTION + ECAUSE[len(VIEWS):] + f"""
@@ -406,7 +406,7 @@ FROM (SELECT location_id, unnest(string_split(causes, '|')) AS cause FROM v_tcau
       UNION ALL SELECT location_id, unnest(string_split(causes, '|')) FROM v_ecause) WHERE cause <> ''
 GROUP BY location_id, cause""")
 def _(t):
-    found = anomaly.all_anomalies(t.sales, HIGH_Z)
+    found = t.anomalies
     return causes.cause_frequency(
         causes.transaction_causes(found, t.sales), causes.employee_causes(found, t.sales, t.labor, AS_OF))
 
@@ -416,7 +416,7 @@ SELECT {LOC}, 'category' AS breakdown, category AS value, COUNT(*) AS n FROM v_a
 UNION ALL SELECT location_id, 'severity', severity, COUNT(*) FROM v_anomaly GROUP BY location_id, severity
 UNION ALL SELECT location_id, 'hour', hour::VARCHAR, COUNT(*) FROM v_anomaly GROUP BY location_id, hour""")
 def _(t):
-    return notices.anomaly_breakdown(anomaly.all_anomalies(t.sales, HIGH_Z))
+    return notices.anomaly_breakdown(t.anomalies)
 
 
 @query("insight_fraud_indicators", RISK + EMPLOYEE[len(VIEWS):] + PATTERN + f"""
@@ -437,7 +437,7 @@ LEFT JOIN (SELECT location_id, COUNT(*) AS risk_alerts, COUNT(*) FILTER (risk_sc
            WHERE risk_score >= 1 GROUP BY 1) r ON s.location_id = r.location_id""")
 def _(t):
     return notices.insight_summary(
-        anomaly.all_anomalies(t.sales, HIGH_Z), risk.risk_transactions(t.sales),
+        t.anomalies, risk.risk_transactions(t.sales),
         efficiency.efficiency_score(t.sales).withColumn("efficiency_score", F.round("efficiency_score", 4)))
 
 
@@ -458,7 +458,7 @@ SELECT location_id, 'employee_pattern_anomalies', 'alert', 'high', employee_id::
        string_agg(sale_id::VARCHAR, '|' ORDER BY sale_id::VARCHAR) FILTER (r <= 3)
 FROM v_epick GROUP BY location_id, employee_id HAVING COUNT(*) >= 5""")
 def _(t):
-    return notices.anomaly_notices(anomaly.all_anomalies(t.sales, HIGH_Z))
+    return notices.anomaly_notices(t.anomalies)
 
 
 @query("notice_off_hours_by_hour", VIEWS + f"""
@@ -496,7 +496,7 @@ SELECT location_id, 'employee_causes', 'info', cause, COUNT(*)
 FROM (SELECT location_id, unnest(string_split(causes, '|')) AS cause FROM v_ecause) WHERE cause <> '' GROUP BY location_id, cause
 UNION ALL SELECT location_id, 'time_clusters', 'warning', NULL, COUNT(*) FROM v_cluster GROUP BY location_id""")
 def _(t):
-    found = anomaly.all_anomalies(t.sales, HIGH_Z)
+    found = t.anomalies
     return notices.cause_notices(
         causes.transaction_causes(found, t.sales), causes.employee_causes(found, t.sales, t.labor, AS_OF),
         causes.time_clusters(found, t.sales))

@@ -7,10 +7,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brigade.functions.items import item_base
 from brigade.functions.numbers import dbl
 from brigade.functions.periods import in_period
 from brigade.operators import dashboard, kpi
 from brigade.operators.kpi import KEY, KPI_NAMES
+from brigade.operators.spread import settle
 
 # Columns each KPI cannot do without, per table.
 NEEDS = {
@@ -67,6 +69,14 @@ def all_kpis(
         labor = None if labor is None else in_period(labor, period, as_of)
     lacks = missing_columns({"sales": sales, "inventory": inventory, "menu": menu, "labor": labor})
     lit = F.lit
+    # the item figures share one settled base each
+    if "cogs_by_category" not in lacks:
+        base = settle(item_base(sales), "item_base")
+        costs = settle(kpi.ingredient_cost_of(base, menu), "ingredient_cost")
+    elif "top_items" not in lacks:
+        base = settle(item_base(sales), "item_base")
+    if "gross_profit_per_item" not in lacks:
+        profit = settle(kpi.profit_of(base, menu), "profit")
     makers = {
         "total_sales": lambda: _long(
             kpi.total_sales(sales), "total_sales", lit("total"), F.col("total_sales"), None,
@@ -76,15 +86,15 @@ def all_kpis(
             kpi.sales_per_labor_hour(sales, labor), "splh", lit("value"), F.col("splh"), F.col("splh").isNotNull()),
         "guest_count": lambda: _long(kpi.guest_count(sales), "guest_count", F.col("method"), F.col("guest_count")),
         "avg_check": lambda: _long(kpi.average_check(sales), "avg_check", lit("value"), F.col("average_check")),
-        "top_items": lambda: _long(kpi.top_items(sales, top), "top_items", F.col("menu_item"), F.col("units")),
+        "top_items": lambda: _long(kpi.top_of(base, top), "top_items", F.col("menu_item"), F.col("units")),
         "gross_profit_per_item": lambda: _long(
-            kpi.gross_profit_per_item(sales, menu), "gross_profit_per_item", F.col("menu_item"), F.col("gross_profit")),
+            profit, "gross_profit_per_item", F.col("menu_item"), F.col("gross_profit")),
         "food_cost_pct": lambda: _long(
-            kpi.food_cost_pct(sales, menu), "food_cost_pct", lit("value"), F.col("food_cost_pct"), F.col("valid")),
+            kpi.food_cost_of(profit), "food_cost_pct", lit("value"), F.col("food_cost_pct"), F.col("valid")),
         "cogs_by_category": lambda: _long(
-            kpi.cogs_by_category(sales, menu), "cogs_by_category", F.col("category"), F.col("cogs")),
+            kpi.cogs_of(costs), "cogs_by_category", F.col("category"), F.col("cogs")),
         "inventory_turnover": lambda: _long(
-            kpi.inventory_turnover(sales, menu, inventory), "inventory_turnover", lit("value"), F.col("turnover"),
+            kpi.turnover_of(costs, inventory), "inventory_turnover", lit("value"), F.col("turnover"),
             F.col("valid")),
         "low_inventory_warnings": lambda: _long(
             kpi.low_inventory_count(inventory), "low_inventory_warnings", lit("low_items"), F.col("low_items")),
@@ -94,13 +104,13 @@ def all_kpis(
             kpi.overtime_pct(labor), "overtime_pct", F.coalesce("position", lit("total")), F.col("overtime_pct"), None,
             F.col("warning")),
         "popularity_vs_profitability": lambda: _long(
-            kpi.menu_quadrants(sales, menu).groupBy(*KEY, "quadrant").agg(F.count(lit(1)).alias("n")),
+            kpi.quadrants_of(profit).groupBy(*KEY, "quadrant").agg(F.count(lit(1)).alias("n")),
             "popularity_vs_profitability", F.col("quadrant"), F.col("n")),
     }
     some = next(df for df in (sales, inventory, menu, labor) if df is not None)
     parts = [make() for name, make in makers.items() if name not in lacks]
     if "cogs_by_category" not in lacks:
-        totals = kpi.cogs_by_category(sales, menu).groupBy(*KEY).agg(F.sum("cogs").alias("cogs"))
+        totals = kpi.cogs_of(costs).groupBy(*KEY).agg(F.sum("cogs").alias("cogs"))
         parts.append(_long(totals, "total_cogs", lit("total"), F.col("cogs")))
     for table, df in (("sales", sales), ("inventory", inventory), ("menu", menu), ("labor", labor)):
         if df is not None:
@@ -123,20 +133,28 @@ def all_kpis(
 def kpi_availability(results: DataFrame) -> DataFrame:
     """For each location and each KPI of the report: is it there, is it valid, does it hold data."""
     known = results.where(F.col("location_id").isNotNull())
-    names = F.array(*[F.struct(F.lit(i + 1).alias("kpi_number"), F.lit(n).alias("kpi")) for i, n in enumerate(KPI_NAMES)])
-    wanted = known.select(*KEY).distinct().select(*KEY, F.explode(names).alias("_k")).select(*KEY, "_k.*")
     found = known.groupBy(*KEY, "kpi").agg(
         F.bool_and("valid").alias("validation_passed"), F.bool_or(F.col("value").isNotNull()).alias("has_data")
-    ).withColumn("is_available", F.lit(True))
-    joined = wanted.join(found, [*KEY, "kpi"], "left")
-    return joined.fillna(False, ["is_available", "validation_passed", "has_data"])
+    )
+    # one small map per location, as long as the list of KPI names
+    per_location = found.groupBy(*KEY).agg(
+        F.map_from_entries(F.collect_list(F.struct("kpi", F.struct("validation_passed", "has_data")))).alias("_found")
+    )
+    names = F.array(*[F.struct(F.lit(i + 1).alias("kpi_number"), F.lit(n).alias("kpi")) for i, n in enumerate(KPI_NAMES)])
+    wanted = per_location.select(*KEY, "_found", F.explode(names).alias("_k"))
+    hit = F.try_element_at("_found", F.col("_k.kpi"))
+    return wanted.select(
+        *KEY, "_k.kpi_number", "_k.kpi", hit.isNotNull().alias("is_available"),
+        F.coalesce(hit["validation_passed"], F.lit(False)).alias("validation_passed"),
+        F.coalesce(hit["has_data"], F.lit(False)).alias("has_data"),
+    )
 
 
 def dashboard_bundle(
     sales: DataFrame, menu: DataFrame, inventory: DataFrame, labor: DataFrame, special: str = "special"
 ) -> dict[str, DataFrame]:
-    """All dashboard figures by name, each a lazy frame; the item figures share one base."""
-    stats = dashboard.item_stats(sales, menu)
+    """All dashboard figures by name, each a lazy frame; the item figures share one settled base."""
+    stats = settle(dashboard.item_stats(sales, menu), "item_stats")
     return {
         "revenue_and_order_value": dashboard.revenue_and_order_value(sales),
         "average_check": dashboard.average_check_by_sale(sales),

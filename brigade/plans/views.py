@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from brigade.functions.items import split_items
 from brigade.functions.numbers import MONEY, money
+from brigade.operators.anomaly import all_anomalies
 from brigade.operators.silver import derive_inventory, derive_menu
 from brigade.operators.spread import settle
 
@@ -136,6 +137,14 @@ class Tables:
         words = self.menu.withColumn("ingredient", F.upper(F.substring_index("menu_item", " ", -1)))
         return settle(self._stock(words), "word_stock")
 
+    @cached_property
+    def anomalies(self) -> DataFrame:
+        """Anomalies as a stored table for the jobs that explain and report them.
+
+        z-scores of the sample stay below the default of 12, hence the lower threshold.
+        """
+        return settle(all_anomalies(self.sales, high_value_threshold=1.5), "anomalies")
+
     @property
     def labor(self) -> DataFrame:
         k = F.col("s_suppkey")
