@@ -24,6 +24,11 @@ def ratio(n: Column | str, d: Column | str, default: float | None = None) -> Col
     return q if default is None else F.coalesce(q, F.lit(float(default)))
 
 
+def to_cents(c: Column) -> Column:
+    """Two places, half up on the decimal value: a double's last bits do not decide a tie."""
+    return dbl(F.round(c.cast("decimal(28,6)"), 2))
+
+
 def number_or_zero(c: Column | str, kind: str = MONEY) -> Column:
     """Text to number; what is no number counts as zero."""
     c = F.col(c) if isinstance(c, str) else c

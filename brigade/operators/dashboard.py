@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brigade.functions.items import AMOUNT, item_base, line_cost, sold_items, times
-from brigade.functions.numbers import MONEY, dbl, ratio, zero_if_null
+from brigade.functions.numbers import MONEY, dbl, ratio, to_cents
 from brigade.functions.periods import last_days_of_data
 from brigade.operators.kpi import AMOUNT_QTY, KEY, with_cost
 from brigade.operators.spread import attach, top_within
@@ -112,10 +112,10 @@ def ranked_items(stats: DataFrame, by: str, limit: int, ascending: bool = False)
 def item_margins(stats: DataFrame) -> DataFrame:
     return stats.select(
         *ITEM,
-        F.round(ratio("profit", "revenue", 0.0), 2).alias("profit_margin"),
+        to_cents(ratio("profit", "revenue", 0.0)).alias("profit_margin"),
         F.round(F.col("revenue") - F.col("cost"), 2).alias("contribution_margin"),
-        F.round(ratio("cost", "revenue", 0.0) * 100, 2).alias("food_cost_pct"),
-        F.round(ratio("revenue", "units", 0.0), 2).alias("average_price"),
+        to_cents(ratio("cost", "revenue", 0.0) * 100).alias("food_cost_pct"),
+        to_cents(ratio("revenue", "units", 0.0)).alias("average_price"),
     )
 
 

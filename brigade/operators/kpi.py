@@ -18,7 +18,7 @@ from brigade.functions.items import (
     recipe_lines,
     times,
 )
-from brigade.functions.numbers import MONEY, dbl, ratio, zero_if_null
+from brigade.functions.numbers import MONEY, dbl, ratio, to_cents, zero_if_null
 from brigade.operators.spread import attach, running, top_within
 
 KEY = ["location_id"]
@@ -159,7 +159,7 @@ def profit_of(base: DataFrame, menu: DataFrame) -> DataFrame:
         F.round("revenue", 2).cast("decimal(28,2)").alias("revenue"),
         F.round("cost", 2).cast("decimal(28,2)").alias("cost"),
         F.round(profit, 2).cast("decimal(28,2)").alias("gross_profit"),
-        F.when(F.col("revenue") > 0, F.round(ratio(profit, "revenue") * 100, 2))
+        F.when(F.col("revenue") > 0, to_cents(ratio(profit, "revenue") * 100))
         .otherwise(F.lit(0.0))
         .alias("margin_pct"),
     )
@@ -280,19 +280,18 @@ def quadrants_of(items: DataFrame) -> DataFrame:
     by_profit = [F.col("gross_profit").desc(), F.col("units").desc(), F.col("menu_item")]
     by_units = [F.col("units").desc(), F.col("gross_profit").desc(), F.col("menu_item")]
     ranked = running(items, KEY, by_profit, rank="profitability_rank")
-    ranked = running(ranked, KEY, by_units, rank="popularity_rank")
-    sizes = ranked.groupBy(*KEY).agg(F.count(F.lit(1)).alias("items"))
-    sized = attach(ranked, sizes, KEY, "inner", weight="items")
+    ranked = running(ranked, KEY, by_units, rank="popularity_rank", size="items")
 
     def middle(rank: str) -> Column:
         return F.col(rank).between(F.floor((F.col("items") + 1) / 2), F.ceil((F.col("items") + 1) / 2))
 
-    medians = sized.groupBy(*KEY).agg(
+    # only the one or two middle rows of each location carry a value
+    medians = ranked.groupBy(*KEY).agg(
         F.avg(F.when(middle("popularity_rank"), dbl("units"))).alias("median_units"),
         F.avg(F.when(middle("profitability_rank"), dbl("gross_profit"))).alias("median_profit"),
         F.count(F.lit(1)).alias("_n"),
     )
-    placed = attach(sized.drop("items"), medians, KEY, "inner", weight="_n").drop("_n")
+    placed = attach(ranked.drop("items"), medians, KEY, "inner", weight="_n").drop("_n")
     popular = F.col("units") >= F.col("median_units")
     profitable = dbl("gross_profit") >= F.col("median_profit")
     quadrant = (

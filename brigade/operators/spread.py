@@ -95,9 +95,10 @@ def running(
     order: Sequence[Column],
     rank: str = "rank",
     totals: Mapping[str, Column] | None = None,
+    size: str | None = None,
     slices: int | None = None,
 ) -> DataFrame:
-    """Row number (and running totals) within each group, without one task per group.
+    """Row number (and running totals, and group size) within each group, without one task per group.
 
     Rows are range-partitioned by (group, order) and settled with their slice number; each slice
     counts on its own and adds what the earlier slices of the same group hold. ``order`` must be
@@ -119,13 +120,15 @@ def running(
     )
     # a group appears at most once per slice, so these windows hold at most `slices` rows
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
     before = sizes.select(
         *group,
         "_slice",
+        F.sum("_rows").over(whole).alias("_size"),
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         *[F.sum(f"_s_{n}").over(earlier).alias(f"_b_{n}") for n in totals],
     ).select(*[F.col(g).alias(f"_k_{g}") for g in group], F.col("_slice").alias("_k_slice"),
-             "_before", *[f"_b_{n}" for n in totals])
+             "_before", "_size", *[f"_b_{n}" for n in totals])
     here = Window.partitionBy(*group, "_slice").orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = laid.withColumn("_here", F.row_number().over(here))
@@ -137,6 +140,7 @@ def running(
     return local.join(before, match).select(
         *df.columns,
         (F.col("_before") + F.col("_here")).cast("long").alias(rank),
+        *([F.col("_size").cast("long").alias(size)] if size else []),
         *[(F.coalesce(f"_b_{n}", F.lit(0)) + F.col(f"_h_{n}")).alias(n) for n in totals],
     )
 

@@ -140,10 +140,10 @@ def _(t):
 
 @query("dash_item_margins", f"""
 SELECT {LOC}, menu_item,
-       ROUND((sub_revenue - cost)::DOUBLE / sub_revenue::DOUBLE, 2) AS profit_margin,
+       ROUND(CAST((sub_revenue - cost)::DOUBLE / sub_revenue::DOUBLE AS DECIMAL(28,6)), 2)::DOUBLE AS profit_margin,
        ROUND(sub_revenue - cost, 2)::DOUBLE AS contribution_margin,
-       ROUND(cost::DOUBLE / sub_revenue::DOUBLE * 100, 2) AS food_cost_pct,
-       ROUND(sub_revenue::DOUBLE / units, 2) AS average_price FROM v_stats""")
+       ROUND(CAST(cost::DOUBLE / sub_revenue::DOUBLE * 100 AS DECIMAL(28,6)), 2)::DOUBLE AS food_cost_pct,
+       ROUND(CAST(sub_revenue::DOUBLE / units AS DECIMAL(28,6)), 2)::DOUBLE AS average_price FROM v_stats""")
 def _(t):
     return dashboard.item_margins(dashboard.item_stats(t.sales, t.menu))
 

@@ -376,8 +376,8 @@ v_stats AS (
 v_profit AS (
   SELECT location_id, menu_item, units, ROUND(revenue, 2) AS revenue, ROUND(cost, 2) AS cost,
          ROUND(revenue - cost, 2) AS gross_profit,
-         CASE WHEN revenue > 0 THEN ROUND(CAST(revenue - cost AS DOUBLE) / CAST(revenue AS DOUBLE) * 100, 2)
-              ELSE 0.0 END AS margin_pct
+         CASE WHEN revenue > 0 THEN ROUND(CAST(CAST(revenue - cost AS DOUBLE) / CAST(revenue AS DOUBLE) * 100 AS DECIMAL(28,6)), 2)
+              ELSE 0 END AS margin_pct
   FROM v_stats),
 v_labor AS (
   SELECT s_nationkey AS location_id, DATE '2001-08-01' AS date, s_suppkey AS employee_id, s_name AS name,
