@@ -78,7 +78,8 @@ def check_headers(header_rows: DataFrame, category: str) -> DataFrame:
 def read_upload(spark: SparkSession, path: str | Sequence[str], header: Sequence[str]) -> DataFrame:
     """Files that share one header, all columns as text, with the file's name."""
     schema = ", ".join(f"`{header_name(c)}` string" for c in header)
-    df = spark.read.option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
+    reader = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
+    df = reader.schema(schema).csv(path)
     return df.withColumn("filename", file_name(F.col("_metadata.file_path")))
 
 
