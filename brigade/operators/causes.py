@@ -11,7 +11,7 @@ from brigade.functions.numbers import dbl, ratio
 from brigade.operators.anomaly import EMPLOYEE_KIND, KEY, with_employee_z, with_method_share, with_profile
 from brigade.operators.efficiency import first_per_employee
 from brigade.operators.risk import factor_list
-from brigade.operators.spread import attach, substring_pairs
+from brigade.operators.spread import attach, settle, substring_pairs
 
 # Causes and their advice, and what is said when there is none.
 ADVICE = {
@@ -44,14 +44,23 @@ def transaction_causes(
     anomalies: DataFrame, sales: DataFrame, items_above: int = 10,
     discount_above: float = 25.0, rare_below: float = 0.05,
 ) -> DataFrame:
-    """Causes for each transaction anomaly, from its own sale."""
-    detail = with_method_share(sales).select(
-        *KEY, "sale_id",
-        F.coalesce(F.size(F.split("items_sold", ";")), F.lit(0)).alias("_items"),
-        "discount_percent", "method_share",
+    """Causes for each transaction anomaly, from its own sale; anomalies without a sale id have none.
+
+    Where an id occurs twice its first sale counts.
+    """
+    named = F.col("sale_id").isNotNull() & (F.col("sale_id").cast("string") != "")
+    chosen = anomalies.where(F.col("category").isin(*TRANSACTION_KINDS) & named).select(*KEY, "sale_id", "category")
+    own = sales.join(chosen.select(*KEY, "sale_id").distinct(), [*KEY, "sale_id"], "left_semi")
+    detail = with_method_share(own, sales).groupBy(*KEY, "sale_id").agg(
+        F.min_by(
+            F.struct(
+                F.coalesce(F.size(F.split("items_sold", ";")), F.lit(0)).alias("_items"),
+                "discount_percent", "method_share",
+            ),
+            F.struct("date", "hour", "total_amount"),
+        ).alias("_s")
     )
-    chosen = anomalies.where(F.col("category").isin(*TRANSACTION_KINDS)).select(*KEY, "sale_id", "category")
-    joined = chosen.join(detail, [*KEY, "sale_id"])
+    joined = chosen.join(detail.select(*KEY, "sale_id", "_s.*"), [*KEY, "sale_id"])
     return _advised(
         joined,
         factor_list(
@@ -105,9 +114,12 @@ def ingredient_sale_share(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     """
     pieces = sales.select(*KEY, "sale_id", F.explode(F.array_distinct(F.split("items_sold", ";"))).alias("item"))
     stocked = inventory.select(*KEY, "ingredient").distinct()
-    pairs = substring_pairs(pieces, "item", stocked, "ingredient")
-    named = pieces.join(pairs, "item").select(*KEY, "ingredient", "sale_id")
+    names = settle(pieces.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "names")
+    pairs = substring_pairs(names, "item", stocked, "ingredient").join(names, "item")
+    # one item may be in a third of all sales
+    named = attach(pieces, pairs, ["item"], "inner", weight="n").select(*KEY, "ingredient", "sale_id")
     counts = named.groupBy(*KEY, "ingredient").agg(F.count_distinct("sale_id").alias("sales_with"))
+    counts = counts.join(stocked, [*KEY, "ingredient"], "left_semi")
     totals = sales.groupBy(*KEY).agg(F.count(F.lit(1)).alias("sales"))
     return counts.join(totals, KEY).select(
         *KEY, "ingredient", "sales_with", ratio("sales_with", "sales").alias("sale_share")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brigade.functions.numbers import MONEY, ratio
 from brigade.functions.periods import weekend
+from brigade.operators.spread import attach
 
 # Segment labels in label order.
 SEGMENTS = ("Frequent diners", "Weekend visitor", "High-valued", "Lapsed customer", "New customer")
@@ -56,8 +57,10 @@ def person_facts(visits: DataFrame) -> DataFrame:
     by_email = known.groupBy("email").agg(
         F.coalesce(F.bool_or(weekend("visit_date")), F.lit(False)).alias("weekend"),
         F.min("visit_date").alias("first_visit"),
+        F.count(F.lit(1)).alias("_n"),
     )
-    return per.join(by_email, "email")
+    # one address may be shared by very many people
+    return attach(per, by_email, ["email"], "inner", weight="_n").drop("_n")
 
 
 def segment_tests(

@@ -163,12 +163,18 @@ def item_units(sales: DataFrame) -> DataFrame:
     return sold_items(sales).groupBy(*ITEM).agg(F.count(F.lit(1)).alias("units"))
 
 
-def ingredient_usage(sales: DataFrame, menu: DataFrame) -> DataFrame:
-    """Recipe amounts over all sold items: units are counted first, then joined to the recipe."""
+def _usage(sales: DataFrame, menu: DataFrame) -> DataFrame:
     lines = menu.groupBy(*ITEM, "ingredient").agg(F.sum(F.col("amount").cast(AMOUNT)).alias("amount"))
     used = F.col("amount").cast("decimal(20,3)") * F.col("units").cast("decimal(12,0)")
     joined = item_units(sales).join(lines, ITEM)
-    return joined.groupBy(*KEY, "ingredient").agg(F.sum(used).cast("decimal(34,3)").alias("used"))
+    return joined.groupBy(*KEY, "ingredient").agg(
+        F.sum(used).cast("decimal(34,3)").alias("used"), F.count(F.lit(1)).alias("items")
+    )
+
+
+def ingredient_usage(sales: DataFrame, menu: DataFrame) -> DataFrame:
+    """Recipe amounts over all sold items: units are counted first, then joined to the recipe."""
+    return _usage(sales, menu).drop("items")
 
 
 def inventory_waste(sales: DataFrame, menu: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -183,7 +189,8 @@ def inventory_waste(sales: DataFrame, menu: DataFrame, inventory: DataFrame) ->
 def depletion_by_item(sales: DataFrame, menu: DataFrame) -> DataFrame:
     """For each sold item the total use of each of its ingredients, one row per pair."""
     pairs = item_units(sales).select(*ITEM).join(menu.select(*ITEM, "ingredient").distinct(), ITEM)
-    return pairs.join(ingredient_usage(sales, menu), [*KEY, "ingredient"])
+    # an ingredient may be part of very many items
+    return attach(pairs, _usage(sales, menu), [*KEY, "ingredient"], "inner", weight="items").drop("items")
 
 
 def recipe_cost_by_ingredient(menu: DataFrame) -> DataFrame:

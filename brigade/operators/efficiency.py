@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brigade.functions.numbers import MONEY, dbl, ratio
-from brigade.operators.spread import attach, substring_pairs, top_within
+from brigade.operators.spread import attach, settle, substring_pairs, top_within
 
 KEY = ["location_id"]
 
@@ -69,8 +69,12 @@ def ingredient_mentions(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     counts = sales.where(F.col("items_sold").isNotNull()).select(*KEY, piece.alias("item")).groupBy(
         *KEY, "item").agg(F.count(F.lit(1)).alias("n"))
     stocked = inventory.select(*KEY, "ingredient").distinct()
-    pairs = substring_pairs(counts, "item", stocked, "ingredient")
-    matched = counts.join(pairs, "item").join(stocked, [*KEY, "ingredient"])
+    counts = settle(counts, "item_counts")
+    names = counts.groupBy("item").agg(F.count(F.lit(1)).alias("_locations"))
+    pairs = substring_pairs(counts, "item", stocked, "ingredient").join(names, "item")
+    matched = attach(counts, pairs, ["item"], "inner", weight="_locations").join(
+        stocked, [*KEY, "ingredient"], "left_semi"
+    )
     return matched.groupBy(*KEY, "ingredient").agg(F.sum("n").alias("usage_count"))
 
 

@@ -64,44 +64,57 @@ def _total(c: Column | str, kind: str = MONEY) -> Column:
     return F.coalesce(F.sum(c.cast(kind)), F.lit(0))
 
 
-def total_sales(sales: DataFrame) -> DataFrame:
-    total = _total(gross_column(sales))
-    return sales.groupBy(*KEY).agg(total.alias("total_sales")).withColumn("negative", F.col("total_sales") < 0)
-
-
-def net_revenue(sales: DataFrame, discount_source: str = "percent") -> DataFrame:
-    """Gross less comps, promos, voids and discounts.
+def location_totals(sales: DataFrame, discount_source: str = "percent") -> DataFrame:
+    """All sums over the sales of a location in one pass; Catalyst drops those nobody asks for.
 
     ``discount_source="percent"`` is for rows whose promos and discount_percent are separate things.
     ``"promos"`` is for rows of the POS adapter, which fills both from one discount: it is taken once.
     """
-    gross = gross_column(sales)
-    have = set(sales.columns)
-    zero = F.lit(0).cast(MONEY)
+    gross, have = gross_column(sales), set(sales.columns)
+    zero = F.lit(0).cast("decimal(28,6)")
 
     def part(name: str) -> Column:
-        return _total(name) if name in have else F.first(zero)
+        return _total(name).cast("decimal(28,6)") if name in have else F.first(zero)
 
     percent = F.first(zero)
     if "discount_percent" in have and discount_source != "promos":
         # percent times money: four decimals are exact
         off = F.col(gross).cast(MONEY) * F.col("discount_percent").cast("decimal(7,2)") * F.lit("0.01").cast("decimal(3,2)")
-        percent = F.coalesce(F.sum(off), F.lit(0))
-    parts = sales.groupBy(*KEY).agg(
-        _total(gross).cast("decimal(28,6)").alias("gross_sales"),
-        part("comps").cast("decimal(28,6)").alias("comps"),
-        part("promos").cast("decimal(28,6)").alias("promos"),
-        part("voids").cast("decimal(28,6)").alias("voids"),
-        percent.cast("decimal(28,6)").alias("discounts"),
+        percent = F.coalesce(F.sum(off), F.lit(0)).cast("decimal(28,6)")
+    guests = F.coalesce(F.sum("covers"), F.lit(0)) if "covers" in have else F.count(F.lit(1))
+    sums = sales.groupBy(*KEY).agg(
+        part(gross).alias("gross_sales"), part("comps").alias("comps"), part("promos").alias("promos"),
+        part("voids").alias("voids"), percent.alias("discounts"), guests.cast("long").alias("guest_count"),
+        F.count(F.lit(1)).alias("sales"),
     )
     net = F.col("gross_sales") - F.col("comps") - F.col("promos") - F.col("voids") - F.col("discounts")
-    return parts.withColumn("net_revenue", net)
+    return sums.withColumn("net_revenue", net).withColumn(
+        "method", F.lit("covers" if "covers" in have else "transactions")
+    )
+
+
+def total_sales(sales: DataFrame) -> DataFrame:
+    return total_sales_of(location_totals(sales))
+
+
+def total_sales_of(totals: DataFrame) -> DataFrame:
+    return totals.select(*KEY, F.col("gross_sales").alias("total_sales"), (F.col("gross_sales") < 0).alias("negative"))
+
+
+def net_revenue(sales: DataFrame, discount_source: str = "percent") -> DataFrame:
+    """Gross less comps, promos, voids and discounts, with the parts."""
+    return location_totals(sales, discount_source).drop("guest_count", "sales", "method")
 
 
 def sales_per_labor_hour(sales: DataFrame, labor: DataFrame) -> DataFrame:
+    return labor_hour_value_of(location_totals(sales), labor)
+
+
+def labor_hour_value_of(totals: DataFrame, labor: DataFrame) -> DataFrame:
+    """Net revenue per hour of staff without a salary."""
     hourly = labor.where(~F.coalesce("is_salaried", F.lit(False))) if "is_salaried" in labor.columns else labor
     hours = hourly.groupBy(*KEY).agg(F.coalesce(F.sum("hours_worked"), F.lit(0.0)).alias("labor_hours"))
-    net = net_revenue(sales).select(*KEY, F.round("net_revenue", 2).alias("net_revenue"))
+    net = totals.select(*KEY, F.round("net_revenue", 2).alias("net_revenue"))
     return net.join(hours, KEY, "left").select(
         *KEY, "net_revenue", "labor_hours", ratio("net_revenue", "labor_hours").alias("splh")
     )
@@ -109,16 +122,15 @@ def sales_per_labor_hour(sales: DataFrame, labor: DataFrame) -> DataFrame:
 
 def guest_count(sales: DataFrame) -> DataFrame:
     """Covers when the column is there, else the number of sales."""
-    if "covers" in sales.columns:
-        guests, method = F.coalesce(F.sum("covers"), F.lit(0)).cast("long"), "covers"
-    else:
-        guests, method = F.count(F.lit(1)), "transactions"
-    return sales.groupBy(*KEY).agg(guests.alias("guest_count")).withColumn("method", F.lit(method))
+    return location_totals(sales).select(*KEY, "guest_count", "method")
 
 
 def average_check(sales: DataFrame) -> DataFrame:
-    both = net_revenue(sales).join(guest_count(sales), KEY)
-    return both.select(
+    return average_check_of(location_totals(sales))
+
+
+def average_check_of(totals: DataFrame) -> DataFrame:
+    return totals.select(
         *KEY, "net_revenue", "guest_count", ratio("net_revenue", "guest_count").alias("average_check")
     )
 

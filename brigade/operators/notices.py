@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brigade.functions.numbers import dbl, ratio
-from brigade.operators.anomaly import EMPLOYEE_KIND, NIGHT_HOURS
-from brigade.operators.spread import top_within
+from brigade.functions.numbers import ratio
+from brigade.operators.anomaly import EMPLOYEE_KIND, NIGHT_HOURS, SUSPECT_METHODS, method_shares
+from brigade.operators.spread import attach, top_within
 
 KEY = ["location_id"]
 
@@ -52,9 +52,10 @@ def off_hours_by_hour(anomalies: DataFrame) -> DataFrame:
     return hit.groupBy(*KEY, "hour").agg(F.count(F.lit(1)).alias("n"))
 
 
-def payments_by_method(anomalies: DataFrame, sales: DataFrame) -> DataFrame:
-    hit = anomalies.where(F.col("category") == "payment_method_anomalies").select(*KEY, "sale_id")
-    return sales.join(hit, [*KEY, "sale_id"]).groupBy(*KEY, "payment_method").agg(F.count(F.lit(1)).alias("n"))
+def payments_by_method(sales: DataFrame, below: float = 0.10) -> DataFrame:
+    """Unusual payment methods with their number of sales, from the shares alone."""
+    odd = (F.col("method_share") < below) | F.col("payment_method").isin(*SUSPECT_METHODS)
+    return method_shares(sales).where(odd).select(*KEY, "payment_method", "n")
 
 
 def risk_notices(risky: DataFrame, risky_employees: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def wanted(notices: DataFrame, settings: DataFrame) -> DataFrame:
     Wants user_id and category in both frames, and enabled in the settings.
     """
     off = settings.where(~F.col("enabled")).select("user_id", "category").distinct()
-    return notices.join(off, ["user_id", "category"], "left_anti")
+    return attach(notices, off, ["user_id", "category"], "left_anti")
 
 
 def anomaly_breakdown(anomalies: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brigade.session import shared_path
 
-# A side is broadcast only when its counted rows stay within this bound.
-BROADCAST_ROWS = 200_000
+# A side is broadcast only when its measured size stays within this bound.
+BROADCAST_BYTES = 64 * 1024 * 1024
 # A key counts as hot from this many rows on; at most HOT_KEYS keys can be hot.
 HOT_ROWS = 1_000_000
 HOT_KEYS = 10_000
@@ -41,6 +42,21 @@ def _settled(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, d
     return df.sparkSession.read.schema(schema).parquet(path), seen
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row, counted high: texts and lists by their length, 16 bytes for all else."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            size = size + 16 + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + 16 + 16 * F.coalesce(F.size(f.name), F.lit(0))
+        elif isinstance(f.dataType, (T.StructType, T.MapType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0))
+        else:
+            size = size + 16
+    return size.cast("long")
+
+
 def attach(
     fact: DataFrame,
     stats: DataFrame,
@@ -48,21 +64,21 @@ def attach(
     how: str = "left",
     weight: str | None = None,
     spread_by: Sequence[str] | None = None,
-    broadcast_rows: int | None = None,
+    broadcast_bytes: int | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Join per-key rows onto a large frame.
 
-    The stats side is settled and counted. Within ``broadcast_rows`` it is broadcast and the fact
+    The stats side is settled and measured. Within ``broadcast_bytes`` it is broadcast and the fact
     is not shuffled. Beyond it both sides are shuffled, and keys whose ``weight`` (fact rows per
     key, a column of stats) reaches the hot mark are fanned out: the fact row goes to one of
     ``fan`` copies of its key, picked by a hash of ``spread_by``.
     """
-    broadcast_rows = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    broadcast_bytes = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     on = list(on)
     total = F.lit(0) if weight is None else F.sum(weight)
-    stats, seen = _settled(stats, "stats", rows=F.count(F.lit(1)), total=total)
-    if seen["rows"] <= broadcast_rows:
+    stats, seen = _settled(stats, "stats", size=F.sum(row_bytes(stats)), total=total)
+    if (seen["size"] or 0) <= broadcast_bytes:
         return fact.join(F.broadcast(stats), on, how)
     if weight is None:
         return fact.join(stats, on, how)
@@ -201,4 +217,4 @@ def substring_pairs(texts: DataFrame, text: str, needles: DataFrame, needle: str
             )
         ).alias("_low"),
     )
-    return pieces.join(lower.drop("_len"), "_low").select(text, needle)
+    return attach(pieces, lower.drop("_len"), ["_low"], "inner").select(text, needle)

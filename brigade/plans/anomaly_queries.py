@@ -471,7 +471,7 @@ def _(t):
 SELECT {LOC}, payment_method, COUNT(*) AS n FROM v_scored
 WHERE method_share < 0.1 OR payment_method = 'Wire Transfer' GROUP BY location_id, payment_method""")
 def _(t):
-    return notices.payments_by_method(anomaly.unusual_payment(t.sales), t.sales)
+    return notices.payments_by_method(t.sales)
 
 
 @query("notice_risk", EMPLOYEE + RISK[len(VIEWS):] + f"""

@@ -69,7 +69,9 @@ def all_kpis(
         labor = None if labor is None else in_period(labor, period, as_of)
     lacks = missing_columns({"sales": sales, "inventory": inventory, "menu": menu, "labor": labor})
     lit = F.lit
-    # the item figures share one settled base each
+    # figures that share a scan share one settled base
+    if sales is not None:
+        totals = settle(kpi.location_totals(sales), "totals")
     if "cogs_by_category" not in lacks:
         base = settle(item_base(sales), "item_base")
         costs = settle(kpi.ingredient_cost_of(base, menu), "ingredient_cost")
@@ -79,13 +81,13 @@ def all_kpis(
         profit = settle(kpi.profit_of(base, menu), "profit")
     makers = {
         "total_sales": lambda: _long(
-            kpi.total_sales(sales), "total_sales", lit("total"), F.col("total_sales"), None,
+            kpi.total_sales_of(totals), "total_sales", lit("total"), F.col("total_sales"), None,
             F.when(F.col("negative"), "total is negative")),
-        "net_revenue": lambda: _long(kpi.net_revenue(sales), "net_revenue", lit("total"), F.col("net_revenue")),
+        "net_revenue": lambda: _long(totals, "net_revenue", lit("total"), F.col("net_revenue")),
         "splh": lambda: _long(
-            kpi.sales_per_labor_hour(sales, labor), "splh", lit("value"), F.col("splh"), F.col("splh").isNotNull()),
-        "guest_count": lambda: _long(kpi.guest_count(sales), "guest_count", F.col("method"), F.col("guest_count")),
-        "avg_check": lambda: _long(kpi.average_check(sales), "avg_check", lit("value"), F.col("average_check")),
+            kpi.labor_hour_value_of(totals, labor), "splh", lit("value"), F.col("splh"), F.col("splh").isNotNull()),
+        "guest_count": lambda: _long(totals, "guest_count", F.col("method"), F.col("guest_count")),
+        "avg_check": lambda: _long(kpi.average_check_of(totals), "avg_check", lit("value"), F.col("average_check")),
         "top_items": lambda: _long(kpi.top_of(base, top), "top_items", F.col("menu_item"), F.col("units")),
         "gross_profit_per_item": lambda: _long(
             profit, "gross_profit_per_item", F.col("menu_item"), F.col("gross_profit")),
@@ -110,8 +112,8 @@ def all_kpis(
     some = next(df for df in (sales, inventory, menu, labor) if df is not None)
     parts = [make() for name, make in makers.items() if name not in lacks]
     if "cogs_by_category" not in lacks:
-        totals = kpi.cogs_of(costs).groupBy(*KEY).agg(F.sum("cogs").alias("cogs"))
-        parts.append(_long(totals, "total_cogs", lit("total"), F.col("cogs")))
+        total_cogs = kpi.cogs_of(costs).groupBy(*KEY).agg(F.sum("cogs").alias("cogs"))
+        parts.append(_long(total_cogs, "total_cogs", lit("total"), F.col("cogs")))
     for table, df in (("sales", sales), ("inventory", inventory), ("menu", menu), ("labor", labor)):
         if df is not None:
             rows = df.groupBy(*KEY).agg(F.count(lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brigade.functions import periods
-from brigade.operators import anomaly, dashboard, risk, silver
+from brigade.operators import anomaly, dashboard, silver
 from brigade.plans.registry import query
 from brigade.plans.views import AS_OF
 

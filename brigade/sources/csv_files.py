@@ -42,14 +42,13 @@ def file_name(path: Column | None = None) -> Column:
 def headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """One row per file: its header line, names lower-cased and trimmed.
 
-    The header is the line at the file's start: each task keeps one candidate per file and the
-    line found at block 0 wins, so no file is gathered as a whole.
+    Each task keeps one candidate line per file, so no file is gathered as a whole.
     """
     lines = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"),
         F.monotonically_increasing_id().alias("_id"),
-    )
-    first = lines.groupBy("path").agg(F.min_by("value", F.struct("_at", "_id")).alias("line"))
+    ).where(F.col("_at") == 0)
+    first = lines.groupBy("path").agg(F.min_by("value", "_id").alias("line"))
     names = F.transform(F.split("line", ","), lambda c: F.trim(F.replace(F.lower(c), F.lit('"'), F.lit(""))))
     return first.select("path", file_name(F.col("path")).alias("filename"), names.alias("columns"))
 
@@ -83,16 +82,21 @@ def read_upload(spark: SparkSession, path: str | Sequence[str], header: Sequence
     return df.withColumn("filename", file_name(F.col("_metadata.file_path")))
 
 
-def read_category(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def read_category(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """All files of a category, columns aligned by name.
 
-    Files are grouped by their header first, so the number of scans is the number of different
-    headers, not of files. Only header lines pass through the driver.
+    One scan while all files share a header; else one scan per different header over the files that
+    have it. Only the different headers pass through the driver.
     """
-    found = headers(spark, list(paths)).groupBy("columns").agg(F.collect_list("path").alias("paths")).collect()
+    known = headers(spark, paths)
+    variants = sorted(r["columns"] for r in known.select("columns").distinct().collect())
+    if len(variants) == 1:
+        return read_upload(spark, paths, variants[0])
     out = None
-    for row in sorted(found, key=lambda r: r["columns"]):
-        part = read_upload(spark, row["paths"], row["columns"])
+    for columns in variants:
+        own = known.where(F.array_join("columns", ",") == ",".join(columns)).select("path")
+        rows = read_upload(spark, paths, columns).withColumn("path", F.col("_metadata.file_path"))
+        part = attach(rows, own, ["path"], "left_semi").drop("path")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

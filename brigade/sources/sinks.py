@@ -44,6 +44,18 @@ def with_data_copy(df: DataFrame) -> DataFrame:
     return df.withColumn("data", F.to_json(F.struct("*")))
 
 
+def touched_only(old: DataFrame, batch: DataFrame, partition_by: Sequence[str], most: int = 10_000) -> DataFrame:
+    """Stored rows of the partitions a batch touches.
+
+    The first partition column is pruned by its values while the batch has few of them.
+    """
+    first = partition_by[0]
+    values = [r[0] for r in batch.select(first).distinct().limit(most + 1).collect()]
+    if len(values) <= most and None not in values:
+        old = old.where(F.col(first).isin(values))
+    return old.join(batch.select(*partition_by).distinct(), list(partition_by), "left_semi")
+
+
 def insert_new(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = ("location_id",)) -> None:
     """Append the rows whose key is not stored yet. A rerun of the same batch adds nothing."""
     fresh = first_of_key(df, keys)
@@ -51,6 +63,8 @@ def insert_new(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequ
     if old is not None:
         # null-safe, so that rows without a date do not come back on every run
         on = None
+        if set(partition_by) <= set(keys):
+            old = touched_only(old, fresh, partition_by)
         there = old.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
         for k in keys:
             test = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -76,8 +90,7 @@ def upsert_latest(
     old = stored(df.sparkSession, path, df.schema)
     merged = df
     if old is not None:
-        touched = df.select(*partition_by).distinct()
-        merged = old.join(touched, list(partition_by), "left_semi").select(*df.columns).unionByName(df)
+        merged = touched_only(old, df, partition_by).select(*df.columns).unionByName(df)
     _overwrite(settle(_latest(merged, keys, newest_by), "upsert"), path, partition_by)
 
 

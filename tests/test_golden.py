@@ -332,7 +332,7 @@ def test_vectors(spark):
         [(1, "o", [1.0, 0.0]), (2, "o", [-1.0, 0.0]), (3, "o", [0.0, 0.0]), (4, "o", [2.0, 0.0]), (5, "p", [1.0, 0.0]), (6, "o", [0.0, 1.0])],
         "chunk_id long, owner_id string, embedding array<float>")
     q = spark.createDataFrame([("q", "o", [3.0, 0.0])], "query_id string, owner_id string, embedding array<float>")
-    for spread in ({}, {"broadcast_rows": 0, "hot_rows": 2}):
+    for spread in ({}, {"broadcast_bytes": 0, "hot_rows": 2}):
         got = vectors.similar_chunks(chunks, q, ["owner_id"], k=3, **spread).orderBy("rank").collect()
         assert [(r["chunk_id"], round(r["similarity"], 6)) for r in got] == [(1, 1.0), (4, 1.0), (6, 0.0)]
 

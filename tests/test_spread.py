@@ -23,15 +23,15 @@ def test_attach_gives_the_same_rows_broadcast_or_fanned_out(spark):
     for how in ("left", "inner"):
         want = rows(fact.join(stats, ["k"], how))
         assert rows(spread.attach(fact, stats, ["k"], how, weight="n")) == want
-        fanned = spread.attach(fact, stats, ["k"], how, weight="n", broadcast_rows=0, hot_rows=50)
+        fanned = spread.attach(fact, stats, ["k"], how, weight="n", broadcast_bytes=0, hot_rows=50)
         assert rows(fanned) == want
-        assert rows(spread.attach(fact, stats, ["k"], how, broadcast_rows=0)) == want
+        assert rows(spread.attach(fact, stats, ["k"], how, broadcast_bytes=0)) == want
 
 
 def test_attach_spreads_the_hot_key(spark):
     fact = skewed(spark)
     stats = fact.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    fanned = spread.attach(fact, stats, ["k"], "inner", weight="n", broadcast_rows=0, hot_rows=100)
+    fanned = spread.attach(fact, stats, ["k"], "inner", weight="n", broadcast_bytes=0, hot_rows=100)
     plan = fanned._jdf.queryExecution().optimizedPlan().toString()
     assert "_part" in plan
 
@@ -40,7 +40,7 @@ def test_one_to_many_attach(spark):
     fact = skewed(spark)
     many = spark.createDataFrame([("hot", 1, 900), ("hot", 2, 900), ("k1", 3, 5)], "k string, tag int, n long")
     want = rows(fact.join(many, ["k"], "inner"))
-    assert rows(spread.attach(fact, many, ["k"], "inner", weight="n", broadcast_rows=0, hot_rows=100)) == want
+    assert rows(spread.attach(fact, many, ["k"], "inner", weight="n", broadcast_bytes=0, hot_rows=100)) == want
 
 
 def test_running_equals_window(spark):
