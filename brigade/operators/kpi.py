@@ -5,8 +5,6 @@ Amounts are summed as exact decimals, so results do not depend on the order of t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,12 +51,6 @@ def gross_column(sales: DataFrame) -> str:
     return next(c for c in ("gross_sales", "subtotal", "total_amount") if c in sales.columns)
 
 
-def require(df: DataFrame, columns: Sequence[str], kpi: str) -> None:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"{kpi}: missing columns {missing}")
-
-
 def _total(c: Column | str, kind: str = MONEY) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.coalesce(F.sum(c.cast(kind)), F.lit(0))

@@ -131,30 +131,28 @@ def running(
         ),
         "slices",
     )
-    sizes = laid.groupBy(*group, "_slice").agg(
+    # as a struct the group equals itself even where a field is null, and window and join share one shuffle
+    keyed = laid.withColumn("_g", F.struct(*group)).drop(*group)
+    sizes = keyed.groupBy("_g", "_slice").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals]
     )
     # a group appears at most once per slice, so these windows hold at most `slices` rows
-    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
+    whole = Window.partitionBy("_g")
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(
-        *group,
+        "_g",
         "_slice",
         F.sum("_rows").over(whole).alias("_size"),
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         *[F.sum(f"_s_{n}").over(earlier).alias(f"_b_{n}") for n in totals],
-    ).select(*[F.col(g).alias(f"_k_{g}") for g in group], F.col("_slice").alias("_k_slice"),
-             "_before", "_size", *[f"_b_{n}" for n in totals])
-    here = Window.partitionBy(*group, "_slice").orderBy(*order)
+    )
+    here = Window.partitionBy("_g", "_slice").orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = laid.withColumn("_here", F.row_number().over(here))
+    local = keyed.withColumn("_here", F.row_number().over(here))
     for n in totals:
         local = local.withColumn(f"_h_{n}", F.sum(f"_v_{n}").over(upto))
-    match = F.col("_slice") == F.col("_k_slice")
-    for g in group:
-        match = match & F.col(g).eqNullSafe(F.col(f"_k_{g}"))
-    return local.join(before, match).select(
-        *df.columns,
+    return local.join(before, ["_g", "_slice"]).select(
+        *[F.col(f"_g.{c}").alias(c) if c in group else F.col(c) for c in df.columns],
         (F.col("_before") + F.col("_here")).cast("long").alias(rank),
         *([F.col("_size").cast("long").alias(size)] if size else []),
         *[(F.coalesce(f"_b_{n}", F.lit(0)) + F.col(f"_h_{n}")).alias(n) for n in totals],

@@ -134,6 +134,12 @@ def due_renewals(subscriptions: DataFrame, plans: DataFrame, as_of: dt.date) ->
     )
 
 
+def with_manager(rows: DataFrame, managers: DataFrame) -> DataFrame:
+    """The manager's name and e-mail beside each row of a user; users who are none stay."""
+    m = managers.select(F.col("id").alias("user_id"), F.col("email"), F.col("full_name"))
+    return rows.join(m, "user_id", "left")
+
+
 def accumulated(log: DataFrame) -> DataFrame:
     """Usage per user, subscription and kind from the event log."""
     return log.groupBy("user_id", "subscription_id", "usage_type").agg(F.sum("amount").alias("usage_count"))

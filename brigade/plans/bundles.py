@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brigade.functions.items import item_base
 from brigade.functions.numbers import dbl
-from brigade.functions.periods import in_period
+from brigade.functions.periods import between, in_period
 from brigade.operators import dashboard, kpi
 from brigade.operators.kpi import KEY, KPI_NAMES
 from brigade.operators.spread import settle
@@ -59,12 +59,16 @@ def _long(df: DataFrame, name: str, metric: Column, value: Column, valid: Column
 def all_kpis(
     sales: DataFrame | None, inventory: DataFrame | None, menu: DataFrame | None, labor: DataFrame | None,
     period: str = "All", as_of: dt.date | None = None, top: int = 10,
+    bounds: tuple[dt.date, dt.date] | None = None,
 ) -> DataFrame:
     """Every KPI the given tables allow, long: (location_id, kpi, metric, value, valid, warning).
 
-    A KPI whose columns are missing gives one invalid row without a location, naming what it lacks.
+    Sales and labor are taken from a named period before ``as_of``, or from the days in ``bounds``. A KPI whose columns are missing gives one invalid row without a location, naming what it lacks.
     """
-    if as_of is not None:
+    if bounds is not None:
+        sales = None if sales is None else between(sales, bounds)
+        labor = None if labor is None else between(labor, bounds)
+    elif as_of is not None:
         sales = None if sales is None else in_period(sales, period, as_of)
         labor = None if labor is None else in_period(labor, period, as_of)
     lacks = missing_columns({"sales": sales, "inventory": inventory, "menu": menu, "labor": labor})

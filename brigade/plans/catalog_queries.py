@@ -6,12 +6,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from brigade import schemas
 from brigade.functions import clean, items, numbers, periods
 from brigade.operators import catalog, efficiency, silver
 from brigade.plans import bundles
 from brigade.plans.kpi_queries import INGREDIENT_COST, NET
 from brigade.plans.registry import query
 from brigade.plans.views import AS_OF
+from brigade.sources import csv_files, pos_json, sinks, tables
 
 LOC = "location_id::BIGINT AS location_id"
 NAMED = "JOIN v_restaurant r ON r.id = f.location_id"
@@ -584,6 +586,103 @@ def _(t):
     return efficiency.first_per_employee(twice, "name").select("location_id", "employee_id", "name")
 
 
+# -- sources and sinks ----------------------------------------------------------------------------
+
+@query("source_scan_of_days", f"""
+SELECT {LOC}, sale_id, total_amount::DOUBLE AS total_amount FROM v_sales WHERE location_id IN (3, 7)
+  AND date BETWEEN DATE '2000-01-01' AND DATE '2000-06-30'""")
+def _(t):
+    path = t.sales.inputFiles()[0].rsplit("/", 1)[0]
+    return tables.scan(t.spark, path, ["location_id", "sale_id", "total_amount"], [3, 7], dt.date(2000, 1, 1), dt.date(2000, 6, 30))
+
+
+@query("source_union_by_name", """
+SELECT c_name AS name, 'customer' AS kind, c_mktsegment AS segment FROM customer
+UNION ALL SELECT s_name, 'supplier', NULL FROM supplier""")
+def _(t):
+    a = t.raw("customer").select(F.col("c_name").alias("name"), F.lit("customer").alias("kind"), F.col("c_mktsegment").alias("segment"))
+    b = t.raw("supplier").select(F.lit("supplier").alias("kind"), F.col("s_name").alias("name"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("source_json_orders", f"""
+SELECT p.{LOC}, p.order_id::VARCHAR AS order_id, CAST(p.order_date AS VARCHAR) AS order_date, p.total::DOUBLE AS total,
+       COALESCE(i.n, 0) AS items, COALESCE(i.q, 0)::BIGINT AS quantity
+FROM v_pos p LEFT JOIN (SELECT order_id, COUNT(*) AS n, SUM(quantity) AS q FROM v_pos_items GROUP BY 1) i ON p.order_id = i.order_id""")
+def _(t):
+    # the three payload shapes, written from the stored orders
+    one = F.to_json(F.struct(
+        F.col("order_id").cast("string").alias("id"), F.col("order_date").cast("string").alias("order_date"),
+        F.col("order_ts").cast("string").alias("order_ts"), F.col("total").cast("double").alias("total"), "items"))
+    k = F.col("order_id") % 3
+    payload = F.when(k == 0, F.concat(F.lit('{"result": ['), one, F.lit("]}"))).when(
+        k == 1, F.concat(F.lit("["), one, F.lit("]"))).otherwise(one)
+    landed = t.pos_orders.select("location_id", payload.alias("payload"), F.lit("").alias("path"))
+    orders = pos_json.orders(landed, F.col("location_id"), F.lit("2024-01-01").cast("timestamp"))
+    units = F.aggregate(F.transform("items", lambda i: i["quantity"].cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return orders.select(
+        "location_id", "order_id", "order_date", "total", F.coalesce(F.size("items"), F.lit(0)).alias("items"),
+        F.coalesce(units, F.lit(0)).alias("quantity"))
+
+
+@query("source_file_profile", """
+SELECT source AS filename, COUNT(*) AS rows, 3::BIGINT AS columns FROM documents GROUP BY source""")
+def _(t):
+    return csv_files.file_profile(t.raw("documents").select("doc_id", "text", "lang", F.col("source").alias("filename")))
+
+
+@query("source_file_preview", """
+SELECT source AS filename, doc_id, rank FROM (
+  SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 5""")
+def _(t):
+    return csv_files.preview(t.raw("documents").select("doc_id", F.col("source").alias("filename")), "doc_id")
+
+
+@query("sink_keep_latest", """
+SELECT user_id, type, id, is_read, CAST(created_at AS VARCHAR) AS created_at
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, type ORDER BY created_at DESC, id DESC) AS r FROM v_notification) WHERE r = 1""")
+def _(t):
+    return sinks.latest(t.notifications.select("user_id", "type", "id", "is_read", "created_at"), ["user_id", "type"], ["created_at", "id"])
+
+
+@query("sink_insert_new_keys", """
+SELECT DISTINCT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem l
+WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag = 'R' AND r.l_orderkey = l.l_orderkey AND r.l_linenumber = l.l_linenumber)""")
+def _(t):
+    keys = ["l_orderkey", "l_linenumber"]
+    lines = t.raw("lineitem").select(*keys, "l_returnflag")
+    return sinks.new_rows(lines.select(*keys), lines.where(F.col("l_returnflag") == "R").select(*keys), keys)
+
+
+@query("sink_retention", f"""
+SELECT {LOC}, sale_id, CAST(date AS VARCHAR) AS date FROM v_sales WHERE date >= DATE '2001-08-01' - 30""")
+def _(t):
+    return tables.kept(t.sales, AS_OF).select("location_id", "sale_id", "date")
+
+
+@query("sink_delete_by_key", """
+SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (
+  SELECT 1 FROM documents g WHERE g.n_chars > 5000 AND g.lang = d.lang AND g.source = d.source)""")
+def _(t):
+    docs = t.raw("documents").select("doc_id", "lang", "source", "n_chars")
+    return tables.without_keys(docs.drop("n_chars"), docs.where(F.col("n_chars") > 5000), ["lang", "source"])
+
+
+@query("clean_header_aliases", """
+SELECT o_orderkey::VARCHAR AS sale_id, o_orderpriority AS payment_method, CAST(NULL AS VARCHAR) AS covers FROM orders""")
+def _(t):
+    raw = t.raw("orders").select(F.col("o_orderkey").cast("string").alias("Sale ID"), F.col("o_orderpriority").alias("Payment Method"))
+    return clean.aliased(raw, schemas.SALES_HEADERS).select("sale_id", "payment_method", "covers")
+
+
+@query("clean_first_present_column", """
+SELECT c_custkey AS customer_id, c_name AS name FROM customer""")
+def _(t):
+    raw = t.raw("customer").select("c_custkey", F.col("c_name").alias("CustomerName"), F.lit("-").alias("other"))
+    named = clean.first_present(raw, {"name": ["Name", "name", "CustomerName"], "customer_id": ["Customer ID", "c_custkey"]})
+    return named.select("customer_id", "name")
+
+
 # -- bundles -------------------------------------------------------------------------------------
 
 ALL = NET + INGREDIENT_COST + """, v_cogs AS (SELECT location_id, 'Food' AS category, SUM(cost) AS cogs FROM v_ingredient_cost GROUP BY 1),
@@ -660,6 +759,15 @@ def _(t):
     return year.where(wanted).drop("valid", "warning")
 
 
+@query("kpi_all_of_a_date_range", NET.replace("FROM v_sales", "FROM v_sales WHERE date BETWEEN DATE '2000-03-01' AND DATE '2000-03-20'") + f"""
+SELECT {LOC}, 'total_sales' AS kpi, 'total' AS metric, gross_sales::DOUBLE AS value FROM v_net2
+UNION ALL SELECT location_id, 'net_revenue', 'total', net_revenue::DOUBLE FROM v_net2""")
+def _(t):
+    days = bundles.all_kpis(t.sales, None, None, None, bounds=(dt.date(2000, 3, 1), dt.date(2000, 3, 20)))
+    wanted = F.col("kpi").isin("total_sales", "net_revenue") & F.col("location_id").isNotNull()
+    return days.where(wanted).drop("valid", "warning")
+
+
 @query("dash_bundle_headlines", f"""
 SELECT s.*, l.mean_hourly_rate, v.stock_value, c.revenue, c.cogs, c.gross_profit, c.food_cost_pct FROM (
   SELECT {LOC}, SUM(total_amount)::DOUBLE AS total_revenue, SUM(total_amount)::DOUBLE / COUNT(*) AS average_order_value,

@@ -473,6 +473,24 @@ def _(t):
     return usage.due_renewals(t.subscriptions, t.plans, AS_OF)
 
 
+@query("usage_trials_with_managers", """
+SELECT s.user_id, s.id, CAST(trial_end_date AS VARCHAR) AS trial_end_date, d::BIGINT AS days_left,
+       CASE WHEN d < 0 THEN 'expired' WHEN d <= 1 THEN 'ending' ELSE 'reminder' END AS state, m.email, m.full_name
+FROM (SELECT *, trial_end_date - DATE '2001-08-01' AS d FROM v_subscription WHERE is_trial AND is_active) s
+LEFT JOIN v_manager m ON s.user_id = m.id WHERE d <= 3""")
+def _(t):
+    return usage.with_manager(usage.trial_states(t.subscriptions, AS_OF), t.managers)
+
+
+@query("usage_renewals_with_managers", """
+SELECT s.user_id, s.id, price::DOUBLE AS price, CAST(end_date AS VARCHAR) AS end_date,
+       CAST(end_date + CASE WHEN is_yearly THEN 365 ELSE 30 END AS VARCHAR) AS next_end_date, m.email, m.full_name
+FROM v_subscription s JOIN v_plan p ON s.plan_id = p.id LEFT JOIN v_manager m ON s.user_id = m.id
+WHERE is_active AND NOT is_trial AND auto_renew AND end_date <= DATE '2001-08-01'""")
+def _(t):
+    return usage.with_manager(usage.due_renewals(t.subscriptions, t.plans, AS_OF), t.managers)
+
+
 @query("usage_subscription_history", """
 SELECT s.id, s.user_id, p.name AS plan_name, price::DOUBLE AS price, is_active, is_trial, CAST(end_date AS VARCHAR) AS end_date
 FROM v_subscription s JOIN v_plan p ON s.plan_id = p.id""")

@@ -56,30 +56,39 @@ def touched_only(old: DataFrame, batch: DataFrame, partition_by: Sequence[str],
     return old.join(batch.select(*partition_by).distinct(), list(partition_by), "left_semi")
 
 
+def new_rows(batch: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key of the batch, without the keys that are stored.
+
+    Null-safe, so that rows without a date do not come back on every run.
+    """
+    there = old.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    on = None
+    for k in keys:
+        test = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        on = test if on is None else on & test
+    return first_of_key(batch, keys).join(there, on, "left_anti")
+
+
 def insert_new(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = ("location_id",)) -> None:
     """Append the rows whose key is not stored yet. A rerun of the same batch adds nothing."""
-    fresh = first_of_key(df, keys)
     old = stored(df.sparkSession, path, df.schema)
-    if old is not None:
-        # null-safe, so that rows without a date do not come back on every run
-        on = None
+    if old is None:
+        fresh = first_of_key(df, keys)
+    else:
         if set(partition_by) <= set(keys):
-            old = touched_only(old, fresh, partition_by)
-        there = old.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
-        for k in keys:
-            test = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-            on = test if on is None else on & test
-        fresh = fresh.join(there, on, "left_anti")
+            old = touched_only(old, df, partition_by)
+        fresh = new_rows(df, old, keys)
     fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def _latest(df: DataFrame, keys: Sequence[str], newest_by: Sequence[str]) -> DataFrame:
+def latest(df: DataFrame, keys: Sequence[str], newest_by: Sequence[str]) -> DataFrame:
+    """The newest row per key, merged map-side."""
     rest = [c for c in df.columns if c not in keys]
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*newest_by)).alias("_r"))
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def upsert_latest(
+def upsertlatest(
     df: DataFrame, path: str, keys: Sequence[str], newest_by: Sequence[str],
     partition_by: Sequence[str] = ("location_id",),
 ) -> None:
@@ -91,7 +100,7 @@ def upsert_latest(
     merged = df
     if old is not None:
         merged = touched_only(old, df, partition_by).select(*df.columns).unionByName(df)
-    _overwrite(settle(_latest(merged, keys, newest_by), "upsert"), path, partition_by)
+    _overwrite(settle(latest(merged, keys, newest_by), "upsert"), path, partition_by)
 
 
 def _overwrite(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:

@@ -24,6 +24,8 @@ def test_every_query_has_sql():
 def test_query_matches_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     assert oracle.compare(df, con, SQL[name]) is None
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas") if w in plan]
 
 
 def test_entry_has_rows(spark):
