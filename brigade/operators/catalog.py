@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from brigade.functions import periods
 from brigade.functions.numbers import MONEY, ratio
 from brigade.operators.kpi import AMOUNT_QTY, KEY
-from brigade.operators.spread import paged_list
+from brigade.operators.spread import paged_list, settle
 
 # Words that name a period, and default columns per table.
 PERIOD_WORDS = (
@@ -89,7 +89,8 @@ def tip_percentage(sales: DataFrame) -> DataFrame:
 
 
 def menu_by_category(menu: DataFrame) -> DataFrame:
-    pairs = menu.where(F.col("category").isNotNull()).select(*KEY, "category", "menu_item").distinct()
+    named = menu.where(F.col("category").isNotNull())
+    pairs = settle(named.select(*KEY, "category", "menu_item").distinct(), "menu_items")
     counts = pairs.groupBy(*KEY, "category").agg(F.count("menu_item").alias("item_count"))
     return counts.join(paged_list(pairs, [*KEY, "category"], "menu_item", "items"), [*KEY, "category"])
 

@@ -17,7 +17,7 @@ from brigade.functions.items import (
     times,
 )
 from brigade.functions.numbers import MONEY, dbl, ratio, to_cents, zero_if_null
-from brigade.operators.spread import attach, running, top_within
+from brigade.operators.spread import attach, running, settle, top_within
 
 KEY = ["location_id"]
 AMOUNT_QTY = "decimal(14,3)"
@@ -276,7 +276,8 @@ def overtime_pct(labor: DataFrame, warn_above: float = 50.0) -> DataFrame:
 
 def menu_quadrants(sales: DataFrame, menu: DataFrame) -> DataFrame:
     """Popularity against profitability with exact medians and full ranks."""
-    return quadrants_of(gross_profit_per_item(sales, menu))
+    # ranking samples its input before it shuffles it: settled, the sales are scanned once
+    return quadrants_of(settle(gross_profit_per_item(sales, menu), "profit"))
 
 
 def quadrants_of(items: DataFrame) -> DataFrame:

@@ -47,8 +47,10 @@ class Tables:
             "l_orderkey", "l_partkey", "l_suppkey", "l_discount", money("l_extendedprice").alias("price")
         )
         parts = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-        # an order has a handful of lines: the list per order is small
-        per_order = lines.join(parts, "l_partkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        # an order has a handful of lines, so a combine before the shuffle would gain nothing: rows are
+        # brought together by order first and the short lists are built behind the shuffle
+        near = lines.join(parts, "l_partkey").withColumnRenamed("l_orderkey", "o_orderkey").repartition("o_orderkey")
+        per_order = near.groupBy("o_orderkey").agg(
             F.sort_array(F.collect_list(F.struct("l_partkey", "p_name"))).alias("_lines"),
             F.count(F.lit(1)).cast("int").alias("number_of_items"),
             F.sum("price").cast(MONEY).alias("subtotal"),
@@ -279,9 +281,9 @@ class Tables:
     def pos_orders(self) -> DataFrame:
         lines = self.raw("lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), "l_quantity", money("l_extendedprice").alias("amount"))
         food = (F.col("amount") * F.lit("0.3").cast("decimal(2,1)")).cast(MONEY)
-        per_order = lines.join(self.raw("part").select("p_partkey", "p_name"), "p_partkey").groupBy(
-            F.col("l_orderkey").alias("o_orderkey")
-        ).agg(
+        near = lines.join(self.raw("part").select("p_partkey", "p_name"), "p_partkey").withColumnRenamed(
+            "l_orderkey", "o_orderkey").repartition("o_orderkey")
+        per_order = near.groupBy("o_orderkey").agg(
             F.collect_list(
                 F.struct(
                     F.col("p_name").alias("menu_item_name"), F.col("l_quantity").cast("int").alias("quantity"),

@@ -88,7 +88,7 @@ def latest(df: DataFrame, keys: Sequence[str], newest_by: Sequence[str]) -> Data
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def upsertlatest(
+def upsert_latest(
     df: DataFrame, path: str, keys: Sequence[str], newest_by: Sequence[str],
     partition_by: Sequence[str] = ("location_id",),
 ) -> None:

@@ -10,7 +10,7 @@ from brigade.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(partitions=8)
+    s = local_session(partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
