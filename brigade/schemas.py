@@ -30,7 +30,7 @@ department string, hire_date date, termination_date date, filename string, total
 
 POS_ORDER = """
 location_id string, order_id string, order_date date, order_ts timestamp, total decimal(18,2), status string,
-items array<struct<menu_item_name: string, quantity: int, amount: decimal(18,2), food_cost: decimal(18,2)>>,
+items array<struct<menu_item_name: string, quantity: int, amount: double, food_cost: double>>,
 ingest_ts timestamp
 """
 

@@ -159,3 +159,18 @@ def test_payload_shapes(spark, folder):
     menu = spark.createDataFrame([('{"result": [{"id": "7", "name": "Pie", "price": 3}]}',)], "payload string").withColumn("path", F.lit(""))
     one = pos_json.menu(menu, F.lit("L")).first()
     assert one["name"] == "Pie" and one["price"] == Decimal("3.00") and one["cost"] == Decimal("0.00")
+
+
+def test_cleaned_tables_have_the_canonical_schemas(spark, folder):
+    from brigade import schemas
+
+    paths = dict(zip(("sales", "labor", "stock", "menu"), write(folder, sales=SALES_A, labor=LABOR, stock=INVENTORY, menu=MENU)))
+    made = {
+        schemas.SALES: silver.clean_sales(csv_files.read_category(spark, [paths["sales"]]), F.lit("L")),
+        schemas.LABOR: silver.clean_labor(csv_files.read_category(spark, [paths["labor"]]), F.lit("L")),
+        schemas.INVENTORY: silver.clean_inventory(csv_files.read_category(spark, [paths["stock"]]), F.lit("L")),
+        schemas.MENU: silver.clean_menu(csv_files.read_category(spark, [paths["menu"]]), F.lit("L")),
+    }
+    for ddl, df in made.items():
+        want = spark.createDataFrame([], ddl).schema
+        assert [(f.name, f.dataType) for f in df.schema.fields] == [(f.name, f.dataType) for f in want.fields]
