@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brigade.llm import byte_bpe, token_counts
+from brigade.llm import byte_bpe, chat, quality_rules, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,3 +46,89 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     wanted = ["n_tokens", "ids_sha256", "decoded_sha256"]
     return byte_bpe.encode(docs, ranks, outputs=wanted).select("doc_id", *wanted)
+
+
+@query("op2_chat_formatting", """
+WITH rows AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+         count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM rows),
+prefixes AS (
+  SELECT conv_id, pos, n_turns,
+         md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY pos)) AS h
+  FROM turns),
+kept AS (
+  SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies FROM prefixes
+  WHERE pos = n_turns AND (n_turns, h) NOT IN (SELECT (pos, h) FROM prefixes WHERE pos < n_turns)
+  GROUP BY n_turns, h)
+SELECT t.conv_id, (t.pos - 1) // 1000 AS page, k.n_turns, k.n_copies,
+       string_agg('<|' || t.role || '|>' || chr(10) || t.text || chr(10), '' ORDER BY t.pos) AS rendered
+FROM turns t JOIN kept k ON t.conv_id IS NOT DISTINCT FROM k.conv_id
+GROUP BY ALL
+""")
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+OP6_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, regexp_extract_all(text, '{WORD}') AS words FROM d),
+grams AS (
+  SELECT row, i, words[i:i + 4] AS gram FROM (SELECT row, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, gram) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT row, count(DISTINCT i + j) AS n FROM (SELECT row, i, unnest(range(5)) AS j FROM twice) GROUP BY row),
+lines AS (
+  SELECT row, line, len(regexp_extract_all(line, '{WORD}')) AS n,
+         length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS ink,
+         length(regexp_replace(line, '[\x20\x09-\x0D#*$%&|<>~^=_+{{}}\\@!]', '', 'g')) AS unmarked,
+         length(line) - length(regexp_replace(line, '[|»›•·]', '', 'g')) AS bars
+  FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d)),
+judged AS (
+  SELECT row, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
+         sum(n) FILTER (NOT (
+           ink - unmarked >= 3 AND (ink - unmarked) * 10 > ink OR bars >= 2 AND bars * 4 >= n OR n <= 30 AND regexp_matches(line,
+           '(?i)licensed under|all rights reserved|copyright|©|cookie|privacy policy|terms of (use|service)|subscribe|sign (in|up)|log in|click here|read more|share this|enable javascript|lorem ipsum|permission is hereby granted|without warranty|spdx-license-identifier'
+           ))) AS kept_words
+  FROM lines GROUP BY row),
+base AS (
+  SELECT d.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(kept_words, 0) AS kept_words
+  FROM d JOIN w USING (row) JOIN judged USING (row) LEFT JOIN covered c USING (row))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND kept_words * 100 >= n_words * 50 AS kept
+FROM base
+"""
+
+
+@query("op6_quality_rules", OP6_SQL)
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.clean(docs).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
+def sharding_sql(limit: int) -> str:
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(strlen(text), 0) AS n_bytes,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+buckets AS (
+  SELECT depth, h >> (60 - depth) AS prefix, sum(n_bytes)::BIGINT AS bytes, count(*) AS docs
+  FROM d, range(61) r(depth) GROUP BY ALL),
+placed AS (
+  SELECT d.row, doc_id, n_bytes, h, b.* FROM d JOIN buckets b ON b.prefix = d.h >> (60 - b.depth)
+  WHERE b.bytes <= {limit} OR b.docs = 1
+  QUALIFY row_number() OVER (PARTITION BY d.row ORDER BY depth) = 1)
+SELECT doc_id, n_bytes, CASE depth WHEN 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END AS shard,
+       depth::BIGINT AS depth, docs AS shard_docs, bytes AS shard_bytes, bytes <= {limit} AS fits
+FROM placed
+"""
+
+
+@query("op7_sharding", sharding_sql(sharding.LIMIT_BYTES))
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
