@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brigade.llm import byte_bpe, chat, decontaminate, near_dedup, quality_rules, sharding, token_counts
+from brigade.llm import byte_bpe, chat, decontaminate, near_dedup, quality_rules, sharding, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -177,3 +177,35 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, hex(b) AS x, octet_length(b)::BIGINT AS n FROM d),
+starts AS (SELECT doc_id, p, x[2 * p + 1:2 * p + 200] AS s FROM (SELECT *, unnest(range(0, n - 99)) AS p FROM h)),
+later AS (
+  SELECT doc_id, p FROM starts QUALIFY (doc_id, p) > min((doc_id, p)) OVER (PARTITION BY s)),
+runs AS (
+  SELECT doc_id, min(p) AS low, max(p) + 100 AS high
+  FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run
+        FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM later))
+  GROUP BY doc_id, run),
+cut AS (
+  SELECT doc_id, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans,
+         [0] || flatten(list([low, high] ORDER BY low)) AS edges
+  FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+         x, coalesce(edges, [0]) || [n] AS e
+  FROM h LEFT JOIN cut USING (doc_id))
+SELECT doc_id, n_bytes, n_removed, n_spans,
+       sha256(unhex(list_aggregate(list_transform(range(1, len(e), 2), i -> x[2 * e[i] + 1:2 * e[i + 1]]), 'string_agg', ''))) AS kept_sha256
+FROM kept
+"""
+
+
+@query("op1_suffix_array_dedup")
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
