@@ -199,12 +199,12 @@ kept AS (
          x, coalesce(edges, [0]) || [n] AS e
   FROM h LEFT JOIN cut USING (doc_id))
 SELECT doc_id, n_bytes, n_removed, n_spans,
-       sha256(unhex(list_aggregate(list_transform(range(1, len(e), 2), i -> x[2 * e[i] + 1:2 * e[i + 1]]), 'string_agg', ''))) AS kept_sha256
+       sha256(unhex(list_aggregate(list_transform(range(1, len(e), 2), lambda i: x[2 * e[i] + 1:2 * e[i + 1]]), 'string_agg', ''))) AS kept_sha256
 FROM kept
 """
 
 
-@query("op1_suffix_array_dedup")
+@query("op1_suffix_array_dedup", OP1_SQL)
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.dedup(docs).select(
