@@ -46,7 +46,7 @@ def row_bytes(df: DataFrame) -> Column:
     """Size of a row, counted high: texts and lists by their length, 16 bytes for all else."""
     size = F.lit(16)
     for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType):
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             size = size + 16 + F.coalesce(F.octet_length(f.name), F.lit(0))
         elif isinstance(f.dataType, T.ArrayType):
             size = size + 16 + 16 * F.coalesce(F.size(f.name), F.lit(0))
