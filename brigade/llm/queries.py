@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brigade.llm import byte_bpe, chat, decontaminate, near_dedup, quality_rules, sharding, suffix_dedup, token_counts
+from brigade.llm import (
+    byte_bpe, chat, decontaminate, language_id, near_dedup, quality_rules, quality_score, sampling, sharding, suffix_dedup, token_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -209,3 +211,21 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.dedup(docs).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = sampling.remainder(F.col("doc_id"), 3)
+    model = language_id.fit(docs.select("doc_id", "text", "lang"), rest != 1)
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = sampling.remainder(F.col("doc_id"), 4)
+    model = quality_score.fit(docs, table(spark, sf_dir, "labels"), rest != 2)
+    return quality_score.score(docs, model).select(
+        "doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
