@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 
 from brigade.llm import arrow_text, deep_shallow
 from brigade.llm.words import powers
-from brigade.operators.spread import attach, settle
+from brigade.llm.joins import attach
+from brigade.operators.spread import settle
 
 LENGTH = 100
 GRAM = 32
@@ -326,8 +327,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
 
 def dedup(
     df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot_rows: int = HOT_ROWS,
+    whole_characters: bool = False,
 ) -> DataFrame:
-    """The input with n_bytes, n_removed, spans (start and end of each removed run) and kept (the remaining bytes)."""
+    """The input with n_bytes, n_removed, spans (start and end of each removed run) and kept (the remaining bytes).
+
+    With ``whole_characters`` kept is text, without the rest of characters that were cut.
+    """
     if not 1 <= gram <= length <= gram + 255:
         raise ValueError("a gram must fit into the string, and at most 256 starts share one")
     keep = [c for c in df.columns if c not in ADDED]
@@ -339,6 +344,8 @@ def dedup(
     joined = attach(source, spans.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")), ["_id", "_tag"])
     joined = joined.select(*[f"`{c}`" for c in keep], "_spans")
     schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(c, t) for c, t in ADDED.items()]])
+    if whole_characters:
+        schema["kept"].dataType = T.StringType()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,12 +355,13 @@ def dedup(
             for k, spans in enumerate(batch.column(len(keep)).to_pylist()):
                 own, spans = whole[at[k] : at[k + 1]], spans or []
                 edges = [0, *spans, len(own)]
-                kept.append(b"".join(own[x:y] for x, y in zip(edges[::2], edges[1::2])))
+                rest = b"".join(own[x:y] for x, y in zip(edges[::2], edges[1::2]))
+                kept.append(rest.decode("utf-8", "ignore") if whole_characters else rest)
                 pairs.append([list(x) for x in zip(spans[::2], spans[1::2])])
-                n_removed.append(len(own) - len(kept[-1]))
+                n_removed.append(len(own) - len(rest))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(np.diff(at)), pa.array(n_removed, pa.int64()),
-                 pa.array(pairs, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())],
+                 pa.array(pairs, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string() if whole_characters else pa.binary())],
                 names=[*keep, *ADDED],
             )
 
