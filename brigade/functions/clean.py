@@ -8,8 +8,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Accepted date forms in order of precedence, and words that mean true.
+# Accepted date forms in order of precedence, free forms tried after them, the first two-digit year
+# that means the last century, and words that mean true.
 DATE_FORMS = ("yyyy-MM-dd", "d/M/yyyy", "M/d/yyyy")
+FREE_FORMS = ("yyyy/M/d", "M-d-yyyy", "d-M-yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "d MMMM yyyy", "d MMM yyyy")
+FIRST_OLD_YEAR = 69
 SHORT_DATE_FORMS = ("M/d/yy",)
 TIME_FORM = "HH:mm:ss"
 TRUE_WORDS = ("TRUE", "1", "YES")
@@ -48,7 +51,14 @@ def parse_date(c: Column | str, forms: Sequence[str] = DATE_FORMS) -> Column:
     Whatever no form takes is tried as free-form date text last.
     """
     c = F.trim(F.col(c) if isinstance(c, str) else c)
-    return F.coalesce(*[F.try_to_date(c, f) for f in forms], c.try_cast("date"))
+
+    def read(form: str) -> Column:
+        day = F.try_to_date(c, form)
+        if not re.search(r"(?<!y)yy(?!y)", form):
+            return day
+        return F.when(F.year(day) % 100 >= FIRST_OLD_YEAR, F.add_months(day, -1200)).otherwise(day)
+
+    return F.coalesce(*[read(f) for f in forms], *[read(f) for f in FREE_FORMS], c.try_cast("date"))
 
 
 def parse_hour(c: Column | str, form: str = TIME_FORM) -> Column:

@@ -7,10 +7,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Named trailing periods in days, first day of "all", longest explicit range.
+# Named trailing periods in days, first day of "all", and the short range of a chat answer.
 PERIOD_DAYS = {"Last_week": 7, "Last_15_days": 15, "Last_month": 30, "Last_6_months": 180, "Last_year": 365}
 FIRST_DAY = dt.date(2000, 1, 1)
-MAX_RANGE_DAYS = 20
+SHORT_RANGE_DAYS = 20
 
 
 def period_bounds(period: str, as_of: dt.date) -> tuple[dt.date, dt.date]:
@@ -34,22 +34,26 @@ def last_days_of_data(df: DataFrame, days: int = 7, col: str = "date") -> DataFr
 
 
 def from_cutoff_or_all(df: DataFrame, cutoff: dt.date, col: str = "date") -> DataFrame:
-    """Rows from the cut-off on, or all rows when nothing is that new."""
-    newest = df.agg(F.max(col)).first()[0]
-    if newest is None or cutoff > newest:
-        return df
-    return df.where(F.col(col) >= F.lit(cutoff))
+    """Each location's rows from the cut-off on, or all its rows when none is that new."""
+    from brigade.operators.spread import attach
+
+    newest = df.groupBy("location_id").agg(F.max(col).alias("_newest"), F.count(F.lit(1)).alias("_n"))
+    near = attach(df, newest, ["location_id"], "left", weight="_n")
+    old = F.coalesce(F.col("_newest") < F.lit(cutoff), F.lit(True))
+    return near.where(old | (F.col(col) >= F.lit(cutoff))).drop("_newest", "_n")
 
 
-def clamped_range(a: dt.date, b: dt.date, days: int = MAX_RANGE_DAYS) -> tuple[dt.date, dt.date]:
+def clamped_range(a: dt.date, b: dt.date, days: int | None = None) -> tuple[dt.date, dt.date]:
+    """The range in order; cut to ``days`` only when asked to (SHORT_RANGE_DAYS for a chat answer)."""
     start, end = min(a, b), max(a, b)
-    return start, min(end, start + dt.timedelta(days=days))
+    return start, end if days is None else min(end, start + dt.timedelta(days=days))
 
 
-def checked_range(a: dt.date, b: dt.date, days: int = MAX_RANGE_DAYS) -> tuple[dt.date, dt.date]:
+def checked_range(a: dt.date, b: dt.date, days: int | None = None) -> tuple[dt.date, dt.date]:
+    """The range, refused when it runs backwards or, if asked, is longer than ``days``."""
     if b < a:
         raise ValueError("the range ends before it starts")
-    if (b - a).days > days:
+    if days is not None and (b - a).days > days:
         raise ValueError(f"the range exceeds {days} days")
     return a, b
 

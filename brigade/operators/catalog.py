@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from brigade.functions import periods
 from brigade.functions.numbers import MONEY, ratio
 from brigade.operators.kpi import AMOUNT_QTY, KEY
-from brigade.operators.spread import paged_list, settle
+from brigade.operators.spread import paged_list, settle, top_within
 
 # Words that name a period, and default columns per table.
 PERIOD_WORDS = (
@@ -230,17 +230,18 @@ def best_item_texts(restaurants: DataFrame, sales: DataFrame, as_of: dt.date, li
         F.count(F.lit(1)).alias("times_ordered"), F.sum("number_of_items").alias("total_quantity"),
         _sum("subtotal").alias("total_revenue"), _mean("subtotal").alias("avg_order_value"),
     )
-    named = restaurant_rows(restaurants, sums, *sums.columns[1:])
-    return named.orderBy(F.col("total_revenue").desc(), "restaurant_name", "items_sold").limit(limit)
+    best = first_rows(sums, limit, F.col("total_revenue").desc(), "items_sold")
+    return restaurant_rows(restaurants, best, *sums.columns[1:])
 
 
 def low_alerts(restaurants: DataFrame, inventory: DataFrame, limit: int = 20) -> DataFrame:
-    low = restaurant_rows(restaurants, inventory.where(F.col("alert") == "low"), "ingredient", "quantity")
-    return low.orderBy("restaurant_name", "quantity", "ingredient").limit(limit)
+    low = inventory.where(F.col("alert") == "low").select(*KEY, "ingredient", "quantity")
+    return restaurant_rows(restaurants, first_rows(low, limit, "quantity", "ingredient"), "ingredient", "quantity")
 
 
-def first_rows(df: DataFrame, limit: int, *order: str) -> DataFrame:
-    return df.orderBy(*order).limit(limit)
+def first_rows(df: DataFrame, limit: int, *order: str | Column) -> DataFrame:
+    """The first rows of every restaurant."""
+    return top_within(df, KEY, [F.col(c) if isinstance(c, str) else c for c in order], limit, rank="_place").drop("_place")
 
 
 def restaurant_sales(restaurants: DataFrame, sales: DataFrame, keep_empty: bool = True) -> DataFrame:
@@ -292,8 +293,8 @@ def frequent_item_texts(restaurants: DataFrame, sales: DataFrame, limit: int = 2
     sums = sales.where(F.col("items_sold").isNotNull()).groupBy(*KEY, "items_sold").agg(
         F.count(F.lit(1)).alias("times_ordered"), F.sum("number_of_items").alias("total_quantity")
     )
-    named = restaurant_rows(restaurants, sums, "items_sold", "times_ordered", "total_quantity")
-    return named.orderBy("restaurant_name", F.col("times_ordered").desc(), "items_sold").limit(limit)
+    best = first_rows(sums, limit, F.col("times_ordered").desc(), "items_sold")
+    return restaurant_rows(restaurants, best, "items_sold", "times_ordered", "total_quantity")
 
 
 def average_tip(restaurants: DataFrame, sales: DataFrame) -> DataFrame:

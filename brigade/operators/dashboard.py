@@ -226,9 +226,10 @@ def latest_sales(sales: DataFrame, n: int = 100) -> DataFrame:
     return top_within(sales, KEY, [F.col("date").desc(), F.col("sale_id").desc()], n)
 
 
-def location_overview(sales: DataFrame, anomalies: DataFrame, alerts: DataFrame, n: int = 100) -> DataFrame:
-    """Every location over its latest n sales: revenue, sales, newest date, anomalies and alerts."""
-    recent = latest_sales(sales, n).select(*KEY, "sale_id", "date", "total_amount")
+def location_overview(sales: DataFrame, anomalies: DataFrame, alerts: DataFrame, only_latest: int | None = None) -> DataFrame:
+    """Every location: revenue, sales, newest date, anomalies and alerts; over all its sales, or only the latest ones."""
+    recent = sales if only_latest is None else latest_sales(sales, only_latest)
+    recent = recent.select(*KEY, "sale_id", "date", "total_amount")
     figures = recent.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("transactions"),
         F.sum(F.col("total_amount").cast(MONEY)).alias("revenue"),

@@ -164,6 +164,12 @@ def all_subscriptions(
     )
 
 
+def with_default_limit(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rows of users with their limit; users without one have DEFAULT_LIMIT."""
+    known = limits.select("user_id", "max_engagements")
+    return rows.join(known, "user_id", "left").fillna(DEFAULT_LIMIT, ["max_engagements"])
+
+
 def metered(
     log: DataFrame, limits: DataFrame, tokens: int = TOKENS_PER_ENGAGEMENT, alert_share: float = ALERT_SHARE
 ) -> DataFrame:
@@ -173,9 +179,8 @@ def metered(
     is a distributed running count, so one busy user does not end up in one task.
     """
     numbered = running(log, ["user_id", "cycle_start"], [F.col("ts"), F.col("engagement_id")], rank="nth")
-    known = limits.select("user_id", "max_engagements")
     sizes = log.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-    bounded = known.join(sizes, "user_id")
+    bounded = with_default_limit(sizes, limits)
     with_limit = attach(numbered, bounded, ["user_id"], "inner", weight="_n").drop("_n")
     accepted = F.col("nth") <= F.col("max_engagements")
     share = ratio(F.least("nth", "max_engagements"), "max_engagements", 0.0)
@@ -194,6 +199,6 @@ def cycle_counters(log: DataFrame, limits: DataFrame, tokens: int = TOKENS_PER_E
     """Counters per user and cycle: a new cycle starts at zero."""
     counts = log.groupBy("user_id", "cycle_start").agg(F.count(F.lit(1)).alias("_n"))
     used = F.least(F.col("_n"), F.col("max_engagements")).cast("long")
-    return counts.join(limits.select("user_id", "max_engagements"), "user_id").select(
+    return with_default_limit(counts, limits).select(
         "user_id", "cycle_start", used.alias("engagements_used"), (used * tokens).alias("tokens_used")
     )

@@ -201,7 +201,7 @@ def _(t):
 
 @query("store_employees_hired_date_range", f"""
 SELECT {LOC}, employee_id, name, role, CAST(hire_date AS VARCHAR) AS hire_date FROM v_labor
-WHERE hire_date BETWEEN DATE '2001-07-01' AND DATE '2001-07-21'""")
+WHERE hire_date BETWEEN DATE '2001-07-01' AND DATE '2001-12-31'""")
 def _(t):
     return catalog.rows_in_range(t.labor, dt.date(2001, 7, 1), dt.date(2001, 12, 31), "hire_date",
                                  "employee_id", "name", "role", "hire_date")
@@ -230,10 +230,11 @@ def _(t):
 
 @query("restaurant_list_all_ingredients", f"""
 SELECT r.name AS restaurant_name, ingredient, quantity, unit_cost::DOUBLE AS unit_cost FROM v_inventory f {NAMED}
-ORDER BY r.name, ingredient LIMIT 100""")
+QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY ingredient, quantity, f.unit_cost) <= 100""")
 def _(t):
-    rows = catalog.restaurant_rows(t.restaurants, t.inventory, "ingredient", "quantity", "unit_cost")
-    return catalog.first_rows(rows, 100, "restaurant_name", "ingredient")
+    rows = t.inventory.select("location_id", "ingredient", "quantity", "unit_cost")
+    first = catalog.first_rows(rows, 100, "ingredient", "quantity", "unit_cost")
+    return catalog.restaurant_rows(t.restaurants, first, "ingredient", "quantity", "unit_cost")
 
 
 @query("restaurant_ingredient_quantity_total", f"""
@@ -247,25 +248,26 @@ def _(t):
 SELECT r.name AS restaurant_name, items_sold, COUNT(DISTINCT sale_id) AS times_ordered, SUM(number_of_items)::BIGINT AS total_quantity,
        SUM(subtotal)::DOUBLE AS total_revenue, SUM(subtotal)::DOUBLE / COUNT(*) AS avg_order_value
 FROM v_sales f {NAMED} WHERE items_sold IS NOT NULL AND date >= DATE '2001-07-25' GROUP BY 1, 2
-ORDER BY SUM(subtotal) DESC, 1, 2 LIMIT 3""")
+QUALIFY row_number() OVER (PARTITION BY r.name ORDER BY SUM(subtotal) DESC, items_sold) <= 3""")
 def _(t):
     return catalog.best_item_texts(t.restaurants, t.sales, AS_OF)
 
 
 @query("restaurant_low_stock", f"""
 SELECT r.name AS restaurant_name, ingredient, quantity FROM v_inventory f {NAMED} WHERE alert = 'low'
-ORDER BY r.name, quantity, ingredient LIMIT 20""")
+QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY quantity, ingredient) <= 20""")
 def _(t):
     return catalog.low_alerts(t.restaurants, t.inventory)
 
 
 @query("restaurant_search_ingredient", f"""
 SELECT r.name AS restaurant_name, ingredient, quantity, unit_cost::DOUBLE AS unit_cost FROM v_inventory f {NAMED}
-WHERE ingredient ILIKE '%small%' ORDER BY r.name, ingredient LIMIT 10""")
+WHERE ingredient ILIKE '%small%'
+QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY ingredient, quantity, f.unit_cost) <= 10""")
 def _(t):
-    rows = t.inventory.where(catalog.like("ingredient", "small"))
-    named = catalog.restaurant_rows(t.restaurants, rows, "ingredient", "quantity", "unit_cost")
-    return catalog.first_rows(named, 10, "restaurant_name", "ingredient")
+    rows = t.inventory.where(catalog.like("ingredient", "small")).select("location_id", "ingredient", "quantity", "unit_cost")
+    first = catalog.first_rows(rows, 10, "ingredient", "quantity", "unit_cost")
+    return catalog.restaurant_rows(t.restaurants, first, "ingredient", "quantity", "unit_cost")
 
 
 SUMS = """COUNT(sale_id) AS transaction_count, COALESCE(SUM(subtotal), 0)::DOUBLE AS total_subtotal,
@@ -280,19 +282,20 @@ def _(t):
 
 
 @query("restaurant_list_employee_names", f"""
-SELECT DISTINCT r.name AS restaurant_name, f.name, position, role FROM v_labor f {NAMED} WHERE f.name IS NOT NULL
-ORDER BY 1, 2, 3, 4 LIMIT 100""")
+SELECT r.name AS restaurant_name, f.name, position, role
+FROM (SELECT DISTINCT location_id, name, position, role FROM v_labor) f {NAMED} WHERE f.name IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY f.name, position NULLS FIRST, role NULLS FIRST) <= 100""")
 def _(t):
-    rows = catalog.restaurant_rows(t.restaurants, t.labor.where(F.col("name").isNotNull()), "name", "position", "role")
-    return catalog.first_rows(rows.distinct(), 100, "restaurant_name", "name", "position", "role")
+    rows = t.labor.where(F.col("name").isNotNull()).select("location_id", "name", "position", "role").distinct()
+    return catalog.restaurant_rows(t.restaurants, catalog.first_rows(rows, 100, "name", "position", "role"), "name", "position", "role")
 
 
 @query("restaurant_employee_positions", f"""
 SELECT r.name AS restaurant_name, f.name, COALESCE(position, role, 'No Position') AS position_role FROM v_labor f {NAMED}
-ORDER BY 1, 2, 3 LIMIT 100""")
+QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY f.name NULLS FIRST, COALESCE(position, role, 'No Position')) <= 100""")
 def _(t):
-    rows = catalog.restaurant_rows(t.restaurants, catalog.position_role(t.labor), "name", "position_role")
-    return catalog.first_rows(rows, 100, "restaurant_name", "name", "position_role")
+    rows = catalog.position_role(t.labor).select("location_id", "name", "position_role")
+    return catalog.restaurant_rows(t.restaurants, catalog.first_rows(rows, 100, "name", "position_role"), "name", "position_role")
 
 
 @query("restaurant_employee_hourly_rate", f"""
@@ -318,10 +321,11 @@ def _(t):
 
 
 @query("restaurant_list_menu_items", f"""
-SELECT DISTINCT r.name AS restaurant_name, menu_item FROM v_menu f {NAMED} ORDER BY 1, 2 LIMIT 100""")
+SELECT r.name AS restaurant_name, menu_item FROM (SELECT DISTINCT location_id, menu_item FROM v_menu) f {NAMED}
+QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY menu_item) <= 100""")
 def _(t):
-    rows = catalog.restaurant_rows(t.restaurants, t.menu, "menu_item").distinct()
-    return catalog.first_rows(rows, 100, "restaurant_name", "menu_item")
+    rows = t.menu.select("location_id", "menu_item").distinct()
+    return catalog.restaurant_rows(t.restaurants, catalog.first_rows(rows, 100, "menu_item"), "menu_item")
 
 
 @query("restaurant_menu_item_cost", f"""
@@ -376,7 +380,8 @@ def _(t):
 
 @query("restaurant_top_selling_items", f"""
 SELECT r.name AS restaurant_name, items_sold, COUNT(*) AS times_ordered, SUM(number_of_items)::BIGINT AS total_quantity
-FROM v_sales f {NAMED} WHERE items_sold IS NOT NULL GROUP BY 1, 2 ORDER BY 1, 3 DESC, 2 LIMIT 20""")
+FROM v_sales f {NAMED} WHERE items_sold IS NOT NULL GROUP BY 1, 2
+QUALIFY row_number() OVER (PARTITION BY r.name ORDER BY COUNT(*) DESC, items_sold) <= 20""")
 def _(t):
     return catalog.frequent_item_texts(t.restaurants, t.sales)
 
@@ -457,10 +462,9 @@ def _(t):
 
 
 @query("clean_short_dates", """
-SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'""")
+SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders""")
 def _(t):
-    late = t.raw("orders").where(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp"))
-    return late.select("o_orderkey", clean.parse_date(F.date_format("o_orderdate", "MM/dd/yy"), clean.SHORT_DATE_FORMS).alias("day"))
+    return t.raw("orders").select("o_orderkey", clean.parse_date(F.date_format("o_orderdate", "MM/dd/yy"), clean.SHORT_DATE_FORMS).alias("day"))
 
 
 @query("clean_hours", "SELECT event_id, hour(ts)::BIGINT AS hour FROM events")

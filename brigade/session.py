@@ -24,6 +24,10 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "brigade") -
     )
 
 
+# Folders of local sessions without spark.checkpoint.dir, by application.
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can read: spark.checkpoint.dir, as the cluster names it.
 
@@ -32,11 +36,13 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="brigade-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="brigade-")
+    return _local_folders[app]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brigade.functions.clean import header_name
-from brigade.operators.spread import attach, top_within
+from brigade.operators.spread import top_within
 
 # Required columns, groups of which one is needed, and recommended columns per category.
 HEADER_RULES = {
@@ -49,7 +51,9 @@ def headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("_id"),
     ).where(F.col("_at") == 0)
     first = lines.groupBy("path").agg(F.min_by("value", "_id").alias("line"))
-    names = F.transform(F.split("line", ","), lambda c: F.trim(F.replace(F.lower(c), F.lit('"'), F.lit(""))))
+    # commas inside quotes belong to a name
+    cells = F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    names = F.transform(cells, lambda c: F.trim(F.replace(F.lower(c), F.lit('"'), F.lit(""))))
     return first.select("path", file_name(F.col("path")).alias("filename"), names.alias("columns"))
 
 
@@ -74,10 +78,13 @@ def check_headers(header_rows: DataFrame, category: str) -> DataFrame:
     ).withColumn("valid", (F.size("missing_required") == 0) & (F.size("missing_one_of") == 0))
 
 
-def read_upload(spark: SparkSession, path: str | Sequence[str], header: Sequence[str]) -> DataFrame:
-    """Files that share one header, all columns as text, with the file's name."""
+def read_upload(spark: SparkSession, path: str | Sequence[str], header: Sequence[str], multi_line: bool = True) -> DataFrame:
+    """Files that share one header, all columns as text, with the file's name.
+
+    Line breaks inside quotes are kept; with ``multi_line=False`` a file without such breaks is read in splits.
+    """
     schema = ", ".join(f"`{header_name(c)}` string" for c in header)
-    reader = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", multi_line)
     df = reader.schema(schema).csv(path)
     return df.withColumn("filename", file_name(F.col("_metadata.file_path")))
 
@@ -85,20 +92,14 @@ def read_upload(spark: SparkSession, path: str | Sequence[str], header: Sequence
 def read_category(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """All files of a category, columns aligned by name.
 
-    One scan while all files share a header; else one scan per different header over the files that
-    have it. Only the different headers pass through the driver.
+    One scan per different header over the files that have it. The file names pass through the driver, as they
+    do for any scan.
     """
-    known = headers(spark, paths)
-    variants = sorted(r["columns"] for r in known.select("columns").distinct().collect())
-    if len(variants) == 1:
-        return read_upload(spark, paths, variants[0])
-    out = None
-    for columns in variants:
-        own = known.where(F.array_join("columns", ",") == ",".join(columns)).select("path")
-        rows = read_upload(spark, paths, columns).withColumn("path", F.col("_metadata.file_path"))
-        part = attach(rows, own, ["path"], "left_semi").drop("path")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    variants: dict[tuple[str, ...], list[str]] = {}
+    for r in headers(spark, paths).select("columns", "path").toLocalIterator():
+        variants.setdefault(tuple(r["columns"]), []).append(unquote(r["path"]))
+    parts = [read_upload(spark, sorted(own), columns) for columns, own in sorted(variants.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_all(spark: SparkSession, folders: dict[str, Sequence[str]]) -> dict[str, DataFrame]:

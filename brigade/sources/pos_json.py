@@ -18,7 +18,14 @@ def records(payload: Column, record: str) -> Column:
     as_list = F.from_json(payload, f"array<{record}>")
     wrapped = F.from_json(payload, f"struct<result: array<{record}>>")["result"]
     single = F.array(F.from_json(payload, record))
-    return F.when(low.startswith("["), as_list).otherwise(F.coalesce(wrapped, single))
+    found = F.when(low.startswith("["), as_list).otherwise(F.coalesce(wrapped, single))
+    # neither a null nor an object without any known field is a record
+    return F.filter(found, lambda r: F.to_json(r) != "{}")
+
+
+def rejects(payloads: DataFrame, record: str = ORDER) -> DataFrame:
+    """Payloads that hold no record: broken text, errors, empty answers."""
+    return payloads.where(F.coalesce(F.size(records(F.col("payload"), record)), F.lit(0)) < 1)
 
 
 def read_payloads(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -7,10 +7,12 @@ the new rows touch are read and rewritten.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brigade.operators.spread import settle
 
@@ -34,9 +36,14 @@ def stored(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
         raise
 
 
-def first_of_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key: repeats inside a batch are ignored as well."""
-    return df.dropDuplicates(list(keys))
+def first_of_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ingest_seq",)) -> DataFrame:
+    """One row per key: the first by the order columns the frame has, then by its values, whatever the partitioning."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    place = F.struct(*[c for c in order if c in rest], F.to_json(F.struct(*rest)))
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), place).alias("_r"))
+    return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
 def with_data_copy(df: DataFrame) -> DataFrame:
@@ -44,16 +51,18 @@ def with_data_copy(df: DataFrame) -> DataFrame:
     return df.withColumn("data", F.to_json(F.struct("*")))
 
 
-def touched_only(old: DataFrame, batch: DataFrame, partition_by: Sequence[str], most: int = 10_000) -> DataFrame:
-    """Stored rows of the partitions a batch touches.
+def touched_only(old: DataFrame, batch: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Stored rows of the partitions a batch touches; a null partition is one like any other.
 
-    The first partition column is pruned by its values while the batch has few of them.
+    Partitions without a null are found by an equal join, which prunes the scan at run time; those with a null by a
+    filter on it, which prunes as well.
     """
-    first = partition_by[0]
-    values = [r[0] for r in batch.select(first).distinct().limit(most + 1).collect()]
-    if len(values) <= most and None not in values:
-        old = old.where(F.col(first).isin(values))
-    return old.join(batch.select(*partition_by).distinct(), list(partition_by), "left_semi")
+    touched = batch.select(*partition_by).distinct()
+    no_null = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in partition_by])
+    plain = old.join(touched.where(no_null), list(partition_by), "left_semi")
+    named = touched.where(~no_null).select(*[F.col(c).alias(f"_p_{c}") for c in partition_by])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in partition_by])
+    return plain.unionByName(old.where(~no_null).join(named, same, "left_semi"))
 
 
 def new_rows(batch: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -128,20 +137,44 @@ def write_documents(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("location_id").json(path)
 
 
-def delete_older(spark: SparkSession, path: str, keep: Column, partition_by: Sequence[str] = ("location_id",)) -> None:
-    """Rewrite the partitions that hold rows to drop; partitions left empty are rewritten as empty ones.
+def delete_older(
+    spark: SparkSession, path: str, keep: Column, partition_by: Sequence[str] = ("location_id",), schema=None,
+) -> None:
+    """Rewrite the partitions that hold rows to drop; ``keep`` is true for rows that stay.
 
-    ``keep`` is true for rows that stay. Partitions without rows to drop are not touched.
+    Partitions without rows to drop are not touched, unless one is left empty: then the table is written anew, as a
+    rewrite by partition cannot take one away. ``schema`` is the stored one; without it partition values are read as
+    text, so that none is changed on the way.
     """
-    rows = spark.read.parquet(path)
+    if schema is None:
+        found = spark.read.parquet(path).schema
+        schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in partition_by else f for f in found])
+    rows = spark.read.schema(schema).parquet(path)
     keep = F.coalesce(keep, F.lit(True))
-    touched = settle(rows.where(~keep).select(*partition_by).distinct(), "touched")
-    left = settle(rows.join(touched, list(partition_by), "left_semi").where(keep), "kept")
-    emptied = touched.join(left.select(*partition_by).distinct(), list(partition_by), "left_anti")
-    _overwrite(left, path, partition_by)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for row in emptied.toLocalIterator():
-        folder = "/".join([path.rstrip("/"), *[f"{k}={row[k]}" for k in partition_by]])
-        p = hadoop.Path(folder)
-        p.getFileSystem(conf).delete(p, True)
+    gone = settle(rows.where(~keep).select(*partition_by).distinct(), "touched")
+    left = settle(touched_only(rows, gone, partition_by).where(keep), "kept")
+    # as a struct a null partition equals itself
+    folder = F.struct(*partition_by).alias("p")
+    if gone.select(folder).join(left.select(folder).distinct(), "p", "left_anti").isEmpty():
+        _overwrite(left, path, partition_by)
+        return
+    settle(rows.where(keep), "all_kept").write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+
+
+def delete_keys(
+    spark: SparkSession, path: str, gone: DataFrame, keys: Sequence[str], partition_by: Sequence[str] = ("location_id",), schema=None,
+) -> None:
+    """Delete stored rows by their key: the partitions that hold one are rewritten."""
+    rows = stored(spark, path, schema)
+    if rows is None:
+        return
+    marks = gone.select(*[F.col(k).alias(f"_g_{k}") for k in keys]).distinct().withColumn("_gone", F.lit(True))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
+    marked = settle(rows.join(marks, same, "left").select(*rows.columns, "_gone"), "marked")
+    touched = marked.where("_gone").select(*partition_by).distinct()
+    left = touched_only(marked, touched, partition_by).where(F.col("_gone").isNull())
+    folder = F.struct(*partition_by).alias("p")
+    if touched.select(folder).join(left.select(folder).distinct(), "p", "left_anti").isEmpty():
+        _overwrite(left.drop("_gone"), path, partition_by)
+        return
+    marked.where(F.col("_gone").isNull()).drop("_gone").write.mode("overwrite").partitionBy(*partition_by).parquet(path)

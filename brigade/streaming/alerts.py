@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from brigade.functions.numbers import ratio
 from brigade.operators.anomaly import all_anomalies
 from brigade.operators.spread import settle
-from brigade.operators.usage import ALERT_SHARE
+from brigade.operators.usage import ALERT_SHARE, with_default_limit
 from brigade.sources import sinks
 
 ALERT_KEY = ("location_id", "category", "pattern", "sale_id")
@@ -53,7 +53,7 @@ def usage_alerts(
     def write(batch: DataFrame, _: int) -> None:
         share = ratio(F.least("used", "max_engagements"), "max_engagements", 0.0)
         hit = (
-            batch.join(limits.select("user_id", "max_engagements"), "user_id")
+            with_default_limit(batch, limits)
             .where(share >= alert_share)
             .select("user_id", F.col("w.start").alias("cycle_start"), "max_engagements")
         )

@@ -376,9 +376,11 @@ def test_periods(spark):
     df = spark.createDataFrame([("L", D - dt.timedelta(days=n)) for n in (0, 7, 8, 15, 30, 31, 180, 365, 366)], "location_id string, date date")
     n = {p: periods.in_period(df, p, D).count() for p in [*periods.PERIOD_DAYS, "All"]}
     assert n == {"Last_week": 2, "Last_15_days": 4, "Last_month": 5, "Last_6_months": 7, "Last_year": 8, "All": 9}
-    assert periods.clamped_range(D, D - dt.timedelta(days=40)) == (D - dt.timedelta(days=40), D - dt.timedelta(days=20))
+    assert periods.clamped_range(D, D - dt.timedelta(days=40)) == (D - dt.timedelta(days=40), D)
+    assert periods.clamped_range(D, D - dt.timedelta(days=40), 20) == (D - dt.timedelta(days=40), D - dt.timedelta(days=20))
+    assert periods.checked_range(D, D + dt.timedelta(days=200)) == (D, D + dt.timedelta(days=200))
     with pytest.raises(ValueError):
-        periods.checked_range(D, D + dt.timedelta(days=21))
+        periods.checked_range(D, D + dt.timedelta(days=21), periods.SHORT_RANGE_DAYS)
     with pytest.raises(ValueError):
         periods.checked_range(D, D - dt.timedelta(days=1))
     assert periods.last_days_of_data(df).count() == 1
