@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brigade.llm.joins import fresh
+
 # Fixed values of the base rule.
 WHITE = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
@@ -117,15 +119,13 @@ def clean(df: DataFrame, text: str = "text", kept_percent: int = KEPT_PERCENT) -
 
     found = let(words_of(whole), lambda w: let(F.transform(F.split(whole, "\n"), _line), lambda x: judged(w, x)))
     keep = [c for c in df.columns if c not in ADDED]
-    base_failed = (F.col("_q.n_words") < MIN_WORDS) | (F.col("_q.n_repeat_words") * 100 > F.col("_q.n_words") * MAX_REPEAT_PERCENT)
-    enough = F.col("_q.kept_words") * 100 >= F.col("_q.n_words") * kept_percent
-    return (
-        df.select(*[F.col(f"`{c}`") for c in keep], found.alias("_q"))
-        .select(
-            *[F.col(f"`{c}`") for c in keep],
-            *[F.col(f"_q.{c}").alias(c) for c in [*BASE, "kept_words", "n_failed_lines"]],
-            F.when(F.col(f"`{text}`").isNotNull(), F.col("_q.clean_text")).alias("clean_text"),
-            base_failed.alias("base_failed"),
-            (~base_failed & enough).alias("kept"),
-        )
+    name = fresh("_q", keep)
+    q = F.col(name)
+    base_failed = (q["n_words"] < MIN_WORDS) | (q["n_repeat_words"] * 100 > q["n_words"] * MAX_REPEAT_PERCENT)
+    return df.select(*[F.col(f"`{c}`") for c in keep], found.alias(name)).select(
+        *[F.col(f"`{c}`") for c in keep],
+        *[q[c].alias(c) for c in [*BASE, "kept_words", "n_failed_lines"]],
+        F.when(F.col(f"`{text}`").isNotNull(), q["clean_text"]).alias("clean_text"),
+        base_failed.alias("base_failed"),
+        (~base_failed & (q["kept_words"] * 100 >= q["n_words"] * kept_percent)).alias("kept"),
     )

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from brigade.llm import arrow_text, deep_shallow
 from brigade.llm.words import powers
-from brigade.llm.joins import attach
+from brigade.llm.joins import attach, fresh
 from brigade.operators.spread import settle
 
 LENGTH = 100
@@ -340,9 +340,10 @@ def dedup(
     tag = F.xxhash64(f"`{text}`")
     docs = df.select(ident.alias("id"), tag.alias("tag"), F.col(f"`{text}`").alias("text"))
     spans = repeated_spans(docs, length, gram, hot_rows)
-    source = df.select(*[F.col(f"`{c}`") for c in keep], ident.alias("_id"), tag.alias("_tag"))
-    joined = attach(source, spans.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")), ["_id", "_tag"])
-    joined = joined.select(*[f"`{c}`" for c in keep], "_spans")
+    a, b, c = (fresh(x, keep) for x in ("_id", "_tag", "_spans"))
+    source = df.select(*[F.col(f"`{x}`") for x in keep], ident.alias(a), tag.alias(b))
+    joined = attach(source, spans.select(F.col("id").alias(a), F.col("tag").alias(b), F.col("spans").alias(c)), [a, b])
+    joined = joined.select(*[f"`{x}`" for x in keep], c)
     schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(c, t) for c, t in ADDED.items()]])
     if whole_characters:
         schema["kept"].dataType = T.StringType()

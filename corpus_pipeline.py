@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brigade.llm import byte_bpe, decontaminate, near_dedup, quality_rules, suffix_dedup
-from brigade.llm.joins import attach
+from brigade.llm.joins import attach, fresh
 from brigade.operators.spread import settle
 
 
@@ -28,8 +28,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each class of near duplicates stays, the one with the smallest id; equal rows count once."""
     classes = near_dedup.classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     # as a struct a null id equals itself
-    kept = classes.select(F.struct("doc_id").alias("_id")).distinct()
-    left = attach(docs.withColumn("_id", F.struct("doc_id")), kept, ["_id"], "inner").select(*[f"`{c}`" for c in docs.columns])
+    name = fresh("_id", docs.columns)
+    kept = classes.select(F.struct("doc_id").alias(name)).distinct()
+    left = attach(docs.withColumn(name, F.struct("doc_id")), kept, [name], "inner").select(*[f"`{c}`" for c in docs.columns])
     return left.dropDuplicates(["doc_id", "text"])
 
 
