@@ -14,6 +14,7 @@ KEY = ["location_id"]
 # Score bands, best first.
 SCORE_BANDS = (("Excellent", 85.0), ("Good", 70.0), ("Average", 50.0))
 LOWEST_BAND = "Needs Improvement"
+EXAMPLES = 5
 
 
 def alerts(rows: DataFrame, rule: str | Column, level: str, example: str, keep: int = 5, *by: str) -> DataFrame:
@@ -111,17 +112,22 @@ def efficiency_notices(
     velocity: DataFrame, peaks: DataFrame, employees: DataFrame, turnover: DataFrame, order_types: DataFrame,
     peak_above: float = 80.0, turnover_below: float = 0.1, slow_below: int = 5,
 ) -> DataFrame:
-    """A row per rule and location with its count."""
-    def counted(df: DataFrame, rule: str) -> DataFrame:
-        return df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).withColumn("rule", F.lit(rule))
+    """A row per rule and location: how many subjects it concerns, and the first few of them by name."""
+    def counted(df: DataFrame, rule: str, subject: str) -> DataFrame:
+        named = df.select(*KEY, F.col(subject).cast("string").alias("_subject"))
+        counts = named.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+        first = top_within(named.distinct(), KEY, [F.col("_subject")], EXAMPLES, rank="_place").groupBy(*KEY).agg(
+            F.array_join(F.sort_array(F.collect_list("_subject")), ", ").alias("examples"))
+        return counts.join(first, KEY, "left").withColumn("rule", F.lit(rule))
 
     slow = velocity.where((F.col("transaction_count") < slow_below) & ~F.col("hour").isin(*NIGHT_HOURS))
+    concentrated = peaks.where(F.col("peak_revenue_pct") > peak_above).withColumn("peak_hours", F.array_join("peak_hours", "|"))
     parts = [
-        counted(slow, "low_sales_activity"),
-        counted(peaks.where(F.col("peak_revenue_pct") > peak_above), "peak_concentration"),
-        counted(low_rates(employees, "employee_id"), "employee_efficiency"),
-        counted(turnover.where(F.col("turnover_ratio") < turnover_below), "low_turnover"),
-        counted(low_rates(order_types, "order_type"), "order_type_efficiency"),
+        counted(slow, "low_sales_activity", "hour"),
+        counted(concentrated, "peak_concentration", "peak_hours"),
+        counted(low_rates(employees, "employee_id"), "employee_efficiency", "subject"),
+        counted(turnover.where(F.col("turnover_ratio") < turnover_below), "low_turnover", "ingredient"),
+        counted(low_rates(order_types, "order_type"), "order_type_efficiency", "subject"),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -135,7 +141,8 @@ def wanted(notices: DataFrame, settings: DataFrame) -> DataFrame:
     Wants user_id and category in both frames, and enabled in the settings.
     """
     off = settings.where(~F.col("enabled")).select("user_id", "category").distinct()
-    return attach(notices, off, ["user_id", "category"], "left_anti")
+    sizes = notices.groupBy("user_id", "category").agg(F.count(F.lit(1)).alias("_n"))
+    return attach(notices, off.join(sizes, ["user_id", "category"]), ["user_id", "category"], "left_anti", weight="_n")
 
 
 def anomaly_breakdown(anomalies: DataFrame) -> DataFrame:

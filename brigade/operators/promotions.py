@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brigade.functions.numbers import dbl, ratio
-from brigade.operators.spread import top_within
+from brigade.operators.spread import attach, running, top_within
 
 KEY = ["location_id"]
 
@@ -198,16 +198,19 @@ def with_offer(df: DataFrame, kind: Column | str, subject: str) -> DataFrame:
 def campaign_copy(suggestions: DataFrame, templates: DataFrame) -> DataFrame:
     """Text per suggestion and channel; templates (channel, seq, text) use {item} and {offer}.
 
-    The template is chosen by a hash of the item.
+    The template is chosen by a hash of the item: its place among those of the channel is computed, the text is
+    joined on (channel, place). Only channel names and counts are listed.
     """
-    sets = templates.groupBy("channel").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("_texts")
-    )
-    channels = sets.agg(F.collect_list(F.struct("channel", "_texts"))).scalar()
-    each = suggestions.withColumn("_c", F.explode(channels))
-    text = F.element_at(F.col("_c._texts"), _pick(F.col("item"), F.size("_c._texts")))
-    filled = F.replace(F.replace(text, F.lit("{item}"), F.col("item")), F.lit("{offer}"), F.col("offer"))
-    return each.withColumn("channel", F.col("_c.channel")).withColumn("copy", filled).drop("_c")
+    numbered = running(templates, ["channel"], [F.col("seq"), F.col("text")], rank="_place")
+    sizes = templates.groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+    channels = sizes.agg(F.collect_list(F.struct("channel", "n"))).scalar()
+    each = suggestions.withColumn("_c", F.explode(channels)).withColumn("channel", F.col("_c.channel"))
+    placed = each.withColumn("_place", _pick(F.col("item"), F.col("_c.n")).cast("long")).drop("_c")
+    uses = placed.groupBy("channel", "_place").agg(F.count(F.lit(1)).alias("_n"))
+    texts = numbered.select("channel", "_place", F.col("text").alias("_text")).join(uses, ["channel", "_place"])
+    filled = F.replace(F.replace(F.col("_text"), F.lit("{item}"), F.col("item")), F.lit("{offer}"), F.col("offer"))
+    joined = attach(placed, texts, ["channel", "_place"], "inner", weight="_n", spread_by=["item"])
+    return joined.select(*suggestions.columns, "channel", filled.alias("copy"))
 
 
 def suggestions(dips: DataFrame, weak: DataFrame, surplus: DataFrame, limit: int = 5) -> DataFrame:
@@ -228,6 +231,6 @@ def suggestions(dips: DataFrame, weak: DataFrame, surplus: DataFrame, limit: int
 
 
 def upcoming_events(events: DataFrame, as_of: dt.date, days: int = 7) -> DataFrame:
-    """Events of the next days, one row per date and event kind."""
+    """Events of today and the next days as rows: date, event, suggested_offer, campaign_prompt."""
     near = events.where(F.col("date").between(F.lit(as_of), F.lit(as_of + dt.timedelta(days=days))))
-    return near.groupBy("date", "name").agg(F.count(F.lit(1)).alias("n"))
+    return near.select("date", "event", "suggested_offer", "campaign_prompt")

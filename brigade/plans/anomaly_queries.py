@@ -511,20 +511,22 @@ def _(t):
     return notices.slow_hours(efficiency.sales_velocity(t.sales))
 
 
-@query("notice_efficiency", PEAK + MENTION + f"""
-SELECT {LOC}, 'low_sales_activity' AS rule, COUNT(*) AS n
+@query("notice_efficiency", PEAK + MENTION + f""", v_subjects AS (
+SELECT location_id, 'low_sales_activity' AS rule, hour::VARCHAR AS subject
 FROM (SELECT location_id, date, hour FROM v_sales GROUP BY 1, 2, 3 HAVING COUNT(*) < 5)
-WHERE hour NOT IN (0, 1, 2, 3, 4, 5, 23) GROUP BY location_id
-UNION ALL SELECT location_id, 'peak_concentration', COUNT(*) FROM v_peak WHERE peak_revenue_pct > 20 GROUP BY location_id
-UNION ALL SELECT location_id, 'employee_efficiency', COUNT(*)
+WHERE hour NOT IN (0, 1, 2, 3, 4, 5, 23)
+UNION ALL SELECT location_id, 'peak_concentration', peak_hours FROM v_peak WHERE peak_revenue_pct > 20
+UNION ALL SELECT location_id, 'employee_efficiency', employee_id::VARCHAR
 FROM (SELECT location_id, employee_id FROM v_sales WHERE employee_id IS NOT NULL GROUP BY 1, 2
-      HAVING SUM(number_of_items)::DOUBLE / COUNT(*) < 1.5 OR SUM(total_amount) / COUNT(*) < 10) GROUP BY location_id
-UNION ALL SELECT m.location_id, 'low_turnover', COUNT(*)
+      HAVING SUM(number_of_items)::DOUBLE / COUNT(*) < 1.5 OR SUM(total_amount) / COUNT(*) < 10)
+UNION ALL SELECT m.location_id, 'low_turnover', m.ingredient
 FROM v_mention m JOIN v_words w ON m.location_id = w.location_id AND m.ingredient = w.ingredient
-WHERE usage_count::DOUBLE / quantity < 0.1 GROUP BY m.location_id
-UNION ALL SELECT location_id, 'order_type_efficiency', COUNT(*)
+WHERE usage_count::DOUBLE / quantity < 0.1
+UNION ALL SELECT location_id, 'order_type_efficiency', order_type
 FROM (SELECT location_id, order_type FROM v_sales GROUP BY 1, 2
-      HAVING SUM(number_of_items)::DOUBLE / COUNT(*) < 1.5 OR SUM(total_amount) / COUNT(*) < 10) GROUP BY location_id""")
+      HAVING SUM(number_of_items)::DOUBLE / COUNT(*) < 1.5 OR SUM(total_amount) / COUNT(*) < 10))
+SELECT {LOC}, rule, COUNT(*) AS n, array_to_string(list_sort(list(DISTINCT subject))[1:5], ', ') AS examples
+FROM v_subjects GROUP BY location_id, rule""")
 def _(t):
     return notices.efficiency_notices(
         efficiency.sales_velocity(t.sales), efficiency.peak_hours(t.sales), efficiency.employee_efficiency(t.sales),

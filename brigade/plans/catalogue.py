@@ -4,6 +4,7 @@ from brigade.plans import (  # noqa: F401
     anomaly_queries,
     catalog_queries,
     dashboard_queries,
+    io_queries,
     kpi_queries,
     service_queries,
 )

@@ -374,10 +374,14 @@ def _(t):
 
 
 @query("promo_upcoming_events", """
-SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, event_type AS name, COUNT(*) AS n FROM events
-WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-17' GROUP BY 1, 2""")
-def _(t):
-    rows = t.raw("events").select(F.to_date("ts").alias("date"), F.col("event_type").alias("name"))
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, event_type || ' ' || event_id AS event, event_type || ' deal' AS suggested_offer,
+       'Write about ' || event_type AS campaign_prompt
+FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-17'""")
+def _(t):
+    kind = F.col("event_type")
+    rows = t.raw("events").select(
+        F.to_date("ts").alias("date"), F.concat_ws(" ", kind, "event_id").alias("event"),
+        F.concat(kind, F.lit(" deal")).alias("suggested_offer"), F.concat(F.lit("Write about "), kind).alias("campaign_prompt"))
     return promotions.upcoming_events(rows, dt.date(2024, 1, 10))
 
 

@@ -27,9 +27,9 @@ def alert_on_upload(
     """
     def write(batch: DataFrame, _: int) -> None:
         batch = settle(batch, "upload")
-        sinks.insert_new(batch, table, sinks.KEYS["sales"])
-        days = batch.select("location_id", "date").distinct()
-        rows = batch.sparkSession.read.schema(batch.schema).parquet(table).join(days, ["location_id", "date"], "left_semi")
+        by_day = ("location_id", "date")
+        sinks.insert_new(batch, table, sinks.KEYS["sales"], partition_by=by_day)
+        rows = sinks.touched_only(batch.sparkSession.read.schema(batch.schema).parquet(table), batch, by_day)
         found = settle(detect(rows), "found")
         sinks.insert_new(found, alerts, ALERT_KEY)
 
@@ -38,24 +38,30 @@ def alert_on_upload(
 
 def usage_alerts(
     log: DataFrame, limits: DataFrame, alerts: str, checkpoint: str, cycle: str = "30 days",
-    delay: str = "1 day", alert_share: float = ALERT_SHARE, **trigger,
+    delay: str = "1 day", alert_share: float = ALERT_SHARE, cycles: DataFrame | None = None, **trigger,
 ) -> StreamingQuery:
     """One alert per user and cycle when the share of the limit reaches the mark.
 
     Wants user_id and ts in the log; each engagement arrives once. Counts are merged map-side, so a busy
-    user is one small state row; a cycle's state is dropped once the watermark has passed its end, and
-    a new cycle starts at zero.
+    user is one small state row, and a new cycle starts at zero. ``cycles`` (user_id, cycle_start, cycle_end; end
+    exclusive) are the billing cycles of the subscriptions; their state is one row per user and cycle. Without them
+    windows of ``cycle`` are used, whose state is dropped once the watermark has passed their end.
     """
-    counts = log.withWatermark("ts", delay).groupBy("user_id", F.window("ts", cycle).alias("w")).agg(
-        F.count(F.lit(1)).alias("used")
-    )
+    if cycles is None:
+        counts = log.withWatermark("ts", delay).groupBy("user_id", F.window("ts", cycle).alias("w")).agg(
+            F.count(F.lit(1)).alias("used")).select("user_id", F.col("w.start").alias("cycle_start"), "used")
+    else:
+        c = cycles.select(F.col("user_id").alias("_user"), F.col("cycle_start").cast("timestamp").alias("cycle_start"),
+                          F.col("cycle_end").cast("timestamp").alias("_end"))
+        inside = (F.col("user_id") == F.col("_user")) & (F.col("ts") >= F.col("cycle_start")) & (F.col("ts") < F.col("_end"))
+        counts = log.join(c, inside).groupBy("user_id", "cycle_start").agg(F.count(F.lit(1)).alias("used"))
 
     def write(batch: DataFrame, _: int) -> None:
         share = ratio(F.least("used", "max_engagements"), "max_engagements", 0.0)
         hit = (
             with_default_limit(batch, limits)
             .where(share >= alert_share)
-            .select("user_id", F.col("w.start").alias("cycle_start"), "max_engagements")
+            .select("user_id", "cycle_start", "max_engagements")
         )
         sinks.insert_new(hit, alerts, ("user_id", "cycle_start"), partition_by=("cycle_start",))
 

@@ -57,6 +57,28 @@ def test_keep_latest_matches_batch(spark):
     assert rows(spark.read.parquet(table), *cols) == rows(want, *cols)
 
 
+def test_keep_latest_leaves_other_days_alone(spark):
+    import os
+
+    src, table, ck = dirs("in", "table", "ck")
+    feed(lambda: orders.keep_latest(orders.read_stream(spark, src, SCHEMA), table, ck), src, [FILES[0], FILES[3]])
+    day = f"{table}/location_id=L0/order_date=2025-03-01"
+    before = sorted(os.listdir(day))
+    feed(lambda: orders.keep_latest(orders.read_stream(spark, src, SCHEMA), table, ck), src, [FILES[0], FILES[3], FILES[5], FILES[6]])
+    assert sorted(os.listdir(day)) == before
+
+
+def test_usage_alerts_follow_billing_cycles(spark):
+    src, table, ck = dirs("in", "alerts", "ck")
+    limits = spark.createDataFrame([("u", 10)], "user_id string, max_engagements long")
+    cycles = spark.createDataFrame([("u", "2025-01-01", "2025-02-01"), ("u", "2025-02-01", "2025-03-01")], "user_id string, cycle_start string, cycle_end string")
+    day = lambda d, n: [{"user_id": "u", "ts": f"{d} 10:{i:02d}:00"} for i in range(n)]
+    files = [day("2025-01-02", 4) + day("2025-01-31", 5), day("2025-02-01", 8)]  # nine in January, eight in February
+    feed(lambda: alerts.usage_alerts(orders.read_stream(spark, src, "user_id string, ts timestamp"), limits, table, ck, cycles=cycles), src, files)
+    got = spark.read.schema("user_id string, cycle_start timestamp, max_engagements long").parquet(table)
+    assert rows(got.select("user_id", F.to_date("cycle_start").cast("string").alias("d"))) == [("u", "2025-01-01")]
+
+
 def test_windows_drop_only_what_is_behind_the_watermark(spark):
     src, table, ck = dirs("in", "table", "ck")
     feed(lambda: orders.write_windows(orders.windowed(orders.read_stream(spark, src, SCHEMA)), table, ck), src, [FILES[0], *FILES[2:]])
