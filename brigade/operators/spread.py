@@ -113,9 +113,12 @@ def running(
     totals: Mapping[str, Column] | None = None,
     size: str | None = None,
     slices: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Row number (and running totals, and group size) within each group, without one task per group.
 
+    A range shuffle samples its input and so computes it twice: it is settled first, unless it is ``stored`` already.
+
     Rows are range-partitioned by (group, order) and settled with their slice number; each slice
     counts on its own and adds what the earlier slices of the same group hold. ``order`` must be
     unique within a group for the result to be fixed.
@@ -124,7 +127,7 @@ def running(
     group = list(group)
     spark = df.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    valued = df.select("*", *[c.alias(f"_v_{n}") for n, c in totals.items()])
+    valued = (df if stored else settle(df, "ranked")).select("*", *[c.alias(f"_v_{n}") for n, c in totals.items()])
     laid = settle(
         valued.repartitionByRange(slices, *[F.col(g) for g in group], *order).withColumn(
             "_slice", F.spark_partition_id()
