@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from brigade.functions import periods
 from brigade.functions.numbers import MONEY, ratio
 from brigade.operators.kpi import AMOUNT_QTY, KEY
-from brigade.operators.spread import paged_list, settle, top_within
+from brigade.operators.spread import attach, paged_list, settle, top_within
 
 # Words that name a period, and default columns per table.
 PERIOD_WORDS = (
@@ -341,3 +341,22 @@ def match_questions(
         F.when(hit(p) & ~timed if name in skip_with_period else hit(p), F.lit(name)) for name, p, _ in catalog
     ]
     return questions.withColumn("prompt_id", F.coalesce(*kpi_first, *then, F.lit(None).cast("string")))
+
+
+def kpi_catalog(names: Sequence[str]) -> list[tuple[str, Sequence[str], bool]]:
+    """A catalog entry per KPI: asked for by its name in words."""
+    return [(name, [name.replace("_", " ")], True) for name in names]
+
+
+def answers(
+    questions: DataFrame, text: str, results: DataFrame, catalog: Sequence[tuple[str, Sequence[str], bool]], result_id: str = "kpi",
+) -> DataFrame:
+    """The result rows each location's question asks for: the matched catalog id is the route to the operator's rows.
+
+    ``results`` holds the rows of all operators under their id, such as bundles.all_kpis; they are computed once for
+    all questions. Questions that match nothing give no rows.
+    """
+    asked = match_questions(questions, text, catalog).where(F.col("prompt_id").isNotNull())
+    rows = settle(results.withColumnRenamed(result_id, "prompt_id"), "results")
+    sizes = rows.groupBy(*KEY, "prompt_id").agg(F.count(F.lit(1)).alias("_n"))
+    return attach(rows, asked.join(sizes, [*KEY, "prompt_id"]), [*KEY, "prompt_id"], "inner", weight="_n").drop("_n")

@@ -736,6 +736,20 @@ def _(t):
     return _all(t).drop("warning")
 
 
+QUESTION = """CASE n_nationkey % 4 WHEN 0 THEN 'Show the total sales of last week' WHEN 1 THEN 'what is our Food Cost Pct?'
+       WHEN 2 THEN 'top items, please' ELSE 'who are you' END"""
+
+
+@query("question_answers", ALL + f"""
+SELECT q.n_nationkey::BIGINT AS location_id, q.question, a.kpi AS prompt_id, a.metric, a.value, a.valid
+FROM (SELECT n_nationkey, {QUESTION} AS question FROM nation) q JOIN v_all a ON a.location_id = q.n_nationkey
+ AND a.kpi = CASE n_nationkey % 4 WHEN 0 THEN 'total_sales' WHEN 1 THEN 'food_cost_pct' WHEN 2 THEN 'top_items' END""")
+def _(t):
+    asked = t.raw("nation").select(F.col("n_nationkey").alias("location_id"), F.expr(QUESTION).alias("question"))
+    known = catalog.kpi_catalog(["net_revenue", "total_sales", "food_cost_pct", "top_items", "avg_check"])
+    return catalog.answers(asked, "question", _all(t).drop("warning"), known)
+
+
 NAMES = ("total_sales net_revenue splh guest_count avg_check top_items gross_profit_per_item food_cost_pct cogs_by_category "
          "inventory_turnover popularity_vs_profitability labor_hours_by_role overtime_pct low_inventory_warnings table_turn_time "
          "kds_ticket_time order_accuracy_rate seasonal_sales promo_roi dish_waste_pct total_cogs").split()

@@ -173,16 +173,16 @@ def _(t):
     return customers.labelled_customers(t.visits, AS_OF)
 
 
-def _segment(name, label, where):
+def _segment(name, label, where, as_of=AS_OF):
     @query(f"customer_segment_{name}", PERSON + f"SELECT {PERSON_ROW}, '{label}' AS type FROM v_person WHERE {where}")
     def _(t):
-        return customers.customers_of_segment(t.visits, label, AS_OF)
+        return customers.customers_of_segment(t.visits, label, as_of)
 
 
 _segment("frequent", "Frequent diners", "visit_count > 5")
 _segment("high_valued", "High-valued", "total_spent > 500")
 _segment("lapsed", "Lapsed customer", "last_visit < DATE '2001-08-01' - 30")
-_segment("new", "New customer", "first_visit >= DATE '2001-08-01' - 7")
+_segment("new", "New customer", "first_visit >= DATE '1996-07-01' - 7", dt.date(1996, 7, 1))
 
 
 @query("customer_segment_weekend", """
