@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text worked on at once; one longer text makes a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -41,6 +41,11 @@ LENGTH = 100
 GRAM = 32
 # Occurrences from which on the strings of a gram are dealt out one by one.
 HOT_ROWS = 200_000
+# Anchors a task gathers before it asks for their grams, and surroundings it remembers as sent; what lies beyond is asked
+# for and sent again, with the same result.
+ASKED_ROWS, SENT_ROWS = 2_000_000, 400_000
+# Measured size up to which the spans are broadcast to the texts.
+SPANS_BYTES = 32 << 20
 _BASE = 0xC2B2AE3D27D4EB4F | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -88,55 +93,65 @@ def _asked(length: int, gram: int):
     """Per task: each gram once with its count, to be looked up; further occurrences are repeats already."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts, held = [], 0
         for batch in batches:
-            ids, tags = (np.array(batch.column(c)) for c in (0, 1))
-            for row, end, data, at in arrow_text.pieces(batch.column(2)):
+            ids = np.array(batch.column(0))
+            for row, end, data, at in arrow_text.pieces(batch.column(1)):
                 key, place, first, last = anchors(data, at, length, gram)
                 doc = np.searchsorted(at, place, "right") - 1
                 spot = (place - at[doc]) << 16 | (place - first) << 8 | (place - last)
-                parts.append((key, ids[row + doc], tags[row + doc], spot))
-        if not parts:
-            return
-        key, ids, tags, spot = (np.concatenate(x) for x in zip(*parts))
+                parts.append((key, ids[row + doc], spot))
+                held += len(key)
+                if held >= ASKED_ROWS:
+                    yield from questions(*(np.concatenate(x) for x in zip(*parts)))
+                    parts, held = [], 0
+        if held:
+            yield from questions(*(np.concatenate(x) for x in zip(*parts)))
+
+    def questions(key: np.ndarray, ids: np.ndarray, spot: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(key, kind="stable")
         key = key[order]
         first = np.r_[True, key[1:] != key[:-1]][: len(key)]
         count = np.zeros(len(key), np.int64)
         heads = np.nonzero(first)[0]
         count[heads] = np.diff(np.r_[heads, len(key)])
-        # what is known already goes anywhere: dealt by place, not by gram
+        # what is known already goes anywhere: dealt by place, not by gram, and with its gram beside it
         deal = np.where(first, key, arrow_text.mixed(spot[order].astype(np.uint64) ^ ids[order].view(np.uint64))).view(np.int64)
         for x in range(0, len(key), 1 << 16):
             s = slice(x, x + (1 << 16))
             o = order[s]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a) for a in (deal[s], key[s].view(np.int64), ids[o], tags[o], spot[o], count[s])],
-                names=["deal", "key", "id", "tag", "spot", "n"],
+                [pa.array(deal[s]), pa.array(ids[o]), pa.array(spot[o]), pa.array(count[s]), pa.array(key[s].view(np.int64), mask=first[s])],
+                names=["deal", "id", "spot", "n", "key"],
             )
 
     return work
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of grams that are repeated, and a row without a spot for every gram's total in this task."""
-    parts = [[np.array(c) for c in batch.columns[1:]] for batch in batches]
-    if not parts:
-        return
-    key, ids, tags, spot, n = (np.concatenate(x) for x in zip(*parts))
-    asked = n > 0
-    order = np.argsort(key[asked], kind="stable")
-    sorted_key = key[asked][order]
-    heads = np.nonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]][: len(sorted_key)])[0]
-    total = np.add.reduceat(n[asked][order], heads) if len(heads) else np.zeros(0, np.int64)
-    of_row = np.zeros(int(asked.sum()), np.int64)
-    of_row[order] = np.repeat(total, np.diff(np.r_[heads, len(sorted_key)]))
-    keep = ~asked
-    keep[asked] = of_row > 1
-    total_of = np.zeros(len(key), np.int64)
-    total_of[asked] = of_row
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(a[keep]) for a in (key, ids, tags, spot, total_of)], names=["key", "id", "tag", "spot", "n"])
+def _repeated(hot_rows: int):
+    """Occurrences of grams that are repeated. Only hot grams, and those not asked for here, are named."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            deal, ids, spot, n = (np.array(c) for c in batch.columns[:4])
+            parts.append((np.where(n > 0, deal, np.array(batch.column(4).fill_null(0))), ids, spot, n))
+        if not parts:
+            return
+        key, ids, spot, n = (np.concatenate(x) for x in zip(*parts))
+        asked = n > 0
+        order = np.argsort(key[asked], kind="stable")
+        sorted_key = key[asked][order]
+        heads = np.nonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]][: len(sorted_key)])[0]
+        total = np.add.reduceat(n[asked][order], heads) if len(heads) else np.zeros(0, np.int64)
+        of_row = np.zeros(len(key), np.int64)
+        of_row[np.nonzero(asked)[0][order]] = np.repeat(total, np.diff(np.r_[heads, len(sorted_key)]))
+        keep, hot = ~asked | (of_row > 1), of_row >= hot_rows
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[keep]), pa.array(spot[keep]), pa.array(hot[keep]), pa.array(key[keep], mask=(asked & ~hot)[keep])],
+            names=["id", "spot", "hot", "key"])
+
+    return work
 
 
 def _surroundings(length: int):
@@ -151,6 +166,9 @@ def _surroundings(length: int):
             hot, spots = np.array(batch.column(4).flatten()), np.array(spots)
             row = np.repeat(np.arange(len(ids)), np.diff(spot_at))
             place, before, upto = spots >> 16, spots >> 8 & 0xFF, spots & 0xFF
+            # spots of another row with the same id may lie beyond this text; those inside do no harm
+            fits = place - upto + length <= np.diff(at)[row]
+            row, place, before, upto, hot = (x[fits] for x in (row, place, before, upto, hot))
             rel = before
             if hot.any():  # every string of a hot gram on its own
                 times = np.where(hot, before - upto + 1, 1)
@@ -171,24 +189,30 @@ def _surroundings(length: int):
                 mark = (int(ids[row[k]]), int(first[k]))
                 known = seen.get(digest)
                 if known is None or mark <= known:
+                    if len(seen) >= SENT_ROWS:
+                        seen.clear()
                     seen[digest] = mark
                     sent[k] = True
                     context.append(x)
                     gram = digest if hot[k] else hashlib.blake2b(x[rel[k] : rel[k] + GRAM], digest_size=8).digest()
                     keys.append(int.from_bytes(gram[:8], "little", signed=True))
             order = np.lexsort((place, ids[row]))
-            sent = sent[order]
-            kept, rest = order[sent], order[~sent]
-            for who, texts, deal in (
-                (kept, context, np.array(keys, np.int64)),
-                (rest, None, arrow_text.mixed(low[rest].astype(np.uint64) ^ ids[row[rest]].view(np.uint64)).view(np.int64)),
-            ):
+            kept, rest = order[sent[order]], np.nonzero(~sent)[0]
+            # neighbouring strings to remove as one run
+            rest = rest[np.lexsort((first[rest], row[rest]))]
+            new = np.r_[True, (row[rest][1:] != row[rest][:-1]) | (first[rest][1:] > (first + n)[rest][:-1])][: len(rest)]
+            heads = np.nonzero(new)[0]
+            runs = np.maximum.reduceat((first + n)[rest], heads) - first[rest[heads]] if len(heads) else np.zeros(0, np.int64)
+            rest = rest[heads]
+            none = np.zeros(len(rest), np.int64)
+            deal = arrow_text.mixed(first[rest].astype(np.uint64) ^ ids[row[rest]].view(np.uint64)).view(np.int64)
+            for who, texts, *columns in ((kept, context, np.array(keys, np.int64), n[kept], rel[kept]), (rest, None, deal, runs, none)):
                 for x in range(0, len(who), 1 << 15):
-                    s = who[x : x + (1 << 15)]
+                    s, y = who[x : x + (1 << 15)], slice(x, x + (1 << 15))
+                    to, size, before_anchor = (pa.array(c[y]) for c in columns)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(deal[x : x + (1 << 15)]), pa.array(ids[row[s]]), pa.array(tags[row[s]]), pa.array(first[s]),
-                         pa.array(n[s]), pa.array(rel[s]),
-                         pa.array(texts[x : x + (1 << 15)], pa.binary()) if texts is not None else pa.nulls(len(s), pa.binary())],
+                        [to, pa.array(ids[row[s]]), pa.array(tags[row[s]]), pa.array(first[s]), size, before_anchor,
+                         pa.array(texts[y], pa.binary()) if texts is not None else pa.nulls(len(s), pa.binary())],
                         names=["deal", "id", "tag", "first", "n", "rel", "context"],
                     )
 
@@ -285,7 +309,7 @@ def _equal_starts(contexts, group, rel, n, ids, place, length) -> tuple[np.ndarr
 
 def _removed(ids, tags, first, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(first << 16 | n, pa.int64())], names=["id", "tag", "run"])
+        [pa.array(ids, pa.int64()), pa.array(tags, pa.int32()), pa.array(first << 32 | n, pa.int64())], names=["id", "tag", "run"])
 
 
 def _merged(length: int):
@@ -296,7 +320,7 @@ def _merged(length: int):
             spans = []
             for runs in batch.column(2):
                 run = np.sort(np.array(runs.values))
-                low, high = run >> 16, (run >> 16) + (run & 0xFFFF) - 1 + length
+                low, high = run >> 32, (run >> 32) + (run & 0xFFFFFFFF) - 1 + length
                 high = np.maximum.accumulate(high)
                 new = np.r_[True, low[1:] > high[:-1]]
                 spans.append(np.stack([low[new], high[np.r_[new[1:], True]]], 1).ravel())
@@ -307,22 +331,26 @@ def _merged(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(id, tag, spans) of the texts that lose something; spans: start and end of each, one after the other."""
+    """(id, tag, spans) of the texts that lose something; spans: start and end of each, one after the other.
+
+    Wants id, tag (a hash that tells texts with the same id apart) and text.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = docs.mapInArrow(_asked(length, gram), "deal bigint, key bigint, id bigint, tag bigint, spot bigint, n bigint")
+    asked = docs.select("id", "text").mapInArrow(_asked(length, gram), "deal bigint, id bigint, spot bigint, n bigint, key bigint")
     found = settle(
-        asked.repartition(parts, "deal").mapInArrow(_repeated, "key bigint, id bigint, tag bigint, spot bigint, n bigint"), "repeated")
+        asked.repartition(parts, "deal").mapInArrow(_repeated(hot_rows), "id bigint, spot bigint, hot boolean, key bigint"), "repeated")
     # at most one gram in hot_rows anchors is hot
-    hot = found.where(F.col("n") >= hot_rows).select("key", F.lit(True).alias("_hot")).distinct()
-    marked = attach(found.drop("n"), hot, ["key"], "left")
-    spots = marked.groupBy("id", "tag").agg(F.collect_list(F.struct("spot", F.coalesce("_hot", F.lit(False)).alias("hot"))).alias("_s"))
-    spots = spots.select("id", "tag", F.col("_s.spot").alias("spots"), F.col("_s.hot").alias("hot"))
-    near = attach(docs, spots, ["id", "tag"], "inner").select("id", "tag", "text", "spots", "hot")
-    sent = near.mapInArrow(
-        _surroundings(length), "deal bigint, id bigint, tag bigint, first bigint, n bigint, rel bigint, context binary")
-    runs = sent.repartition(parts, "deal").mapInArrow(_later(length), "id bigint, tag bigint, run bigint")
+    hot = found.where("hot").select("key", F.lit(True).alias("_hot")).distinct()
+    open_ = F.col("key").isNotNull() & ~F.col("hot")
+    marked = attach(found.where(open_), hot, ["key"], "left").select("id", "spot", F.coalesce("_hot", F.lit(False)).alias("hot"))
+    marked = marked.unionByName(found.where(~open_).select("id", "spot", "hot"))
+    spots = marked.groupBy("id").agg(F.collect_list(F.struct("spot", "hot")).alias("_s"))
+    spots = spots.select("id", F.col("_s.spot").alias("spots"), F.col("_s.hot").alias("hot"))
+    near = attach(docs, spots, ["id"], "inner").select("id", "tag", "text", "spots", "hot")
+    sent = near.mapInArrow(_surroundings(length), "deal bigint, id bigint, tag int, first bigint, n bigint, rel bigint, context binary")
+    runs = sent.repartition(parts, "deal").mapInArrow(_later(length), "id bigint, tag int, run bigint")
     return runs.groupBy("id", "tag").agg(F.collect_list("run").alias("runs")).mapInArrow(
-        _merged(length), "id bigint, tag bigint, spans array<bigint>")
+        _merged(length), "id bigint, tag int, spans array<bigint>")
 
 
 def dedup(
@@ -337,12 +365,12 @@ def dedup(
         raise ValueError("a gram must fit into the string, and at most 256 starts share one")
     keep = [c for c in df.columns if c not in ADDED]
     ident = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63)))
-    tag = F.xxhash64(f"`{text}`")
+    tag = F.hash(f"`{text}`")
     docs = df.select(ident.alias("id"), tag.alias("tag"), F.col(f"`{text}`").alias("text"))
     spans = repeated_spans(docs, length, gram, hot_rows)
     a, b, c = (fresh(x, keep) for x in ("_id", "_tag", "_spans"))
     source = df.select(*[F.col(f"`{x}`") for x in keep], ident.alias(a), tag.alias(b))
-    joined = attach(source, spans.select(F.col("id").alias(a), F.col("tag").alias(b), F.col("spans").alias(c)), [a, b])
+    joined = attach(source, spans.select(F.col("id").alias(a), F.col("tag").alias(b), F.col("spans").alias(c)), [a, b], broadcast_bytes=SPANS_BYTES)
     joined = joined.select(*[f"`{x}`" for x in keep], c)
     schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(c, t) for c, t in ADDED.items()]])
     if whole_characters:
