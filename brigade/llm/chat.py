@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brigade.operators.spread import attach, running, settle
+from brigade.llm.joins import attach
+from brigade.operators.spread import running, settle
 
 PAGE_TURNS = 1000
 
@@ -28,7 +29,7 @@ def maximal(turns: DataFrame) -> DataFrame:
         hashes[f"h{k}"] = F.pmod(term, F.lit((1 << 60) - 1)).cast("decimal(20,0)")
     rolling = settle(
         running(turns.select("conv_id", "pos", "n_turns", *[c.alias(n) for n, c in hashes.items()]),
-                ["conv_id"], [F.col("pos")], rank="_again", totals={"p0": F.col("h0"), "p1": F.col("h1")}),
+                ["conv_id"], [F.col("pos")], rank="_again", totals={"p0": F.col("h0"), "p1": F.col("h1")}, stored=True),
         "prefixes",
     )
     key = ["n_turns", "p0", "p1"]

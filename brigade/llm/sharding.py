@@ -16,7 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brigade.operators.spread import attach, running, settle
+from brigade.llm.joins import attach
+from brigade.operators.spread import running, settle
 
 BITS = 60
 # Bits looked at in one pass: an oversized bucket gives at most 2^STEP cells.
