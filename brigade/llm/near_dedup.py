@@ -7,8 +7,9 @@ Jaccard similarity is 0.8 or more, and near texts are joined into classes.
 2. Forty bands of six registers: a pair at 0.8 misses every band with a probability of 5e-6.
 3. In every bucket all members are compared with one centre, the member that meets most others over all bands.
 4. Buckets whose members are not all in one class afterwards: members far from the centre cannot be near to those
-   near it (one minus the similarity is a metric), all other pairs are compared by signature in blocks of bounded size.
-5. A pair that agrees in 150 or more of its 240 registers (expected at 0.8: 192) is verified on the shingles themselves.
+   near it (one minus the similarity is a metric), all other pairs are compared by signature in blocks of bounded size,
+   which give the links that join two classes and no others.
+5. A pair that agrees in 165 or more of its 240 registers (expected at 0.8: 192) is verified on the shingles themselves.
 
 A text without a word is near to nothing. Repeated rows share a class like any copies; null ids are kept, the class is
 named by the smallest id that is not null. Only the id and the text column are read, so other columns cannot clash.
@@ -26,12 +27,14 @@ from pyspark.sql import functions as F
 
 from brigade.llm import arrow_text, probminhash, words
 from brigade.llm.components import components
-from brigade.operators.spread import attach, settle
+from brigade.llm.joins import attach
+from brigade.operators.spread import settle
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-# Registers that must agree before a pair is verified, and below which members count as far from a centre (0.6).
-AGREE, FAR = 150, 108
+# Registers that must agree before a pair is verified (at 0.8 fewer do with a probability of 1e-5), and below which members
+# count as far from a centre (0.6).
+AGREE, FAR = 165, 108
 # Members of a bucket that one task compares with each other; larger buckets go in pairs of blocks.
 BLOCK = 1024
 # Texts in a piece; ids of texts share 64 bits with 48 of a shingle.
@@ -97,45 +100,57 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], names=["a", "b", "similarity"])
 
 
-def _block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs of two classes that agree in enough registers, between two blocks of a bucket (or within one)."""
-    side = np.array(table.column("side"))
-    sig = arrow_text.flat_utf8(table.column("sig").combine_chunks())[0].reshape(-1, probminhash.REGISTERS)
-    node, label = table.column("node").to_pylist(), np.array(table.column("label").to_pylist(), object)
+def _block_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Verified links between classes, of two blocks of a bucket (or within one), as few as join what is near.
+
+    A pair that shares several buckets is looked at in the first of them only.
+    """
+    def rows(name: str, kind: type) -> np.ndarray:
+        return arrow_text.flat_utf8(table.column(name).combine_chunks())[0].view(kind)
+
+    side, band_key = np.array(table.column("side")), key[0].as_py()
+    sig = rows("sig", np.uint8).reshape(-1, probminhash.REGISTERS)
+    bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(len(sig), -1)
+    node = table.column("node").to_pylist()
+    data, at = arrow_text.flat_utf8(table.column("shingles").combine_chunks())
+    _, label = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)
+    shingles = [data[x:y].view(np.uint64) for x, y in zip(at, at[1:])]
     left = np.nonzero(side == 0)[0]
     right = left if key[1].as_py() == key[2].as_py() else np.nonzero(side == 1)[0]
-    a, b = [], []
+    found: list[tuple[bytes, bytes, float]] = []
     for i in left:
-        near = right[(sig[right] == sig[i]).sum(1) >= AGREE]
-        near = near[label[near] != label[i]]
-        a += [min(node[i], node[j]) for j in near]
-        b += [max(node[i], node[j]) for j in near]
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        agree = (sig[right] == sig[i]).sum(1)
+        shared = bands[right] == bands[i]
+        here = bands[i][shared.argmax(1)] == band_key
+        near = np.nonzero((agree >= AGREE) & here & (label[right] != label[i]))[0]
+        for j in right[near[np.argsort(-agree[near], kind="stable")]]:
+            if label[j] == label[i]:
+                continue
+            similarity = probminhash.probability_jaccard(shingles[i], shingles[j])
+            if similarity >= THRESHOLD:
+                found.append((min(node[i], node[j]), max(node[i], node[j]), similarity))
+                label[label == label[j]] = label[i]
+    a, b, values = zip(*found) if found else ((), (), ())
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array(values, pa.float64())})
 
 
 def _with_both(pairs: DataFrame, what: DataFrame, column: str) -> DataFrame:
-    """Pairs (a, b) with the column of both nodes; ``what`` has one row per node."""
-    for side in ("a", "b"):
-        uses = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_uses"))
-        own = what.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}"))
-        pairs = attach(pairs, own.join(uses, side), [side], "inner", weight="_uses", spread_by=["a", "b"]).drop("_uses")
+    """Pairs (a, b) with the column of both nodes; ``what`` has one row per node.
+
+    Plain equal joins: a centre with very many pairs is split at run time (adaptive skew join).
+    """
+    for side in ("b", "a"):
+        pairs = pairs.join(what.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
     return pairs
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose similarity reaches the threshold. Shingles are built for the nodes of these pairs only."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one row per node is enough; as a struct a null id equals itself
+def _shingles(nodes: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the given nodes, from one text of each."""
+    # as a struct a null id equals itself
     wanted = signed.select("node", F.struct("id").alias("_id")).join(nodes, "node", "left_semi").groupBy("node").agg(F.min("_id").alias("_id"))
     ids = wanted.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
     texts = attach(docs.withColumn("_id", F.struct("id")), ids, ["_id"], "inner", weight="_n").select("id", "text")
-    features = (
-        texts.mapInArrow(_features, "node binary, shingles binary")
-        .join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    )
-    both = _with_both(pairs, settle(features, "shingles"), "shingles")
-    found = both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_similar, "a binary, b binary, similarity double")
-    return settle(found.where(F.col("similarity") >= THRESHOLD), "links")
+    return texts.mapInArrow(_features, "node binary, shingles binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -148,29 +163,32 @@ def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         "members",
     )
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    sized = settle(attach(members, sizes, ["key"], "inner", weight="size", spread_by=["node"]), "sized")
+    sized = attach(members, sizes, ["key"], "inner", weight="size", spread_by=["node"])
     meets = sized.groupBy("node").agg(F.sum("size").alias("meets"), F.count(F.lit(1)).alias("_n"))
     weighted = attach(sized, meets, ["node"], "inner", weight="_n", spread_by=["key"])
     centre = weighted.groupBy("key").agg(F.max(F.struct("meets", "node"))["node"].alias("centre"), F.count(F.lit(1)).alias("size"))
     starred = settle(
         attach(members, centre, ["key"], "inner", weight="size", spread_by=["node"]).select("key", "centre", "node"), "starred")
-    sigs = settle(signed.where("node IS NOT NULL").select("node", "sig").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sigs")
+    sigs = settle(
+        signed.where("node IS NOT NULL").select("node", "sig", "bands").join(members.select("node").distinct(), "node", "left_semi")
+        .dropDuplicates(["node"]), "sigs")
+    shingles = settle(_shingles(sigs.select("node"), signed, docs), "shingles")
     spokes = starred.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     agreeing = settle(
         _with_both(spokes, sigs, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a binary, b binary, agree int"), "agreeing")
-    links = _verified(agreeing.where(F.col("agree") >= AGREE).select("a", "b"), signed, docs)
+    both = _with_both(agreeing.where(F.col("agree") >= AGREE).select("a", "b"), shingles, "shingles")
+    similar = both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_similar, "a binary, b binary, similarity double")
+    links = settle(similar.where(F.col("similarity") >= THRESHOLD), "links")
     labels = components(links)
-    rest = settle(_unsettled(starred, agreeing, links, labels, sigs), "rest")
-    if not rest.take(1):
-        return links
-    return links.unionByName(_verified(rest, signed, docs))
+    known = sigs.join(shingles, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return links.unionByName(settle(_unsettled(starred, agreeing, links, known), "more_links"))
 
 
-def _unsettled(starred: DataFrame, agreeing: DataFrame, links: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs of different classes that share a bucket and may be near, beside those already compared."""
-    known = sigs.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+def _unsettled(starred: DataFrame, agreeing: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
+    """Links between different classes in a shared bucket, beside the pairs already compared."""
     uses = starred.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
-    placed = settle(attach(starred, known.join(uses, "node"), ["node"], "inner", weight="_n", spread_by=["key"]).drop("_n"), "placed")
+    of_node = known.select("node", "label").join(uses, "node")
+    placed = settle(attach(starred, of_node, ["node"], "inner", weight="_n", spread_by=["key"]).drop("_n"), "placed")
     token = F.xxhash64("label")
     mixed_keys = placed.groupBy("key").agg(F.min(token).alias("lo"), F.max(token).alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo < hi")
     at_stake = attach(placed, mixed_keys.select("key", "_n"), ["key"], "inner", weight="_n", spread_by=["node"]).drop("_n")
@@ -178,21 +196,20 @@ def _unsettled(starred: DataFrame, agreeing: DataFrame, links: DataFrame, labels
         F.col("a").alias("centre"), F.col("b").alias("node"),
         F.when(F.col("near"), "near").when(F.col("agree") < FAR, "far").otherwise("ring").alias("status"))
     told = settle(
-        at_stake.where("node != centre").join(status, ["centre", "node"]).select("key", "node", "label", "status"), "told")
+        at_stake.where("node != centre").join(status, ["centre", "node"]).select("key", "node", "status"), "told")
     per_key = told.groupBy("key").agg(
         F.max(F.col("status") == "ring").alias("ring"), F.sum((F.col("status") != "near").cast("long")).alias("away"), F.count(F.lit(1)).alias("_n"))
     # without a ring, those near the centre are out of reach for the rest
     per_key = per_key.where("ring OR away > 1").withColumn(
         "blocks", F.ceil(F.when(F.col("ring"), F.col("_n")).otherwise(F.col("away")) / BLOCK).cast("int"))
     left = attach(told, per_key, ["key"], "inner", weight="_n", spread_by=["node"]).where("ring OR status != 'near'")
-    uses = left.groupBy("node").agg(F.count(F.lit(1)).alias("_uses"))
-    left = attach(left.select("key", "node", "label", "blocks"), sigs.join(uses, "node"), ["node"], "inner", weight="_uses", spread_by=["key"])
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # a member meets its own block and every other one, once
     laid = left.withColumn("_own", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
-        F.when(F.col("_own") <= F.col("_other"), 0).otherwise(1).alias("side"), "node", "label", "sig")
-    return laid.groupBy("key", "i", "j").applyInArrow(_block_pairs, "a binary, b binary").distinct()
+        F.when(F.col("_own") <= F.col("_other"), 0).otherwise(1).alias("side"), "node")
+    whole = laid.join(known.select("node", "label", "sig", "bands", "shingles"), "node")
+    return whole.groupBy("key", "i", "j").applyInArrow(_block_links, "a binary, b binary, similarity double")
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
