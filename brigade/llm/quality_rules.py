@@ -3,9 +3,12 @@
 Every line with a word meets three rules; lines that fail one go, and a document goes when that takes too much
 of its words, or when it fails the base rule (too few words, or too many words inside repeated five-word windows).
 
-* punctuation: three or more marks, and more than one mark in ten characters of ink
+* punctuation: three or more marks, and more than one mark in ten characters of ink; only a run of one mark behind a word
+  that begins with none counts ("so!! what$$$"), or any mark on a line without letters and digits, so operators, braces and
+  names of source code, headings and emphasis do not
 * navigation: two or more separators, and one for every four words at least
-* boilerplate: a short line with a set phrase (licences, cookies, sign-up and the like)
+* boilerplate: a short line of which set phrases (licences, cookies, sign-up and the like) make up half the words or more;
+  a phrase is met as whole words, so a sentence that mentions one stays
 
 Null and empty texts have no words and are rejected; their clean text is null or empty. Repeated rows get the same
 verdict each. All columns of the input are kept; an added column replaces one of the same name. Windows are compared
@@ -26,12 +29,25 @@ WHITE = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 # The line rules.
-MARKS = r"#*$%&|<>~^=_+{}\\@!"
+MARKS = "#*$%&|<>~^!"
+# A word with a run of one mark behind it.
+MARKED = rf"((?:^|[{WHITE}])[^{WHITE}{MARKS}](?:[^{WHITE}]*[^{WHITE}{MARKS}])?)([{MARKS}])\2+(?=[{WHITE}]|$)"
+WORDLIKE = r"[\p{L}\p{N}]+"
 SEPARATORS = "|»›•·"
+_LICENCE = r"(?:licen[cs]e|cc|gnu|a?gpl|lgpl|mit|bsd|apache|mozilla|creative commons)"
+# A notice takes its line from where it begins, a phrase only its own words.
 BOILERPLATE = (
-    r"(?i)licensed under|all rights reserved|copyright|©|cookie|privacy policy|terms of (use|service)|subscribe"
-    r"|sign (in|up)|log in|click here|read more|share this|enable javascript|lorem ipsum|permission is hereby granted"
-    r"|without warranty|spdx-license-identifier"
+    r"(?iu)(?<![\p{L}\p{N}_])(?:"
+    rf"(?:(?:this|the) \w+ is )?(?:dual[- ])?licensed under (?:[^.]*[ -])?{_LICENCE}(?![\p{{L}}\p{{N}}_]).*"
+    r"|(?:copyright|\(c\)) *(?:\(c\)|©)? *(?:19|20)\d\d.*|permission is hereby granted,? free of charge.*|spdx-license-identifier:.*"
+    r"|(?:the software is |is )?(?:provided|distributed) \W*as is\W+without warranty.*|without warranty of any kind.*"
+    r"|lorem ipsum(?: dolor sit amet.*)?"
+    r"|(?:all rights reserved|permission is hereby granted|without warranty|copyright notice"
+    r"|privacy policy|terms of (?:use|service)|cookie (?:policy|notice|settings|preferences|consent)"
+    r"|(?:(?:this|our) (?:web)?site|we) uses? cookies|(?:accept|allow|reject|manage)(?: all)? cookies"
+    r"|subscribe(?: now| today| to our \w+)|(?:sign (?:in|up)|log in)(?: now| here| to your account)?"
+    r"|click here|read more|share this(?: (?:post|page|article|story))?|(?:please )?enable javascript)(?![\p{L}\p{N}_])"
+    r")|©.*|^\W*(?:subscribe|copyright|cookies)\W*$"
 )
 BOILERPLATE_WORDS = 30
 KEPT_PERCENT = 50
@@ -80,8 +96,12 @@ def _line(line: Column) -> Column:
     """The line, its words, whether it has one, and whether it fails a rule."""
     n_words = F.size(words_of(line))
     ink = F.length(without(line, WHITE))
-    marks = ink - F.length(without(line, WHITE + MARKS))
+    plain = F.length(line) - F.length(F.regexp_replace(line, MARKED, "$1"))
+    marks = F.when(line.rlike(WORDLIKE), plain).otherwise(ink - F.length(without(line, WHITE + MARKS)))
     bars = F.length(line) - F.length(without(line, SEPARATORS))
+    # words beside the phrases
+    others = F.regexp_count(F.regexp_replace(line, BOILERPLATE, " "), F.lit(WORDLIKE))
+    phrases = line.rlike(BOILERPLATE) & (others * 2 <= F.regexp_count(line, F.lit(WORDLIKE)))
     return let(F.struct(n_words.alias("n"), ink.alias("ink"), marks.alias("marks"), bars.alias("bars")), lambda x: F.struct(
         line.alias("line"),
         x["n"].alias("n"),
@@ -90,7 +110,7 @@ def _line(line: Column) -> Column:
             & (
                 ((x["marks"] >= 3) & (x["marks"] * 10 > x["ink"]))
                 | ((x["bars"] >= 2) & (x["bars"] * 4 >= x["n"]))
-                | ((x["n"] <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
+                | ((x["n"] <= BOILERPLATE_WORDS) & phrases)
             )
         ).alias("fails"),
     ))

@@ -52,6 +52,24 @@ def test_line_rules(spark, docs):
     assert quality_rules.clean(docs([])).count() == 0
 
 
+def test_phrases_and_operators_inside_clean_lines(spark, docs):
+    clean = [
+        "the design includes a small assign up to four steps in each of them", "our catalog in print and a dialog in two parts were shown today",
+        "they spread more butter on it and ate a cookie before the long walk home", "an essay on copyright law is read by every student in the first year",
+        "she had to sign in at the front desk before the meeting could start", "self._a = b_c", "x = {k: v for k, v in d.items() if k != '_id'}",
+        "if (a && b != c) { return a[i] * b[j] + c; }", "### Results", "**Note** and **more**", "cookie = get_cookie()", "user@host:/srv$ make",
+    ]
+    junk = [
+        "Read more", "Click here to sign in", "© 2020 Acme Inc. All rights reserved.", "We use cookies, see our cookie policy.",
+        "Subscribe to our newsletter!", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.",
+        "so!! what,!! then!!", "And$$$ on.", "*** *** ***",
+    ]
+    got = {r["doc_id"]: r for r in quality_rules.clean(docs(enumerate(clean + junk))).collect()}
+    assert [t for i, t in enumerate(clean + junk) if got[i]["n_failed_lines"]] == junk
+    assert [got[i]["kept"] for i in range(5)] == [True] * 5 and got[0]["clean_text"] == clean[0]
+
+
 @pytest.mark.parametrize("limit,step", [(3000, 2), (20_000, 5)])
 def test_shards_split_like_the_definition(spark, limit, step):
     df = sharding.shards(spark.read.parquet(f"{SF}/documents.parquet"), limit=limit, step=step)
