@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from brigade import schemas
 from brigade.functions import clean, items, numbers, periods
-from brigade.operators import catalog, efficiency, silver
+from brigade.operators import catalog, efficiency, kpi, silver
 from brigade.plans import bundles
 from brigade.plans.kpi_queries import INGREDIENT_COST, NET
-from brigade.plans.registry import query
+from brigade.plans.registry import SQL, query
 from brigade.plans.views import AS_OF
 from brigade.sources import csv_files, pos_json, sinks, tables
 
@@ -797,3 +797,51 @@ LEFT JOIN (SELECT location_id, SUM(sub_revenue)::DOUBLE AS revenue, SUM(cost)::D
                   SUM(cost)::DOUBLE / SUM(sub_revenue)::DOUBLE * 100 AS food_cost_pct FROM v_stats GROUP BY 1) c ON s.location_id = c.location_id""")
 def _(t):
     return bundles.bundle_headlines(bundles.dashboard_bundle(t.sales, t.menu, t.inventory, t.labor, "widget"))
+
+
+# -- whole results -------------------------------------------------------------------------------
+# Some of the queries above show a part of what their operator returns; these show all of it.
+
+# stock without sales turns over 0 times, as kpi_inventory_turnover has it
+WHOLE = ALL.replace("cogs::DOUBLE / (v::DOUBLE / n)", "COALESCE(cogs, 0)::DOUBLE / (v::DOUBLE / n)").replace(
+    "JOIN v_cogs c ON s.location_id", "LEFT JOIN v_cogs c ON s.location_id")
+WARNED = f"""SELECT {LOC}, kpi, metric, value, valid,
+       CASE WHEN kpi = 'total_sales' AND value < 0 THEN 'total is negative' WHEN kpi = 'overtime_pct' AND value > 100 THEN 'overtime exceeds hours'
+            WHEN kpi = 'overtime_pct' AND value > 50 THEN 'overtime share is high' END AS warning FROM v_all"""
+
+
+def _of_days(name: str, first: str, last: str) -> None:
+    """The query's sales and labor are those of the days."""
+    for view in ("v_sales", "v_labor"):
+        head, tail = SQL[name].split(f"\n{view} AS (", 1)
+        body, rest = tail.split("),\nv_", 1)
+        SQL[name] = (f"{head}\n{view}_any AS ({body}),\n{view} AS (SELECT * FROM {view}_any "
+                     f"WHERE date BETWEEN DATE '{first}' AND DATE '{last}'),\nv_{rest}")
+
+
+@query("kpi_all_whole", WHOLE + WARNED)
+def _(t):
+    return _all(t)
+
+
+@query("kpi_all_last_year_whole", WHOLE + WARNED)
+def _(t):
+    return bundles.all_kpis(t.sales, t.inventory, t.menu, t.labor, "Last_year", AS_OF)
+
+
+@query("kpi_all_of_a_date_range_whole", WHOLE + WARNED)
+def _(t):
+    return bundles.all_kpis(t.sales, t.inventory, t.menu, t.labor, bounds=(dt.date(2000, 3, 1), dt.date(2000, 3, 20)))
+
+
+_of_days("kpi_all_last_year_whole", "2000-08-01", "2001-08-01")
+_of_days("kpi_all_of_a_date_range_whole", "2000-03-01", "2000-03-20")
+
+
+@query("question_answers_whole", WHOLE + f"""
+SELECT n_nationkey::BIGINT AS location_id, 'Show the ' || replace(a.kpi, '_', ' ') AS question, a.kpi AS prompt_id, a.metric, a.value, a.valid, a.warning
+FROM nation JOIN ({WARNED}) a ON a.location_id = n_nationkey WHERE a.kpi IN {kpi.KPI_NAMES!r}""")
+def _(t):
+    asks = F.explode(F.array(*[F.lit("Show the " + n.replace("_", " ")) for n in kpi.KPI_NAMES]))
+    asked = t.raw("nation").select(F.col("n_nationkey").alias("location_id"), asks.alias("question"))
+    return catalog.answers(asked, "question", _all(t), catalog.kpi_catalog(kpi.KPI_NAMES))

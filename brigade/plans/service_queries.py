@@ -732,6 +732,16 @@ def _(t):
         "vec_id", F.round(cell / first, 6).alias("norm"), F.round(first, 6).alias("first"))
 
 
+@query("vector_reduced_whole", """
+SELECT vec_id, unnest(range(0, len(r)))::BIGINT AS cell, ROUND(unnest(r) / n, 6) AS value
+FROM (SELECT vec_id, list_resize(r, 1024, 0) AS r, sqrt(list_sum(list_transform(r, lambda x: x * x))) AS n
+      FROM (SELECT vec_id, list_transform(range(0, 21), lambda i: (e[3 * i + 1] + e[3 * i + 2] + e[3 * i + 3]) / 3) AS r
+            FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)))""")
+def _(t):
+    cells = vectors.with_reduced(t.raw("embeddings"), "embedding", "r").select("vec_id", F.posexplode("r").alias("cell", "value"))
+    return cells.withColumn("value", F.round("value", 6))
+
+
 @query("vector_not_embedded", """
 SELECT DISTINCT 'file' || p_size AS filename FROM part WHERE 'file' || p_size NOT IN (SELECT filename FROM v_chunk)""")
 def _(t):
