@@ -25,12 +25,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the smallest id; equal rows count once."""
-    classes = near_dedup.classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # as a struct a null id equals itself
+    """Exactly one row of each class of near duplicates stays, the one with the smallest id; equal rows count once.
+
+    A row is known by its id and a hash of its text, so repeated and null ids (the last to be chosen) stand for no other row.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    classes = near_dedup.classes(docs.select(row.alias("doc_id"), "text")).where(F.col("doc_id") == F.col("class_id"))
+    # within a struct a null id equals itself
     name = fresh("_id", docs.columns)
-    kept = classes.select(F.struct("doc_id").alias(name)).distinct()
-    left = attach(docs.withColumn(name, F.struct("doc_id")), kept, [name], "inner").select(*[f"`{c}`" for c in docs.columns])
+    kept = classes.select(F.col("doc_id").alias(name)).distinct()
+    left = attach(docs.withColumn(name, row), kept, [name], "inner").select(*[f"`{c}`" for c in docs.columns])
     return left.dropDuplicates(["doc_id", "text"])
 
 

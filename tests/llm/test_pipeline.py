@@ -58,3 +58,16 @@ def test_stages_take_odd_rows(spark, docs):
             assert name == "byte_bpe" or out.columns == frame.columns
             frame = out
         assert frame.count() == (2 if given else 0)
+
+
+def test_one_row_of_a_class_stays_with_repeated_and_null_ids(spark, docs):
+    def passage(name):
+        return " ".join(f"{name}{i}" for i in range(60))
+
+    first, second, third = map(passage, "abc")
+    rows = docs([
+        (1, first), (1, second), (0, second + " end"), (None, third), (None, third + " end"), (None, first + " end"), (None, "..."), (1, first),
+    ], extra=False)
+    kept = corpus_pipeline.near_dedup_stage(spark, rows, "").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"][:2]) for r in kept) == [
+        (False, 0, "b0"), (False, 1, "a0"), (True, 0, ".."), (True, 0, "c0")]
