@@ -11,6 +11,9 @@ Jaccard similarity is 0.8 or more, and near texts are joined into classes.
    which give the links that join two classes and no others.
 5. A pair that agrees in 165 or more of its 240 registers (expected at 0.8: 192) is verified on the shingles themselves.
 
+Words are runs of Unicode letters and digits, ASCII lower-cased; in scripts without blanks (Chinese, kana, Thai and the
+like) every character is a word. Quotes, dashes and blanks beyond ASCII part words like those of ASCII.
+
 A text without a word is near to nothing. Repeated rows share a class like any copies; null ids are kept, the class is
 named by the smallest id that is not null. Only the id and the text column are read, so other columns cannot clash.
 """
@@ -45,7 +48,7 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
     """Per piece: rows, word hashes with each text's first word, shingle hashes with their text."""
     for low in range(0, len(column), PIECE_TEXTS):
         for row, end, data, at in arrow_text.pieces(column.slice(low, PIECE_TEXTS)):
-            _, _, hashes, first = words.find(data, at)
+            _, _, hashes, first = words.find(data, at, unicode=True)
             runs, text = words.windows(hashes, first, SHINGLE_WORDS)
             yield low + row, low + end, hashes, first, runs, text
 

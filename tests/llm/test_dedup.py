@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brigade.llm import decontaminate, deep_shallow, near_dedup, probminhash, suffix_dedup
+from brigade.llm import decontaminate, deep_shallow, near_dedup, probminhash, suffix_dedup, words
 from tests.llm import reference
 
 SF = "/root/testdata/sf0.001"
@@ -142,3 +142,23 @@ def test_empty_benchmark_and_documents(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert [r["items"] for r in decontaminate.scan(docs(TEXTS), none).collect()] == [[]] * len(TEXTS)
     assert decontaminate.scan(docs([]), none).count() == 0
+
+
+def test_words_beyond_ascii():
+    def found(*texts):
+        raw = [t.encode() for t in texts]
+        data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        starts, ends, _, first = words.find(data, at, unicode=True)
+        got = [data[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+        return [got[a:b] for a, b in zip(first, first[1:])]
+
+    assert found("“One”—two café…", "", "中文a1中", "ガx ที่น", "हिन्दी 😀 é") == [
+        ["One", "two", "café"], [], ["中", "文", "a1", "中"], ["ガ", "x", "ที่", "น"], ["हिन्दी", "é"]]
+
+
+def test_near_copies_beyond_ascii(spark, docs):
+    chinese = "".join(chr(0x4E00 + 7 * i) for i in range(150))
+    plain = " ".join(f"\"word{i}\" - and" for i in range(60))
+    curly = " ".join(f"\u201cword{i}\u201d\u2014and" for i in range(60))
+    rows = docs([(1, chinese), (2, chinese[:149] + "\u4e00"), (3, plain), (4, curly)], extra=False)
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(rows).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
