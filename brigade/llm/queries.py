@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brigade.llm import (
-    byte_bpe, chat, decontaminate, language_id, near_dedup, quality_rules, quality_score, sampling, sharding, suffix_dedup, token_counts,
+    byte_bpe, chat, decontaminate, filter_audit, language_id, lexical_search, licences, near_dedup, quality_rules, quality_score,
+    sampling, sharding, suffix_dedup, token_counts,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +230,88 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_score.fit(docs, table(spark, sf_dir, "labels"), rest != 2)
     return quality_score.score(docs, model).select(
         "doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+          'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text),
+          'D': regexp_matches(text, '[#$%&*|]'),
+          'E': coalesce(coalesce(doc_id, 9223372036854775807) > min(doc_id) OVER (PARTITION BY text), false)} AS bad
+  FROM t LEFT JOIN l USING (doc_id)),
+m AS (
+  SELECT part, good, toxic, bad['A']::INT + 2 * bad['B']::INT + 4 * bad['C']::INT + 8 * bad['D']::INT + 16 * bad['E']::INT AS mask, count(*) AS n
+  FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+         list_sum([0] || list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65)))::BIGINT AS done
+  FROM orders, (SELECT unnest(range(1, 6)) AS step))
+SELECT part, filter_order, step::INT AS step,
+       sum(CASE WHEN mask & (bit | done) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+       sum(CASE WHEN mask & bit > 0 AND mask & done = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+       sum(CASE WHEN mask & bit > 0 AND mask & done > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+       sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+       sum(CASE WHEN mask & bit > 0 AND mask & done = 0 AND good = 1 THEN n ELSE 0 END)::BIGINT AS good_lost,
+       sum(CASE WHEN mask & bit > 0 AND mask & done = 0 AND toxic = 1 THEN n ELSE 0 END)::BIGINT AS toxic_lost,
+       sum(CASE WHEN mask & bit > 0 THEN n * 120 // bit_count(mask) ELSE 0 END)::BIGINT AS shapley
+FROM steps, m GROUP BY ALL
+"""
+
+
+@query("op11_filter_interaction_audit", OP11_SQL)
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+q AS (
+  SELECT item, item_id, term, count(*) AS times
+  FROM (SELECT row_number() OVER () AS item, item_id,
+               unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark)
+  GROUP BY ALL),
+totals AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS length FROM d WHERE len(w) > 0),
+postings AS (
+  SELECT row, doc_id, n, term, count(*) AS tf
+  FROM (SELECT row, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) SEMI JOIN q USING (term)
+  GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals),
+scores AS (
+  SELECT item, item_id, row, doc_id,
+         sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // length))))::BIGINT AS score
+  FROM postings JOIN weights USING (term) JOIN q USING (term), totals
+  GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op12_ranked_lexical_search", OP12_SQL)
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_license_scans")
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("notices", lambda x: x["base"])
+    places = F.transform(base, lambda x: x["word"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda x: x["label"]))), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
