@@ -12,8 +12,9 @@ a text arrives later, the rows that were counted as first are taken back and cou
 sums of such changes and at the end do not depend on the order of files.
 
 Rows are combined by text before they are shuffled, so a text in a third of all rows sends one row from each Arrow batch.
-State lives in the state store under a bucket of the texts' SHA-256; the number of buckets follows the table
-(BUCKET_TEXTS rows each) and must stay the same for a checkpoint that goes on. A micro-batch writes its sums to a folder of its
+State lives in the session's state store under a bucket of the texts' SHA-256 (a cluster whose executors can't hold some hundred
+bytes a text in memory sets the RocksDB provider); the number of buckets follows the table (BUCKET_TEXTS rows each) and must
+stay the same for a checkpoint that goes on. A micro-batch writes its sums to a folder of its
 own number, which a repeated batch overwrites.
 
 Rows: a null id counts as larger than all others; rows of the same id and text are copies of each other, not of a smaller id. A
@@ -28,10 +29,11 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState
 
 from brigade.llm.joins import BROADCAST_BYTES
 from brigade.operators.spread import attach
@@ -42,11 +44,6 @@ COPY = 16  # the bit of E
 MIN_WORDS, DISTINCT_PERCENT, CAPITALS_PERCENT = 200, 50, 2
 BATCHES = 4
 BUCKET_TEXTS = 64
-_SETTINGS = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-}
 _COUNTED = "part string, mask int, label int, change bigint"
 
 
@@ -80,80 +77,73 @@ def marked(docs: DataFrame, labels: DataFrame, weights: DataFrame, buckets: int,
         F.coalesce("label", F.lit(0)).alias("label"))
 
 
-_COMBINED = "bucket bigint, digest binary, id bigint, mask int, parts array<string>, labels array<int>, firsts array<bigint>, laters array<bigint>"
+_COMBINED = ("bucket bigint, digest binary, no_id boolean, id bigint, mask int, parts array<string>, labels array<int>, "
+             "firsts array<bigint>, laters array<bigint>")
+_COLUMNS = [c.split()[0] for c in _COMBINED.split(", ")]
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each text of an Arrow batch: its smallest id, and the rows of that id and of larger ones by part and label."""
+    types = [pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.string()), *[pa.list_(t) for t in (pa.int32(), pa.int64(), pa.int64())]]
     for batch in batches:
         texts: dict[bytes, tuple] = {}
         for bucket, digest, i, part, mask, label in zip(*[c.to_pylist() for c in batch.columns]):
+            here = (i is None, i or 0)  # without an id behind all others
             if digest not in texts:
-                texts[digest] = (bucket, i, mask, Counter({(part, label): 1}), Counter())
+                texts[digest] = (bucket, here, mask, Counter({(part, label): 1}), Counter())
                 continue
             _, low, _, firsts, laters = texts[digest]
-            if smaller(i, low):
-                texts[digest] = (bucket, i, mask, Counter({(part, label): 1}), laters + firsts)
+            if here < low:
+                texts[digest] = (bucket, here, mask, Counter({(part, label): 1}), laters + firsts)
             else:
-                (firsts if i == low else laters)[part, label] += 1
+                (firsts if here == low else laters)[part, label] += 1
         rows = []
         for digest, (bucket, low, mask, firsts, laters) in texts.items():
             kinds = list(firsts | laters)
-            rows.append((bucket, digest, low, mask, [p for p, _ in kinds], [x for _, x in kinds], [firsts[k] for k in kinds], [laters[k] for k in kinds]))
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            rows.append((bucket, digest, *low, mask, [p for p, _ in kinds], [x for _, x in kinds], [firsts[k] for k in kinds], [laters[k] for k in kinds]))
         columns = list(zip(*rows)) or [()] * len(types)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types)],
-            names=["bucket", "digest", "id", "mask", "parts", "labels", "firsts", "laters"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=_COLUMNS)
 
 
-def smaller(a: int | None, b: int | None) -> bool:
-    return a is not None and (b is None or a < b)
+_HELD = ("digests array<binary>, nulls array<boolean>, ids array<bigint>, masks array<int>, parts array<string>, labels array<int>, "
+         "counts array<bigint>")  # parallel lists, an entry for each text, part and label
 
 
-class FirstIds(StatefulProcessor):
+def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Smallest id of each text of a bucket, with the rows counted under it; gives the changes of the counters."""
-
-    def init(self, handle) -> None:
-        # parallel lists, an entry for each text, part and label
-        self.held = handle.getValueState(
-            "first", "digests array<binary>, ids array<bigint>, masks array<int>, parts array<string>, labels array<int>, counts array<bigint>")
-
-    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
-        texts: dict[bytes, tuple[int | None, int, Counter]] = {}
-        for digest, i, mask, part, label, n in zip(*(self.held.get() or ())):
-            texts.setdefault(bytes(digest), (i, mask, Counter()))[2][part, label] += n
-        changes: Counter = Counter()
-
-        def count(mask: int, kinds: Counter, sign: int = 1) -> None:
-            for (part, label), n in kinds.items():
-                changes[part, mask, label] += sign * n
-
-        for r in rows:
-            kinds = list(zip(r["parts"], r["labels"]))
-            firsts = Counter({k: n for k, n in zip(kinds, r["firsts"]) if n})
-            count(r["mask"] | COPY, Counter({k: n for k, n in zip(kinds, r["laters"]) if n}))
-            digest = bytes(r["digest"])
-            old = texts.get(digest)
-            if old is None or smaller(r["id"], old[0]):
+    texts: dict[bytes, tuple[tuple[bool, int], int, Counter]] = {}
+    for digest, null, i, mask, part, label, n in zip(*(state.get if state.exists else ())):
+        texts.setdefault(bytes(digest), ((null, i), mask, Counter()))[2][part, label] += n
+    changes: Counter = Counter()
+
+    def count(mask: int, kinds: Counter, sign: int = 1) -> None:
+        for (part, label), n in kinds.items():
+            changes[part, mask, label] += sign * n
+
+    for frame in frames:
+        for digest, null, i, mask, *kinds in zip(*[frame[c].tolist() for c in _COLUMNS[1:]]):
+            firsts, laters = Counter(), Counter()
+            for part, label, first, later in zip(*kinds):
+                firsts[part, int(label)] += int(first)
+                laters[part, int(label)] += int(later)
+            count(mask | COPY, laters)
+            here, old = (null, i), texts.get(digest)
+            if old is None or here < old[0]:
                 if old is not None:  # they were counted as first and are not
                     count(old[1], old[2], -1)
                     count(old[1] | COPY, old[2])
-                texts[digest] = (r["id"], r["mask"], firsts)
-                count(r["mask"], firsts)
-            elif r["id"] == old[0]:
+                texts[digest] = (here, mask, firsts)
+                count(mask, firsts)
+            elif here == old[0]:
                 old[2].update(firsts)
-                count(r["mask"], firsts)
+                count(mask, firsts)
             else:
-                count(r["mask"] | COPY, firsts)
-        entries = [(d, i, m, p, x, n) for d, (i, m, kinds) in texts.items() for (p, x), n in kinds.items()]
-        self.held.update(tuple(list(c) for c in zip(*entries)))
-        for (part, mask, label), n in changes.items():
-            if n:
-                yield Row(part=part, mask=mask, label=label, change=n)
-
-    def close(self) -> None:
-        pass
+                count(mask | COPY, firsts)
+    entries = [(d, *at, m, p, x, n) for d, (at, m, kinds) in texts.items() for (p, x), n in kinds.items() if n]
+    state.update(tuple(list(c) for c in zip(*entries)))
+    made = [(part, mask, label, n) for (part, mask, label), n in changes.items() if n]
+    if made:
+        yield pd.DataFrame(made, columns=["part", "mask", "label", "change"])
 
 
 def count_stream(
@@ -163,21 +153,14 @@ def count_stream(
     """Run a stream of documents to its end; the changes of each micro-batch are summed into a folder of ``counters``."""
     spark = docs.sparkSession
     combined = marked(docs, labels, weights, buckets, key, text, part).mapInArrow(_combine, _COMBINED)
-    changes = combined.groupBy("bucket").transformWithState(FirstIds(), _COUNTED, "Update", "None")
+    changes = combined.groupBy("bucket").applyInPandasWithState(_update, _COUNTED, _HELD, "update", "NoTimeout")
 
     def write(batch: DataFrame, number: int) -> None:
         sums = batch.groupBy("part", "mask", "label").agg(F.sum("change").alias("change"))
         sums.write.mode("overwrite").parquet(f"{counters}/batch={number}")
 
-    before = {name: spark.conf.get(name, None) for name in _SETTINGS}
-    try:
-        for name, value in _SETTINGS.items():
-            spark.conf.set(name, value)
-        changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
-            availableNow=True).start().awaitTermination()
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
 
 
 def _paths(filters: str) -> list[tuple[str, int, int, int]]:
