@@ -5,9 +5,11 @@ Every helper keeps the result whole: nothing is dropped, capped or sampled.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import threading
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,10 +22,30 @@ HOT_ROWS = 1_000_000
 HOT_KEYS = 10_000
 
 
+_open = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside are removed at the end, also after an error; what is to last must be written elsewhere.
+
+    For work that repeats, such as the micro-batches of a stream.
+    """
+    before, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _open.paths = _open.paths, before
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
-    Cuts the lineage, survives the loss of executors, and gives Catalyst real sizes.
+    Cuts the lineage, survives the loss of executors, and gives Catalyst real sizes. The table stays until the shared folder is
+    cleared, unless it is made within ``scratch``.
     """
     return _settled(df, name)[0]
 
@@ -31,6 +53,8 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
 def _settled(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
     """The settled frame and measures over it, taken while it was written."""
     path = shared_path(df.sparkSession, name)
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
     schema = df.schema
     seen = {}
     if measures:

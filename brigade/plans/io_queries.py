@@ -105,7 +105,7 @@ SELECT {ROW}, total_amount::DOUBLE AS total_amount FROM v_sales WHERE date >= DA
 def _(t):
     path = _path(t, "retained")
     sinks.replace_partitions(_sales(t, 1, 1), path)
-    sinks.delete_older(t.spark, path, (F.col("date") >= "1999-01-01") & (F.col("location_id") != 3), schema=MONEY_SCHEMA)
+    sinks.delete_older(t.spark, path, (F.col("date") >= "1999-01-01") & (F.col("location_id") != "3"))
     return _stored(t, path).drop("seq")
 
 
@@ -113,7 +113,7 @@ def _(t):
 def _(t):
     path = _path(t, "deleted")
     sinks.replace_partitions(_sales(t, 1, 1), path)
-    sinks.delete_keys(t.spark, path, t.sales.where("sale_id % 5 = 0"), ["location_id", "sale_id"], schema=MONEY_SCHEMA)
+    sinks.delete_keys(t.spark, path, t.sales.where("sale_id % 5 = 0"), ["location_id", "sale_id"])
     return _stored(t, path).drop("seq")
 
 

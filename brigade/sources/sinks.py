@@ -137,44 +137,70 @@ def write_documents(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("location_id").json(path)
 
 
+def _rows_by_text(spark: SparkSession, path: str, partition_by: Sequence[str], schema=None) -> DataFrame | None:
+    """A stored table whose partition values are read as they are written; ``schema`` is the stored one, if it is known.
+
+    Without it Spark would guess numbers and dates from folder names, and a rewrite would put ``01`` into ``1``.
+    """
+    if schema is None:
+        found = stored(spark, path)
+        if found is None:
+            return None
+        schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in partition_by else f for f in found.schema])
+    return stored(spark, path, schema)
+
+
+def _rewrite(spark: SparkSession, path: str, touched: DataFrame, left: DataFrame, partition_by: Sequence[str]) -> None:
+    """Write what is left of touched partitions (settled, with their folder) and drop the folders of those left empty.
+
+    All other files stay as they are. Both steps can be repeated: a rerun after a failure finds what is still to do.
+    """
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in partition_by])
+    there = left.select(*[F.col(c).alias(f"_l_{c}") for c in partition_by]).distinct()
+    _overwrite(left, path, partition_by)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    # one short row for each emptied partition, as the file listing of the table holds anyway
+    for r in touched.join(there, same, "left_anti").select("_folder").distinct().toLocalIterator():
+        folder = hadoop(spark._jvm.java.net.URI(r["_folder"]))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _folder() -> Column:
+    return F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder")
+
+
 def delete_older(
     spark: SparkSession, path: str, keep: Column, partition_by: Sequence[str] = ("location_id",), schema=None,
 ) -> None:
-    """Rewrite the partitions that hold rows to drop; ``keep`` is true for rows that stay.
+    """Delete the rows for which ``keep`` is false; rows for which it is null stay.
 
-    Partitions without rows to drop are not touched, unless one is left empty: then the table is written anew, as a
-    rewrite by partition cannot take one away. ``schema`` is the stored one; without it partition values are read as
-    text, so that none is changed on the way.
+    Only partitions that hold such rows are read in full and rewritten; one that is left empty is dropped. Without the
+    stored ``schema`` partition values are text.
     """
-    if schema is None:
-        found = spark.read.parquet(path).schema
-        schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in partition_by else f for f in found])
-    rows = spark.read.schema(schema).parquet(path)
-    keep = F.coalesce(keep, F.lit(True))
-    gone = settle(rows.where(~keep).select(*partition_by).distinct(), "touched")
-    left = settle(touched_only(rows, gone, partition_by).where(keep), "kept")
-    # as a struct a null partition equals itself
-    folder = F.struct(*partition_by).alias("p")
-    if gone.select(folder).join(left.select(folder).distinct(), "p", "left_anti").isEmpty():
-        _overwrite(left, path, partition_by)
+    rows = _rows_by_text(spark, path, partition_by, schema)
+    if rows is None:
         return
-    settle(rows.where(keep), "all_kept").write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    keep = F.coalesce(keep, F.lit(True))
+    touched = settle(rows.where(~keep).select(*partition_by, _folder()).distinct(), "touched")
+    left = settle(touched_only(rows, touched, partition_by).where(keep), "kept")
+    _rewrite(spark, path, touched, left, partition_by)
 
 
 def delete_keys(
     spark: SparkSession, path: str, gone: DataFrame, keys: Sequence[str], partition_by: Sequence[str] = ("location_id",), schema=None,
 ) -> None:
-    """Delete stored rows by their key: the partitions that hold one are rewritten."""
-    rows = stored(spark, path, schema)
+    """Delete stored rows by their key; a null in a key equals itself.
+
+    First the keys alone are read, to find the partitions that hold one; only these are read in full and rewritten, one
+    that is left empty is dropped. Without the stored ``schema`` partition values are text, those of ``gone`` as well.
+    """
+    rows = _rows_by_text(spark, path, partition_by, schema)
     if rows is None:
         return
-    marks = gone.select(*[F.col(k).alias(f"_g_{k}") for k in keys]).distinct().withColumn("_gone", F.lit(True))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    marks = settle(gone.select(*[F.col(k).cast(kinds[k]).alias(f"_g_{k}") for k in keys]).distinct(), "gone")
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
-    marked = settle(rows.join(marks, same, "left").select(*rows.columns, "_gone"), "marked")
-    touched = marked.where("_gone").select(*partition_by).distinct()
-    left = touched_only(marked, touched, partition_by).where(F.col("_gone").isNull())
-    folder = F.struct(*partition_by).alias("p")
-    if touched.select(folder).join(left.select(folder).distinct(), "p", "left_anti").isEmpty():
-        _overwrite(left.drop("_gone"), path, partition_by)
-        return
-    marked.where(F.col("_gone").isNull()).drop("_gone").write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    narrow = rows.select(*dict.fromkeys([*keys, *partition_by]), _folder())
+    touched = settle(narrow.join(marks, same, "left_semi").select(*partition_by, "_folder").distinct(), "touched")
+    left = settle(touched_only(rows, touched, partition_by).join(marks, same, "left_anti"), "kept")
+    _rewrite(spark, path, touched, left, partition_by)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from brigade.functions.numbers import MONEY
+from brigade.operators.spread import scratch
 from brigade.sources import sinks
 
 ORDER_KEY = ("location_id", "order_id", "order_date")
@@ -35,7 +36,8 @@ def keep_latest(orders: DataFrame, table: str, checkpoint: str, newest_by: Seque
     rewrites the days it touches and no others.
     """
     def write(batch: DataFrame, _: int) -> None:
-        sinks.upsert_latest(batch, table, ORDER_KEY, newest_by, partition_by=partition_by)
+        with scratch(batch.sparkSession):
+            sinks.upsert_latest(batch, table, ORDER_KEY, newest_by, partition_by=partition_by)
 
     return orders.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -223,3 +223,57 @@ def test_dates_of_the_last_century_and_free_forms(spark):
     assert [str(r[0]) for r in df.select(clean.parse_date("t", clean.SHORT_DATE_FORMS)).collect()] == ["1995-03-15", "1969-12-31", "2068-12-31", "None"]
     free = spark.createDataFrame([("March 5, 2024",), ("2024/03/05",), ("03-05-2024",), ("5 Mar 2024",), ("25-03-2024",)], "t string")
     assert [str(r[0]) for r in free.select(clean.parse_date("t")).collect()] == ["2024-03-05"] * 4 + ["2024-03-25"]
+
+
+def files_of(path):
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_deletes_touch_only_their_partitions(spark, folder, known):
+    path, schema = f"{folder}/t", "location_id string, order_id string, v int, date date"
+    d, old = dt.date(2025, 3, 1), dt.date(2024, 1, 1)
+    places = [None, "01", "1", "a:b", "x y", "100%"]
+    data = [(p, o, 1, d) for p in places for o in "ab"] + [("gone", "a", 1, old), ("gone 2", "a", 1, old), ("02", "a", 1, old), ("02", "b", 1, d)]
+    spark.createDataFrame(data, schema).repartition(1).write.partitionBy("location_id").parquet(path)
+    given = spark.createDataFrame([], schema).schema if known else None
+    read = lambda: rows(spark.read.schema(schema).parquet(path), "location_id", "order_id")
+    by_text = lambda r: tuple(map(str, r))
+    before = files_of(path)
+    sinks.delete_older(spark, path, F.col("date") >= F.lit(d), schema=given)
+    want = {(p, o) for p, o, _, day in data if day == d}
+    assert read() == sorted(want, key=by_text)
+    # the emptied partitions are gone, one is written anew, every other file is the same
+    assert {f for f in files_of(path) if "=02" not in f} == {f for f in before if "=02" not in f and "=gone" not in f}
+    assert not [x for x in os.listdir(path) if x.startswith("location_id=gone")]
+    before = files_of(path)
+    marks = [("01", "a"), (None, "b"), ("a:b", "a"), ("a:b", "b"), ("100%", "a"), ("none", "a"), ("x y", "c")]
+    for _ in range(2):  # a second run finds nothing to do
+        sinks.delete_keys(spark, path, spark.createDataFrame(marks, "location_id string, order_id string"), ["location_id", "order_id"], schema=given)
+        assert read() == sorted(want - set(marks), key=by_text)
+    changed = {f.split("location_id=")[1].split("/")[0] for f in before ^ files_of(path)}
+    assert changed == {"01", "__HIVE_DEFAULT_PARTITION__", "a%3Ab", "100%25"}
+    sinks.delete_keys(spark, path, spark.createDataFrame([(1,)], "location_id int"), ["location_id"], schema=given)
+    assert not [r for r in read() if r[0] == "1"] and [r for r in read() if r[0] == "01"]
+
+
+def test_delete_by_a_key_beside_the_partition(spark, folder):
+    path = f"{folder}/t"
+    spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", "z"), (3, "c", "w")], "location_id int, k string, v string").write.partitionBy("location_id").parquet(path)
+    before = files_of(path)
+    sinks.delete_keys(spark, path, spark.createDataFrame([("a",)], "k string"), ["k"])
+    assert rows(spark.read.parquet(path), "location_id", "k", "v") == [(1, "b", "y"), (3, "c", "w")]
+    assert {f for f in before if "=3/" in f} <= files_of(path) and "location_id=2" not in os.listdir(path)
+    sinks.delete_keys(spark, f"{folder}/none", spark.createDataFrame([("a",)], "k string"), ["k"])
+
+
+def test_scratch_removes_settled_tables(spark):
+    from brigade.operators import spread
+
+    with spread.scratch(spark):
+        kept = spread.settle(spark.range(3))
+        with spread.scratch(spark):
+            inner = spread.settle(spark.range(3)).inputFiles()
+        there = kept.inputFiles()
+        assert not [f for f in inner if os.path.exists(f.removeprefix("file://"))] and os.path.exists(there[0].removeprefix("file://"))
+    assert not os.path.exists(os.path.dirname(there[0].removeprefix("file://")))
