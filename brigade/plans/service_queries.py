@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from brigade.operators import access, customers, dashboard, pos, promotions, usage, vectors
+from brigade.operators import access, customers, dashboard, pos, promotions, usage, vector_index, vectors
 from brigade.operators.catalog import search_menu_text
 from brigade.plans.registry import query
 from brigade.plans.views import AS_OF
@@ -712,6 +712,44 @@ def _(t):
     return vectors.similar_chunks(t.chunks, first, ["owner_id"], k=10).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("vector_index_top_k", """, v_e AS (
+  SELECT vec_id AS id, label % 2 AS owner_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings WHERE embedding IS NOT NULL),
+v_u AS (SELECT id, owner_id, [x / sqrt(list_dot_product(e, e)) FOR x IN e] AS u FROM v_e WHERE list_dot_product(e, e) > 0),
+v_d AS (SELECT owner_id, u, min(id) AS vec, list(id ORDER BY id) AS ids FROM v_u GROUP BY owner_id, u),
+v_plane AS (
+  SELECT t, b, list(CASE WHEN md5(t || ':' || b || ':' || d)[1] < '8' THEN 1.0::DOUBLE ELSE -1.0 END ORDER BY d) AS s
+  FROM range(16) x(t), range(32) y(b), range(64) z(d) GROUP BY t, b),
+v_margin AS (SELECT owner_id, vec, u, t, b, list_dot_product(u, s) AS m FROM v_d, v_plane),
+v_code AS (SELECT owner_id, vec, t, sum(CASE WHEN m > 0 THEN 1::BIGINT << (31 - b) ELSE 0 END)::BIGINT AS code FROM v_margin GROUP BY ALL),
+v_start AS (
+  SELECT owner_id, CASE WHEN count(*) < 128 THEN 0 ELSE least(32, ceil(length(bin(count(*) // 128)) / 4) * 4) END AS first FROM v_d GROUP BY 1),
+v_depth AS (SELECT unnest(range(0, 33, 4)) AS depth),
+v_at AS (
+  SELECT owner_id, vec, t, depth, code >> (32 - depth) AS prefix FROM v_code JOIN v_start USING (owner_id), v_depth WHERE depth >= first),
+v_bucket AS (
+  SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY owner_id, t, depth, prefix) AS n FROM v_at) WHERE n <= 128 OR depth = 32
+  QUALIFY row_number() OVER (PARTITION BY owner_id, vec, t ORDER BY depth) = 1),
+v_asked AS (SELECT id AS query_id, owner_id, vec, u FROM v_u JOIN v_d USING (owner_id, u) WHERE id % 100 = 0),
+v_near AS (
+  SELECT owner_id, vec, t, depth, b, row_number() OVER (PARTITION BY owner_id, vec, t, depth ORDER BY abs(m), b) AS r
+  FROM v_margin, v_depth WHERE b < depth),
+v_look AS (
+  SELECT owner_id, vec, t, depth, code >> (32 - depth) AS prefix FROM v_code, v_depth
+  UNION ALL SELECT owner_id, vec, t, depth, xor(code >> (32 - depth), 1::BIGINT << (depth - 1 - b)) FROM v_near JOIN v_code USING (owner_id, vec, t) WHERE r < 8),
+v_met AS (
+  SELECT DISTINCT a.query_id, a.owner_id, k.vec FROM v_asked a JOIN v_look l USING (owner_id, vec)
+  JOIN v_bucket k ON k.owner_id = l.owner_id AND k.t = l.t AND k.depth = l.depth AND k.prefix = l.prefix),
+v_scored AS (
+  SELECT query_id, m.owner_id, unnest(ids) AS chunk_id, list_dot_product(d.u, a.u) AS similarity
+  FROM v_met m JOIN v_d d USING (owner_id, vec) JOIN v_asked a USING (query_id))
+SELECT query_id, owner_id::BIGINT AS owner_id, chunk_id, ROUND(similarity, 6) AS similarity, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM v_scored) WHERE rank <= 10""")
+def _(t):
+    index = vector_index.build(t.chunks, ["owner_id"])
+    asked = t.chunks.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
+    return vector_index.similar_chunks(index, asked, k=10).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("vector_catalog", """
 SELECT owner_id::BIGINT AS owner_id, category::BIGINT AS category, filename, COUNT(DISTINCT chunk_id) AS chunks,
        CAST(MAX(created_at) AS VARCHAR) AS last_update FROM v_chunk GROUP BY 1, 2, 3""")
