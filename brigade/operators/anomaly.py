@@ -42,7 +42,15 @@ def with_z(sales: DataFrame, *by: str) -> DataFrame:
 
 def business_hours(sales: DataFrame, quantile: float = 0.25, drop_night: bool = True) -> DataFrame:
     """Hours per location whose sales count exceeds the quantile over its hours (at most 24 rows each)."""
-    counts = sales.where(F.col("hour").isNotNull()).groupBy(*KEY, "hour").agg(F.count(F.lit(1)).alias("cnt"))
+    return busy_of(hour_counts(sales), quantile, drop_night)
+
+
+def hour_counts(sales: DataFrame) -> DataFrame:
+    return sales.where(F.col("hour").isNotNull()).groupBy(*KEY, "hour").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def busy_of(counts: DataFrame, quantile: float = 0.25, drop_night: bool = True) -> DataFrame:
+    """The business hours, from sales per location and hour."""
     cut = counts.groupBy(*KEY).agg(F.percentile("cnt", F.lit(quantile)).alias("cut"))
     busy = counts.join(cut, KEY).where(F.col("cnt") > F.col("cut"))
     if drop_night:
@@ -52,10 +60,13 @@ def business_hours(sales: DataFrame, quantile: float = 0.25, drop_night: bool =
 
 def location_profile(sales: DataFrame, quantile: float = 0.25) -> DataFrame:
     """One row per location: amounts' mean and spread, and its busy hours (at most 24)."""
-    busy = business_hours(sales, quantile, drop_night=False).groupBy(*KEY).agg(
-        F.collect_set("hour").alias("busy_hours")
-    )
     stats = amount_stats(sales, *KEY, more=[F.count("hour").alias("timed")])
+    return profile_of(stats, hour_counts(sales), quantile)
+
+
+def profile_of(stats: DataFrame, hours: DataFrame, quantile: float = 0.25) -> DataFrame:
+    """The profile from a location's amounts and its sales per hour."""
+    busy = busy_of(hours, quantile, drop_night=False).groupBy(*KEY).agg(F.collect_set("hour").alias("busy_hours"))
     return stats.join(busy, KEY, "left")
 
 
@@ -80,8 +91,12 @@ PROFILE = ("n", "mean_amount", "std_amount", "timed", "busy_hours")
 
 def with_profile(df: DataFrame, base: DataFrame | None = None, quantile: float = 0.25) -> DataFrame:
     """Location z-score and the two off-hours flags, from one attach."""
+    return against_profile(df, location_profile(df if base is None else base, quantile))
+
+
+def against_profile(df: DataFrame, profile: DataFrame) -> DataFrame:
     return (
-        attach(df, location_profile(df if base is None else base, quantile), KEY, weight="n")
+        attach(df, profile, KEY, weight="n")
         .withColumn("z_score", _z("mean_amount", "std_amount"))
         .withColumn("off_hours", _off(True))
         .withColumn("off_hours_with_night", _off(False))
@@ -91,9 +106,14 @@ def with_profile(df: DataFrame, base: DataFrame | None = None, quantile: float =
 
 def method_shares(sales: DataFrame) -> DataFrame:
     """Share of each payment method in its location; sales without a method do not count."""
-    counts = sales.where(F.col("payment_method").isNotNull()).groupBy(*KEY, "payment_method").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return shares_of(method_counts(sales))
+
+
+def method_counts(sales: DataFrame) -> DataFrame:
+    return sales.where(F.col("payment_method").isNotNull()).groupBy(*KEY, "payment_method").agg(F.count(F.lit(1)).alias("n"))
+
+
+def shares_of(counts: DataFrame) -> DataFrame:
     totals = counts.groupBy(*KEY).agg(F.sum("n").alias("_total"))
     return counts.join(totals, KEY).select(
         *KEY, "payment_method", "n", ratio("n", "_total").alias("method_share")
@@ -107,8 +127,12 @@ def with_method_share(df: DataFrame, base: DataFrame | None = None) -> DataFrame
 
 def with_employee_z(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Number of sales and z-score within the employee's own sales."""
+    known = (df if base is None else base).where(F.col("employee_id").isNotNull())
+    return against_employees(df, amount_stats(known, *KEY, "employee_id"))
+
+
+def against_employees(df: DataFrame, stats: DataFrame) -> DataFrame:
     keys = [*KEY, "employee_id"]
-    stats = amount_stats((df if base is None else base).where(F.col("employee_id").isNotNull()), *keys)
     return (
         attach(df, stats, keys, weight="n")
         .withColumn("employee_z", _z("mean_amount", "std_amount"))
@@ -119,12 +143,13 @@ def with_employee_z(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
 
 def with_repeats(df: DataFrame, base: DataFrame | None = None, at_least: int = 10) -> DataFrame:
     """How often the employee booked this very amount, where that is often; else null."""
-    keys = [*KEY, "employee_id", "total_amount"]
-    known = (df if base is None else base).where(
-        F.col("employee_id").isNotNull() & F.col("total_amount").isNotNull()
-    )
-    often = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats")).where(F.col("repeats") >= at_least)
-    return attach(df, often, keys, weight="repeats")
+    counts = repeat_counts(df if base is None else base)
+    return attach(df, counts.where(F.col("repeats") >= at_least), [*KEY, "employee_id", "total_amount"], weight="repeats")
+
+
+def repeat_counts(sales: DataFrame) -> DataFrame:
+    known = sales.where(F.col("employee_id").isNotNull() & F.col("total_amount").isNotNull())
+    return known.groupBy(*KEY, "employee_id", "total_amount").agg(F.count(F.lit(1)).alias("repeats"))
 
 
 class Kind(NamedTuple):
@@ -222,7 +247,11 @@ def high_discount(sales: DataFrame, above: float = 20.0, medium_above: float = 5
 def all_anomalies(sales: DataFrame, high_value_threshold: float = 12.0, repeated_at_least: int = 10) -> DataFrame:
     """All kinds in one table, found in a single pass once the group figures are attached."""
     df = with_method_share(with_profile(sales), sales)
-    df = with_repeats(with_employee_z(df, sales), sales, repeated_at_least)
+    return found_in(with_repeats(with_employee_z(df, sales), sales, repeated_at_least), high_value_threshold)
+
+
+def found_in(df: DataFrame, high_value_threshold: float = 12.0) -> DataFrame:
+    """All kinds among sales that carry their group figures."""
     return _rows(
         df,
         _kind_high_value(high_value_threshold), _kind_unusual_time(), _kind_repeated(),

@@ -7,5 +7,6 @@ from brigade.plans import (  # noqa: F401
     io_queries,
     kpi_queries,
     service_queries,
+    stream_queries,
 )
 from brigade.plans.registry import QUERIES, SQL, runnable  # noqa: F401

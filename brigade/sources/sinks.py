@@ -51,13 +51,28 @@ def with_data_copy(df: DataFrame) -> DataFrame:
     return df.withColumn("data", F.to_json(F.struct("*")))
 
 
+# Up to so many values of a partition column a scan is pruned by; beyond that many it reads all folders of that column.
+PRUNE_VALUES = 1000
+
+
+def _pruned(old: DataFrame, touched: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """The table without the folders of values that do not occur; a join alone would read them all."""
+    for c in partition_by:
+        values = [r[0] for r in touched.select(c).distinct().limit(PRUNE_VALUES + 1).collect()]
+        if len(values) <= PRUNE_VALUES:
+            some = F.col(c).isin([v for v in values if v is not None])
+            old = old.where(some | F.col(c).isNull() if None in values else some)
+    return old
+
+
 def touched_only(old: DataFrame, batch: DataFrame, partition_by: Sequence[str]) -> DataFrame:
     """Stored rows of the partitions a batch touches; a null partition is one like any other.
 
-    Partitions without a null are found by an equal join, which prunes the scan at run time; those with a null by a
-    filter on it, which prunes as well.
+    Folders of other values are not read. Of the rest the touched combinations are found by joins, those without a null by
+    an equal one.
     """
-    touched = batch.select(*partition_by).distinct()
+    touched = settle(batch.select(*partition_by).distinct(), "touched")
+    old = _pruned(old, touched, partition_by)
     no_null = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in partition_by])
     plain = old.join(touched.where(no_null), list(partition_by), "left_semi")
     named = touched.where(~no_null).select(*[F.col(c).alias(f"_p_{c}") for c in partition_by])

@@ -1,41 +1,15 @@
-"""Alerts from streams: sales anomalies per touched day and usage near the limit."""
+"""Alerts from streams: usage near the limit. Alerts on uploads are in ``uploads``, metering with limits in ``metering``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from brigade.functions.numbers import ratio
-from brigade.operators.anomaly import all_anomalies
-from brigade.operators.spread import settle
 from brigade.operators.usage import ALERT_SHARE, with_default_limit
 from brigade.sources import sinks
 
-ALERT_KEY = ("location_id", "category", "pattern", "sale_id")
-
-
-def alert_on_upload(
-    sales: DataFrame, table: str, alerts: str, checkpoint: str,
-    detect: Callable[[DataFrame], DataFrame] = all_anomalies, **trigger,
-) -> StreamingQuery:
-    """Store each batch of sales, then look at the days it touched.
-
-    Both writes ignore keys that are there already, so a replayed batch changes nothing.
-    """
-    def write(batch: DataFrame, _: int) -> None:
-        batch = settle(batch, "upload")
-        by_day = ("location_id", "date")
-        sinks.insert_new(batch, table, sinks.KEYS["sales"], partition_by=by_day)
-        rows = sinks.touched_only(batch.sparkSession.read.schema(batch.schema).parquet(table), batch, by_day)
-        found = settle(detect(rows), "found")
-        sinks.insert_new(found, alerts, ALERT_KEY)
-
-    return sales.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
 def usage_alerts(
     log: DataFrame, limits: DataFrame, alerts: str, checkpoint: str, cycle: str = "30 days",
     delay: str = "1 day", alert_share: float = ALERT_SHARE, cycles: DataFrame | None = None, **trigger,

@@ -141,7 +141,7 @@ def meter(
     folder of its own number, by kind; see ``decisions`` and ``closed_cycles``. A repeated batch overwrites its folder.
     """
     spark = log.sparkSession
-    timed = log.withWatermark("ts", delay)
+    timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     known = limits.select("user_id", F.col("max_engagements").cast("long").alias("_limit"))
     bounded = attach(timed, known, ["user_id"])
     ends = F.unix_millis(F.col("cycle_end").cast("timestamp"))

@@ -6,8 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from brigade import schemas
-from brigade.operators import anomaly
-from brigade.streaming import alerts, orders
+from brigade.streaming import alerts, orders, uploads
 from tests.conftest import rows
 
 SCHEMA = "location_id string, order_id string, order_date date, order_ts timestamp, total decimal(18,2), ingest_ts timestamp"
@@ -150,6 +149,7 @@ def test_uploads_raise_alerts_once(spark):
         [sale(i, "2025-01-01", 5.0) for i in range(5)] + [sale(9, "2025-01-01", 30.0)],
         [sale(9, "2025-01-01", 30.0), sale(20, "2025-01-01", 60.0)],  # one repeated row, one new
     ]
-    feed(lambda: alerts.alert_on_upload(orders.read_stream(spark, src, schema), table, found, ck, detect=anomaly.high_discount), src, files)
+    feed(lambda: uploads.alert_on_upload(orders.read_stream(spark, src, schema), table, f"{table}-figures", found, ck), src, files)
     assert spark.read.parquet(table).count() == 7
-    assert rows(spark.read.parquet(found), "sale_id", "severity") == [("s20", "medium"), ("s9", "low")]
+    discounts = spark.read.parquet(found).where("category = 'discount_anomalies'")
+    assert rows(discounts, "sale_id", "severity") == [("s20", "medium"), ("s9", "low")]
