@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brigade.functions.numbers import dbl, ratio
+from brigade.operators import substrings
 from brigade.operators.anomaly import EMPLOYEE_KIND, KEY, with_employee_z, with_method_share, with_profile
 from brigade.operators.efficiency import first_per_employee
 from brigade.operators.risk import factor_list
-from brigade.operators.spread import attach, settle, substring_pairs
+from brigade.operators.spread import attach, settle
 
 # Causes and their advice, and what is said when there is none.
 ADVICE = {
@@ -115,7 +116,7 @@ def ingredient_sale_share(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     pieces = sales.select(*KEY, "sale_id", F.explode(F.array_distinct(F.split("items_sold", ";"))).alias("item"))
     stocked = inventory.select(*KEY, "ingredient").distinct()
     names = settle(pieces.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "names")
-    pairs = substring_pairs(names, "item", stocked, "ingredient").join(names, "item")
+    pairs = substrings.pairs(names, "item", stocked, "ingredient").join(names, "item")
     # one item may be in a third of all sales
     named = attach(pieces, pairs, ["item"], "inner", weight="n").select(*KEY, "ingredient", "sale_id")
     counts = named.groupBy(*KEY, "ingredient").agg(F.count_distinct("sale_id").alias("sales_with"))

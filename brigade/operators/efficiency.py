@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brigade.functions.numbers import MONEY, dbl, ratio
-from brigade.operators.spread import attach, settle, substring_pairs, top_within
+from brigade.operators import substrings
+from brigade.operators.spread import attach, settle, top_within
 
 KEY = ["location_id"]
 
@@ -71,7 +72,7 @@ def ingredient_mentions(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     stocked = inventory.select(*KEY, "ingredient").distinct()
     counts = settle(counts, "item_counts")
     names = counts.groupBy("item").agg(F.count(F.lit(1)).alias("_locations"))
-    pairs = substring_pairs(counts, "item", stocked, "ingredient").join(names, "item")
+    pairs = substrings.pairs(counts, "item", stocked, "ingredient").join(names, "item")
     matched = attach(counts, pairs, ["item"], "inner", weight="_locations").join(
         stocked, [*KEY, "ingredient"], "left_semi"
     )

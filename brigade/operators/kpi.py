@@ -17,6 +17,7 @@ from brigade.functions.items import (
     times,
 )
 from brigade.functions.numbers import MONEY, dbl, ratio, to_cents, zero_if_null
+from brigade.operators.medians import medians
 from brigade.operators.spread import attach, running, settle, top_within
 
 KEY = ["location_id"]
@@ -291,12 +292,23 @@ def quadrants_of(items: DataFrame) -> DataFrame:
         return F.col(rank).between(F.floor((F.col("items") + 1) / 2), F.ceil((F.col("items") + 1) / 2))
 
     # only the one or two middle rows of each location carry a value
-    medians = ranked.groupBy(*KEY).agg(
+    middles = ranked.groupBy(*KEY).agg(
         F.avg(F.when(middle("popularity_rank"), dbl("units"))).alias("median_units"),
         F.avg(F.when(middle("profitability_rank"), dbl("gross_profit"))).alias("median_profit"),
         F.count(F.lit(1)).alias("_n"),
     )
-    placed = attach(ranked.drop("items"), medians, KEY, "inner", weight="_n").drop("_n")
+    return _with_quadrant(attach(ranked.drop("items"), middles, KEY, "inner", weight="_n").drop("_n"))
+
+
+def quadrant_sizes(items: DataFrame) -> DataFrame:
+    """Items per location and quadrant: the medians alone, without any rank."""
+    middle = medians(items, KEY, ["units", "gross_profit"]).withColumnRenamed("median_gross_profit", "median_profit")
+    sizes = items.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
+    placed = _with_quadrant(attach(items, middle.join(sizes, KEY), KEY, "inner", weight="_n"))
+    return placed.groupBy(*KEY, "quadrant").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _with_quadrant(placed: DataFrame) -> DataFrame:
     popular = F.col("units") >= F.col("median_units")
     profitable = dbl("gross_profit") >= F.col("median_profit")
     quadrant = (

@@ -215,31 +215,3 @@ def paged_list(
             F.transform(F.sort_array(F.collect_list(F.struct("_pos", value))), lambda x: x[value]), sep
         ).alias(name)
     )
-
-
-def substring_pairs(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    """All (text, needle) pairs of distinct values where the needle occurs in the text, ignoring case.
-
-    Written as an equi join: each text offers its distinct substrings of the lengths that needles
-    have, so only true matches are ever paired.
-    """
-    wanted = needles.select(F.col(needle)).where(F.length(needle) > 0).distinct()
-    lower = wanted.withColumn("_low", F.lower(needle)).withColumn("_len", F.length("_low"))
-    # one array of needle lengths: a scalar subquery, no larger than the longest needle
-    lengths = lower.agg(F.collect_set("_len")).scalar()
-    sized = (
-        texts.select(F.col(text))
-        .distinct()
-        .withColumn("_text", F.lower(text))
-        .withColumn("_len", F.explode(lengths))
-        .where(F.col("_len") <= F.length("_text"))
-    )
-    pieces = sized.select(
-        text,
-        F.explode(
-            F.array_distinct(
-                F.expr("transform(sequence(1, length(_text) - _len + 1), i -> substring(_text, i, _len))")
-            )
-        ).alias("_low"),
-    )
-    return attach(pieces, lower.drop("_len"), ["_low"], "inner").select(text, needle)

@@ -110,7 +110,7 @@ def all_kpis(
             kpi.overtime_pct(labor), "overtime_pct", F.coalesce("position", lit("total")), F.col("overtime_pct"), None,
             F.col("warning")),
         "popularity_vs_profitability": lambda: _long(
-            kpi.quadrants_of(profit).groupBy(*KEY, "quadrant").agg(F.count(lit(1)).alias("n")),
+            kpi.quadrant_sizes(profit),
             "popularity_vs_profitability", F.col("quadrant"), F.col("n")),
     }
     some = next(df for df in (sales, inventory, menu, labor) if df is not None)

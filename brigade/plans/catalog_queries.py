@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brigade import schemas
 from brigade.functions import clean, items, numbers, periods
-from brigade.operators import catalog, efficiency, kpi, silver
+from brigade.operators import catalog, efficiency, kpi, question_index, silver
 from brigade.plans import bundles
 from brigade.plans.kpi_queries import INGREDIENT_COST, NET
 from brigade.plans.registry import SQL, query
@@ -447,6 +448,30 @@ def _(t):
     return catalog.match_questions(t.raw("documents"), "text", known).select("doc_id", "prompt_id")
 
 
+PERIODS = " OR ".join(f"contains(x, '{w}')" for w in catalog.PERIOD_WORDS)
+
+
+@query("question_catalog_automaton", f"""
+, v_word AS (
+  SELECT word, row_number() OVER (ORDER BY word) AS position
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS word FROM benchmark)),
+v_question AS (
+  SELECT *, ({PERIODS}) AS timed FROM (
+    SELECT row_number() OVER () AS row, conv_id, turn, lower(trim(text || CASE WHEN turn % 3 = 1 THEN ' this week' ELSE '' END)) AS x FROM conversations)),
+v_hit AS (
+  SELECT row, min(position) AS first, min(position) FILTER (position % 5 = 0) AS kpi, min(position) FILTER (position % 7 != 0) AS stays
+  FROM v_question JOIN v_word ON contains(x, word) GROUP BY row)
+SELECT conv_id, turn, word AS prompt_id FROM v_question LEFT JOIN v_hit USING (row)
+LEFT JOIN v_word ON position = CASE WHEN timed THEN coalesce(kpi, stays) ELSE first END""")
+def _(t):
+    words = t.raw("benchmark").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})")))).alias("pattern")).distinct()
+    place = F.row_number().over(Window.orderBy("pattern"))  # the words of the benchmark, a parameter list
+    patterns = words.select("pattern", F.col("pattern").alias("prompt_id"), place.alias("position")).select(
+        "*", (F.col("position") % 5 == 0).alias("is_kpi"), (F.col("position") % 7 == 0).alias("skip_with_period"))
+    asked = t.raw("conversations").withColumn("text", F.concat("text", F.when(F.col("turn") % 3 == 1, " this week").otherwise("")))
+    return question_index.match(asked, "text", patterns).select("conv_id", "turn", "prompt_id")
+
+
 # -- cleaning ------------------------------------------------------------------------------------
 
 @query("clean_dates", """

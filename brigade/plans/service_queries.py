@@ -6,10 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from brigade.operators import access, customers, dashboard, pos, promotions, usage, vector_index, vectors
+from brigade.operators import access, customers, dashboard, pages, pos, promotions, usage, vector_index, vectors
 from brigade.operators.catalog import search_menu_text
 from brigade.plans.registry import query
 from brigade.plans.views import AS_OF
+from brigade.session import shared_path
 
 LOC = "location_id::BIGINT AS location_id"
 
@@ -512,6 +513,21 @@ def _(t):
     return usage.page(rows, [F.col("end_date").desc(), F.col("id")], 50, 25)
 
 
+@query("usage_far_page", """
+SELECT id, user_id, type, is_read, position, total, unread FROM (
+  SELECT id, user_id, type, is_read, row_number() OVER (ORDER BY created_at DESC, id) - 1 AS position,
+         COUNT(*) OVER () AS total, COUNT(*) FILTER (NOT is_read) OVER () AS unread FROM v_notification)
+WHERE position BETWEEN total // 2 AND total // 2 + 49""")
+def _(t):
+    path = shared_path(t.spark, "notifications")
+    t.notifications.write.parquet(path)
+    rows = t.spark.read.parquet(path)
+    directory = pages.build(rows, [F.col("created_at").desc(), F.col("id")], shared_path(t.spark, "pages"), slice_rows=2000)
+    unread = rows.agg(F.count_if(~F.col("is_read"))).scalar()
+    return pages.page(t.spark, directory, 50, directory.total // 2).select(
+        "id", "user_id", "type", "is_read", "position", F.lit(directory.total).cast("long").alias("total"), unread.alias("unread"))
+
+
 METER = """, v_numbered AS (
   SELECT e.*, row_number() OVER (PARTITION BY user_id, cycle_start ORDER BY ts, engagement_id) AS nth FROM v_engagement e),
 v_meter AS (

@@ -64,15 +64,6 @@ def test_paged_list_keeps_every_value(spark):
     assert got["b", 0] == "x"
 
 
-def test_substring_pairs_equals_brute_force(spark):
-    texts = ["Beef Steak", "Iced TEA", "Water melon", "tea", "", "steak & tea", "éclair"]
-    needles = ["tea", "Steak", "melon", "e", "beef steak", "ÉCLAIR", "zzz", "TEA"]
-    t = spark.createDataFrame([(x,) for x in texts * 3], "item string")
-    n = spark.createDataFrame([(x,) for x in needles], "ingredient string")
-    want = sorted((a, b) for a in texts for b in needles if b.lower() in a.lower())
-    assert rows(spread.substring_pairs(t, "item", n, "ingredient"), "item", "ingredient") == sorted(want, key=lambda r: tuple(map(str, r)))
-
-
 def test_top_within_limits_before_the_shuffle(spark):
     df = spread.top_within(skewed(spark), ["k"], [F.col("v").desc(), F.col("id")], 3)
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
