@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brigade.functions.clean import header_name
 from brigade.operators.spread import top_within
+from brigade.sources import csv_records
 
 # Required columns, groups of which one is needed, and recommended columns per category.
 HEADER_RULES = {
@@ -78,27 +79,33 @@ def check_headers(header_rows: DataFrame, category: str) -> DataFrame:
     ).withColumn("valid", (F.size("missing_required") == 0) & (F.size("missing_one_of") == 0))
 
 
-def read_upload(spark: SparkSession, path: str | Sequence[str], header: Sequence[str], multi_line: bool = True) -> DataFrame:
-    """Files that share one header, all columns as text, with the file's name.
+OPTIONS = {"escape": '"', "mode": "PERMISSIVE"}
 
-    Line breaks inside quotes are kept; with ``multi_line=False`` a file without such breaks is read in splits.
+
+def read_upload(spark: SparkSession, path: str | Sequence[str], header: Sequence[str], breaks: bool = True) -> DataFrame:
+    """Files that share one header, all columns as text, with the file's name; every file is read in splits.
+
+    Line breaks inside quotes are kept; with ``breaks=False`` the files are known to have none.
     """
-    schema = ", ".join(f"`{header_name(c)}` string" for c in header)
-    reader = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", multi_line)
-    df = reader.schema(schema).csv(path)
+    columns = [header_name(c) for c in header]
+    if breaks:
+        return csv_records.read(spark, path, columns, OPTIONS).withColumn("filename", file_name(F.col("path"))).drop("path")
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    df = spark.read.option("header", True).options(**OPTIONS).schema(schema).csv(path)
     return df.withColumn("filename", file_name(F.col("_metadata.file_path")))
 
 
 def read_category(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """All files of a category, columns aligned by name.
 
-    One scan per different header over the files that have it. The file names pass through the driver, as they
-    do for any scan.
+    One scan per different header over the files that have it; those with line breaks inside quotes, which a scan of the
+    text finds, are read by records. The file names pass through the driver, as they do for any scan.
     """
-    variants: dict[tuple[str, ...], list[str]] = {}
+    broken = set(csv_records.with_breaks(spark, paths))
+    variants: dict[tuple, list[str]] = {}
     for r in headers(spark, paths).select("columns", "path").toLocalIterator():
-        variants.setdefault(tuple(r["columns"]), []).append(unquote(r["path"]))
-    parts = [read_upload(spark, sorted(own), columns) for columns, own in sorted(variants.items())]
+        variants.setdefault((tuple(r["columns"]), r["path"] in broken), []).append(unquote(r["path"]))
+    parts = [read_upload(spark, sorted(own), columns, breaks) for (columns, breaks), own in sorted(variants.items())]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -277,3 +277,48 @@ def test_scratch_removes_settled_tables(spark):
         there = kept.inputFiles()
         assert not [f for f in inner if os.path.exists(f.removeprefix("file://"))] and os.path.exists(there[0].removeprefix("file://"))
     assert not os.path.exists(os.path.dirname(there[0].removeprefix("file://")))
+
+
+def csv_text(seed, rows_=300, newline="\n"):
+    """Records with line breaks, commas and quotes at every place of quoted fields, and quotes inside plain ones."""
+    import random
+
+    rnd = random.Random(seed)
+    pieces = ["a", "b c", ",", newline, '""', "x,y", newline * 2, "'", "é"]
+    out = ["id,one,two,three"]
+    for i in range(rows_):
+        cells = [str(i)]
+        for _ in range(3):
+            kind = rnd.random()
+            cells.append("" if kind < 0.1 else '5" pipe' if kind < 0.2 else rnd.choice(["plain", "w z", "'"]) if kind < 0.5 else
+                         '"' + "".join(rnd.choices(pieces, k=rnd.randrange(0, 6))) + '"')
+        out.append(",".join(cells))
+    return newline.join(out) + newline
+
+
+@pytest.mark.parametrize("size", [64, 257, 1000, 1 << 20])
+def test_records_over_splits_equal_a_read_of_whole_files(spark, folder, size):
+    paths = write(folder, a=csv_text(1), b=csv_text(2, 40), c="id,one,two,three\n1,2,3,4\n", d='id,one,two,three\n\n"1\n",2,"3\n\n",4')
+    header = ["id", "one", "two", "three"]
+    want = spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema("id string, one string, two string, three string").csv(paths)
+    old = [(k, spark.conf.get(k)) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        scanned = csv_files.csv_records.lines(spark, paths[:1]).rdd.getNumPartitions()
+        got = csv_files.read_upload(spark, paths, header).drop("filename")
+        assert rows(got) == rows(want)
+        both = csv_files.read_category(spark, paths)
+        assert rows(both.drop("filename")) == rows(want)
+        assert rows(both.groupBy("filename").count()) == [("a.csv", 300), ("b.csv", 40), ("c.csv", 1), ("d.csv", 1)]
+    finally:
+        for k, v in old:
+            spark.conf.set(k, v)
+    assert scanned >= 4 or size > 4000  # one file is read by many tasks
+    assert sorted(os.path.basename(p) for p in csv_files.csv_records.with_breaks(spark, paths)) == ["a.csv", "b.csv", "d.csv"]
+
+
+def test_a_quote_that_never_closes_ends_on_its_line(spark, folder):
+    (path,) = write(folder, a='id,one\n1,"x\ny"\n2,"open\n3,z\n4,w\n')
+    got = csv_files.read_upload(spark, path, ["id", "one"])
+    assert [r[0] for r in rows(got, "id")] == ["1", "2", "3", "4"] and rows(got.where("id = '3'"), "one") == [("z",)]
