@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from brigade.functions import periods
 from brigade.functions.numbers import MONEY, ratio
 from brigade.operators.kpi import AMOUNT_QTY, KEY
-from brigade.operators.spread import attach, paged_list, settle, top_within
+from brigade.operators.spread import attach, paged_list, running, settle, top_within
 
 # Words that name a period, and default columns per table.
 PERIOD_WORDS = (
@@ -104,6 +104,11 @@ def under_par(inventory: DataFrame) -> DataFrame:
     )
 
 
+def under_par_in_order(inventory: DataFrame) -> DataFrame:
+    """The listing with each row's place in its location: the scarcest first, rows without a ratio last."""
+    return running(under_par(inventory), KEY, [F.col("ratio").asc_nulls_last(), F.col("ingredient"), F.col("quantity"), F.col("par_level")], rank="position")
+
+
 def search(df: DataFrame, column: str, word: str, *columns: str) -> DataFrame:
     return df.where(like(column, word)).select(*KEY, *columns)
 

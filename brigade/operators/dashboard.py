@@ -143,7 +143,11 @@ def product_mix(sales: DataFrame) -> DataFrame:
 
 def cost_of_sales(sales: DataFrame, menu: DataFrame) -> DataFrame:
     """Unit cost x units over all items against all revenue."""
-    sums = item_stats(sales, menu).groupBy(*KEY).agg(
+    return cost_of_sales_of(item_stats(sales, menu))
+
+
+def cost_of_sales_of(stats: DataFrame) -> DataFrame:
+    sums = stats.groupBy(*KEY).agg(
         F.sum("revenue").alias("revenue"), F.sum("cost").alias("cogs")
     )
     return sums.select(

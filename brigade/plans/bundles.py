@@ -180,7 +180,7 @@ def dashboard_bundle(
         "item_margins": dashboard.item_margins(stats),
         "item_hours": dashboard.item_hours(sales),
         "product_mix": dashboard.product_mix(sales),
-        "cost_of_sales": dashboard.cost_of_sales(sales, menu),
+        "cost_of_sales": dashboard.cost_of_sales_of(stats),
         "stock_cost": dashboard.stock_cost_by_ingredient(inventory),
         "ingredient_usage": dashboard.ingredient_usage(sales, menu),
         "waste": dashboard.inventory_waste(sales, menu, inventory),
@@ -189,6 +189,35 @@ def dashboard_bundle(
     }
 
 
+# What names a row of each frame, besides its location; all other columns are figures.
+FRAME_KEYS = {
+    "daily_specials": ["date"], "item_counts": ["menu_item", "rank"], "low_stock_alerts": ["ingredient", "rank"], "available_quantity": ["ingredient"],
+    "menu_revisions": ["first_entry", "ingredient", "last_entry", "menu_item"], "top_sellers": ["menu_item", "rank"], "top_menu_items": ["menu_item", "rank"],
+    "underperformers": ["menu_item", "rank"], "most_profitable": ["menu_item", "rank"], "item_margins": ["menu_item"], "item_hours": ["hour", "menu_item"],
+    "product_mix": ["menu_item"], "stock_cost": ["ingredient"], "ingredient_usage": ["ingredient"], "waste": ["date", "ingredient"],
+    "depletion_by_item": ["ingredient", "menu_item"], "recipe_cost": ["ingredient"],
+}
+
+
+def long_frame(df: DataFrame, frame: str) -> DataFrame:
+    """A frame as rows of (location, frame, name, metric, value); one without figures gives its rows the figure 1."""
+    keys = FRAME_KEYS.get(frame, [])
+    figures = [c for c in df.columns if c not in (*KEY, *keys)]
+    name = F.concat_ws(" | ", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    pairs = [F.struct(F.lit(c).alias("metric"), dbl(c).alias("value")) for c in figures] or [F.struct(F.lit("rows").alias("metric"), F.lit(1.0).alias("value"))]
+    rows = df.select(*KEY, F.lit(frame).alias("frame"), name.alias("name"), F.explode(F.array(*pairs)).alias("f"))
+    return rows.select(*KEY, "frame", "name", "f.*")
+
+
+def whole_bundle(bundle: dict[str, DataFrame]) -> DataFrame:
+    """All frames of a bundle in one long table."""
+    out = None
+    for frame, df in bundle.items():
+        part = long_frame(df, frame)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def bundle_headlines(bundle: dict[str, DataFrame]) -> DataFrame:
     """The one-row-per-location figures of a bundle, side by side."""
     names = ("revenue_and_order_value", "average_check", "upselling_rate", "stock_value", "mean_hourly_rate", "cost_of_sales")

@@ -12,7 +12,7 @@ from brigade.functions import clean, items, numbers, periods
 from brigade.operators import catalog, efficiency, kpi, question_index, silver
 from brigade.plans import bundles
 from brigade.plans.kpi_queries import INGREDIENT_COST, NET
-from brigade.plans.registry import SQL, query
+from brigade.plans.registry import QUERIES, SQL, query
 from brigade.plans.views import AS_OF
 from brigade.sources import csv_files, pos_json, sinks, tables
 
@@ -756,25 +756,6 @@ def _all(t):
     return bundles.all_kpis(t.sales, t.inventory, t.menu, t.labor)
 
 
-@query("kpi_all", ALL + f"SELECT {LOC}, kpi, metric, value, valid FROM v_all")
-def _(t):
-    return _all(t).drop("warning")
-
-
-QUESTION = """CASE n_nationkey % 4 WHEN 0 THEN 'Show the total sales of last week' WHEN 1 THEN 'what is our Food Cost Pct?'
-       WHEN 2 THEN 'top items, please' ELSE 'who are you' END"""
-
-
-@query("question_answers", ALL + f"""
-SELECT q.n_nationkey::BIGINT AS location_id, q.question, a.kpi AS prompt_id, a.metric, a.value, a.valid
-FROM (SELECT n_nationkey, {QUESTION} AS question FROM nation) q JOIN v_all a ON a.location_id = q.n_nationkey
- AND a.kpi = CASE n_nationkey % 4 WHEN 0 THEN 'total_sales' WHEN 1 THEN 'food_cost_pct' WHEN 2 THEN 'top_items' END""")
-def _(t):
-    asked = t.raw("nation").select(F.col("n_nationkey").alias("location_id"), F.expr(QUESTION).alias("question"))
-    known = catalog.kpi_catalog(["net_revenue", "total_sales", "food_cost_pct", "top_items", "avg_check"])
-    return catalog.answers(asked, "question", _all(t).drop("warning"), known)
-
-
 NAMES = ("total_sales net_revenue splh guest_count avg_check top_items gross_profit_per_item food_cost_pct cogs_by_category "
          "inventory_turnover popularity_vs_profitability labor_hours_by_role overtime_pct low_inventory_warnings table_turn_time "
          "kds_ticket_time order_accuracy_rate seasonal_sales promo_roi dish_waste_pct total_cogs").split()
@@ -791,26 +772,6 @@ def _(t):
     return bundles.kpi_availability(_all(t))
 
 
-@query("kpi_all_last_year", NET.replace("FROM v_sales", "FROM v_sales WHERE date BETWEEN DATE '2000-08-01' AND DATE '2001-08-01'") + f"""
-SELECT {LOC}, 'total_sales' AS kpi, 'total' AS metric, gross_sales::DOUBLE AS value FROM v_net2
-UNION ALL SELECT location_id, 'net_revenue', 'total', net_revenue::DOUBLE FROM v_net2
-UNION ALL SELECT location_id, 'guest_count', 'covers', SUM(covers)::DOUBLE FROM v_sales
-          WHERE date BETWEEN DATE '2000-08-01' AND DATE '2001-08-01' GROUP BY 1""")
-def _(t):
-    year = bundles.all_kpis(t.sales, t.inventory, None, None, "Last_year", AS_OF)
-    wanted = F.col("kpi").isin("total_sales", "net_revenue", "guest_count") & F.col("location_id").isNotNull()
-    return year.where(wanted).drop("valid", "warning")
-
-
-@query("kpi_all_of_a_date_range", NET.replace("FROM v_sales", "FROM v_sales WHERE date BETWEEN DATE '2000-03-01' AND DATE '2000-03-20'") + f"""
-SELECT {LOC}, 'total_sales' AS kpi, 'total' AS metric, gross_sales::DOUBLE AS value FROM v_net2
-UNION ALL SELECT location_id, 'net_revenue', 'total', net_revenue::DOUBLE FROM v_net2""")
-def _(t):
-    days = bundles.all_kpis(t.sales, None, None, None, bounds=(dt.date(2000, 3, 1), dt.date(2000, 3, 20)))
-    wanted = F.col("kpi").isin("total_sales", "net_revenue") & F.col("location_id").isNotNull()
-    return days.where(wanted).drop("valid", "warning")
-
-
 @query("dash_bundle_headlines", f"""
 SELECT s.*, l.mean_hourly_rate, v.stock_value, c.revenue, c.cogs, c.gross_profit, c.food_cost_pct FROM (
   SELECT {LOC}, SUM(total_amount)::DOUBLE AS total_revenue, SUM(total_amount)::DOUBLE / COUNT(*) AS average_order_value,
@@ -825,7 +786,6 @@ def _(t):
 
 
 # -- whole results -------------------------------------------------------------------------------
-# Some of the queries above show a part of what their operator returns; these show all of it.
 
 # stock without sales turns over 0 times, as kpi_inventory_turnover has it
 WHOLE = ALL.replace("cogs::DOUBLE / (v::DOUBLE / n)", "COALESCE(cogs, 0)::DOUBLE / (v::DOUBLE / n)").replace(
@@ -870,3 +830,7 @@ def _(t):
     asks = F.explode(F.array(*[F.lit("Show the " + n.replace("_", " ")) for n in kpi.KPI_NAMES]))
     asked = t.raw("nation").select(F.col("n_nationkey").alias("location_id"), asks.alias("question"))
     return catalog.answers(asked, "question", _all(t), catalog.kpi_catalog(kpi.KPI_NAMES))
+
+
+for _name in ("kpi_all", "kpi_all_last_year", "kpi_all_of_a_date_range", "question_answers"):  # both names give the whole result
+    QUERIES[_name], SQL[_name] = QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"]

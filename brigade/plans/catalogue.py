@@ -8,5 +8,6 @@ from brigade.plans import (  # noqa: F401
     kpi_queries,
     service_queries,
     stream_queries,
+    whole_queries,
 )
 from brigade.plans.registry import QUERIES, SQL, runnable  # noqa: F401
