@@ -8,7 +8,8 @@ of its words, or when it fails the base rule (too few words, or too many words i
   names of source code, headings and emphasis do not
 * navigation: two or more separators, and one for every four words at least
 * boilerplate: a short line of which set phrases (licences, cookies, sign-up and the like) make up half the words or more;
-  a phrase is met as whole words, so a sentence that mentions one stays
+  a phrase is met as whole words, and a copyright or licence notice ends with the names behind it, so a sentence that mentions
+  one, or goes on as prose behind one, stays
 
 Null and empty texts have no words and are rejected; their clean text is null or empty. Repeated rows get the same
 verdict each. All columns of the input are kept; an added column replaces one of the same name. Windows are compared
@@ -35,19 +36,27 @@ MARKED = rf"((?:^|[{WHITE}])[^{WHITE}{MARKS}](?:[^{WHITE}]*[^{WHITE}{MARKS}])?)(
 WORDLIKE = r"[\p{L}\p{N}]+"
 SEPARATORS = "|»›•·"
 _LICENCE = r"(?:licen[cs]e|cc|gnu|a?gpl|lgpl|mit|bsd|apache|mozilla|creative commons)"
-# A notice takes its line from where it begins, a phrase only its own words.
+# What follows a year or a licence as long as it looks like a name: words in capitals, numbers, a few small words between them.
+_NAMES = r"(?:[ ,.-]+(?:(?-i:[\p{Lu}\d(])[^ ]*|of|and|by|for|&|inc\.?|licen[cs]e|version|public|general|international))*"
+# A phrase takes its own words, a notice also the names behind it, the text of a grant or a disclaimer the rest of the line.
 BOILERPLATE = (
-    r"(?iu)(?<![\p{L}\p{N}_])(?:"
-    rf"(?:(?:this|the) \w+ is )?(?:dual[- ])?licensed under (?:[^.]*[ -])?{_LICENCE}(?![\p{{L}}\p{{N}}_]).*"
-    r"|(?:copyright|\(c\)) *(?:\(c\)|©)? *(?:19|20)\d\d.*|permission is hereby granted,? free of charge.*|spdx-license-identifier:.*"
+    r"(?i)\b(?:"
+    rf"(?:(?:this|the) \w+ is )?(?:dual[- ])?licensed under (?:[^.]*[ -])?{_LICENCE}\b{_NAMES}"
+    r"|permission is hereby granted,? free of charge.*|spdx-license-identifier:.*"
     r"|(?:the software is |is )?(?:provided|distributed) \W*as is\W+without warranty.*|without warranty of any kind.*"
     r"|lorem ipsum(?: dolor sit amet.*)?"
     r"|(?:all rights reserved|permission is hereby granted|without warranty|copyright notice"
     r"|privacy policy|terms of (?:use|service)|cookie (?:policy|notice|settings|preferences|consent)"
     r"|(?:(?:this|our) (?:web)?site|we) uses? cookies|(?:accept|allow|reject|manage)(?: all)? cookies"
     r"|subscribe(?: now| today| to our \w+)|(?:sign (?:in|up)|log in)(?: now| here| to your account)?"
-    r"|click here|read more|share this(?: (?:post|page|article|story))?|(?:please )?enable javascript)(?![\p{L}\p{N}_])"
-    r")|©.*|^\W*(?:subscribe|copyright|cookies)\W*$"
+    r"|click here|read more|share this(?: (?:post|page|article|story))?|(?:please )?enable javascript)\b)"
+    rf"|(?:\bcopyright *(?:\(c\)|©)?|\(c\)|©) *(?:19|20)\d\d{_NAMES}|© *(?-i:\p{{Lu}})[^ ]*{_NAMES}"
+    r"|^\W*(?:subscribe|copyright|cookies)\W*$"
+)
+# A word of each phrase: a line without any has none of them.
+HINT = (
+    "(?i)licensed under|permission|spdx|warranty|lorem|rights reserved|copyright|privacy|terms of|cookie|subscribe|sign in|sign up|log in|click here"
+    r"|read more|share this|javascript|\(c\)|©"
 )
 BOILERPLATE_WORDS = 30
 KEPT_PERCENT = 50
@@ -94,21 +103,22 @@ def repeated_words(words: Column) -> Column:
 
 def _line(line: Column) -> Column:
     """The line, its words, whether it has one, and whether it fails a rule."""
-    n_words = F.size(words_of(line))
+    n_words = F.regexp_count(line, F.lit(rf"[^{WHITE}]+"))
     ink = F.length(without(line, WHITE))
-    plain = F.length(line) - F.length(F.regexp_replace(line, MARKED, "$1"))
-    marks = F.when(line.rlike(WORDLIKE), plain).otherwise(ink - F.length(without(line, WHITE + MARKS)))
-    bars = F.length(line) - F.length(without(line, SEPARATORS))
+    # every costly pattern has a cheap one before it
+    runs = F.when(line.rlike(rf"([{MARKS}])\1"), F.length(line) - F.length(F.regexp_replace(line, MARKED, "$1"))).otherwise(0)
+    marks = F.when(line.rlike(WORDLIKE), runs).otherwise(ink - F.length(without(line, WHITE + MARKS)))
+    bars = F.when(line.rlike(f"[{SEPARATORS}]"), F.length(line) - F.length(without(line, SEPARATORS))).otherwise(0)
     # words beside the phrases
     others = F.regexp_count(F.regexp_replace(line, BOILERPLATE, " "), F.lit(WORDLIKE))
-    phrases = line.rlike(BOILERPLATE) & (others * 2 <= F.regexp_count(line, F.lit(WORDLIKE)))
-    return let(F.struct(n_words.alias("n"), ink.alias("ink"), marks.alias("marks"), bars.alias("bars")), lambda x: F.struct(
+    phrases = line.rlike(HINT) & line.rlike(BOILERPLATE) & (others * 2 <= F.regexp_count(line, F.lit(WORDLIKE)))
+    return let(F.struct(n_words.alias("n"), marks.alias("marks"), bars.alias("bars")), lambda x: F.struct(
         line.alias("line"),
         x["n"].alias("n"),
         (
             (x["n"] > 0)
             & (
-                ((x["marks"] >= 3) & (x["marks"] * 10 > x["ink"]))
+                ((x["marks"] >= 3) & (x["marks"] * 10 > ink))
                 | ((x["bars"] >= 2) & (x["bars"] * 4 >= x["n"]))
                 | ((x["n"] <= BOILERPLATE_WORDS) & phrases)
             )
@@ -138,7 +148,7 @@ def clean(df: DataFrame, text: str = "text", kept_percent: int = KEPT_PERCENT) -
         )
 
     found = let(words_of(whole), lambda w: let(F.transform(F.split(whole, "\n"), _line), lambda x: judged(w, x)))
-    keep = [c for c in df.columns if c not in ADDED]
+    keep = [c for c in df.columns if c.lower() not in ADDED]
     name = fresh("_q", keep)
     q = F.col(name)
     base_failed = (q["n_words"] < MIN_WORDS) | (q["n_repeat_words"] * 100 > q["n_words"] * MAX_REPEAT_PERCENT)

@@ -83,18 +83,24 @@ grams AS (
 twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, gram) AS n FROM grams) WHERE n > 1),
 covered AS (SELECT row, count(DISTINCT i + j) AS n FROM (SELECT row, i, unnest(range(5)) AS j FROM twice) GROUP BY row),
 lines AS (
-  SELECT row, line, len(regexp_extract_all(line, '{WORD}')) AS n,
+  SELECT row, line, regexp_extract_all(line, '{WORD}') AS w, regexp_matches(line, '[\p{{L}}\p{{N}}]') AS wordlike,
          length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS ink,
-         length(regexp_replace(line, '[\x20\x09-\x0D#*$%&|<>~^=_+{{}}\\@!]', '', 'g')) AS unmarked,
-         length(line) - length(regexp_replace(line, '[|»›•·]', '', 'g')) AS bars
+         length(regexp_replace(line, '[\x20\x09-\x0D{quality_rules.MARKS}]', '', 'g')) AS unmarked,
+         length(line) - length(regexp_replace(line, '[{quality_rules.SEPARATORS}]', '', 'g')) AS bars
   FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d)),
+marked AS (
+  SELECT *, len(w) AS n, CASE WHEN wordlike THEN list_sum([0] || list_transform(w, lambda x: CASE
+           WHEN regexp_matches(x, '^[^{quality_rules.MARKS}]') AND length(regexp_extract(x, '[{quality_rules.MARKS}]+$')) >= 2
+            AND regexp_extract(x, '[{quality_rules.MARKS}]+$') = repeat(right(x, 1), length(regexp_extract(x, '[{quality_rules.MARKS}]+$')))
+           THEN length(regexp_extract(x, '[{quality_rules.MARKS}]+$')) ELSE 0 END)) ELSE ink - unmarked END AS marks,
+         regexp_matches(line, '{quality_rules.BOILERPLATE}') AS said,
+         len(regexp_extract_all(line, '[\p{{L}}\p{{N}}]+')) AS parts,
+         len(regexp_extract_all(regexp_replace(line, '{quality_rules.BOILERPLATE}', ' ', 'g'), '[\p{{L}}\p{{N}}]+')) AS others
+  FROM lines),
 judged AS (
   SELECT row, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
-         sum(n) FILTER (NOT (
-           ink - unmarked >= 3 AND (ink - unmarked) * 10 > ink OR bars >= 2 AND bars * 4 >= n OR n <= 30 AND regexp_matches(line,
-           '(?i)licensed under|all rights reserved|copyright|©|cookie|privacy policy|terms of (use|service)|subscribe|sign (in|up)|log in|click here|read more|share this|enable javascript|lorem ipsum|permission is hereby granted|without warranty|spdx-license-identifier'
-           ))) AS kept_words
-  FROM lines GROUP BY row),
+         sum(n) FILTER (NOT (marks >= 3 AND marks * 10 > ink OR bars >= 2 AND bars * 4 >= n OR n <= 30 AND said AND others * 2 <= parts)) AS kept_words
+  FROM marked GROUP BY row),
 base AS (
   SELECT d.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,

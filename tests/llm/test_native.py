@@ -52,22 +52,43 @@ def test_line_rules(spark, docs):
     assert quality_rules.clean(docs([])).count() == 0
 
 
+CLEAN = [
+    "the design includes a small assign up to four steps in each of them", "our catalog in print and a dialog in two parts were shown today",
+    "they spread more butter on it and ate a cookie before the long walk home", "an essay on copyright law is read by every student in the first year",
+    "she had to sign in at the front desk before the meeting could start", "self._a = b_c", "x = {k: v for k, v in d.items() if k != '_id'}",
+    "if (a && b != c) { return a[i] * b[j] + c; }", "### Results", "**Note** and **more**", "cookie = get_cookie()", "user@host:/srv$ make",
+    "Copyright 1998 was the year the court changed its mind about it", "(c) 2004 the tribunal held that the claim had no basis in law",
+    "(c) the third claim is that the goods were late and had been paid", "their code, licensed under the MIT license, was later the subject of a long dispute",
+    "the copyright of 1998 lapsed in the spring of that year and nobody asked", "a C# class ... !! and more words here", "it is read more often than not, we are told",
+    "lorem ipsum is the text that printers have used for a very long time",
+]
+JUNK = [
+    "Read more", "Click here to sign in", "© 2020 Acme Inc. All rights reserved.", "We use cookies, see our cookie policy.",
+    "Subscribe to our newsletter!", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.",
+    "so!! what,!! then!!", "And$$$ on.", "*** *** ***", "Copyright (c) 2019-2021 The Foo Authors", "(c) 2004 Acme and Sons", "click here click here", "© Acme Ltd.",
+    "Home | News | About | Contact", "Lorem ipsum dolor sit amet, consectetur adipiscing elit", "Provided 'as is' without warranty of any kind",
+]
+
+
 def test_phrases_and_operators_inside_clean_lines(spark, docs):
-    clean = [
-        "the design includes a small assign up to four steps in each of them", "our catalog in print and a dialog in two parts were shown today",
-        "they spread more butter on it and ate a cookie before the long walk home", "an essay on copyright law is read by every student in the first year",
-        "she had to sign in at the front desk before the meeting could start", "self._a = b_c", "x = {k: v for k, v in d.items() if k != '_id'}",
-        "if (a && b != c) { return a[i] * b[j] + c; }", "### Results", "**Note** and **more**", "cookie = get_cookie()", "user@host:/srv$ make",
-    ]
-    junk = [
-        "Read more", "Click here to sign in", "© 2020 Acme Inc. All rights reserved.", "We use cookies, see our cookie policy.",
-        "Subscribe to our newsletter!", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-        "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.",
-        "so!! what,!! then!!", "And$$$ on.", "*** *** ***",
-    ]
-    got = {r["doc_id"]: r for r in quality_rules.clean(docs(enumerate(clean + junk))).collect()}
-    assert [t for i, t in enumerate(clean + junk) if got[i]["n_failed_lines"]] == junk
-    assert [got[i]["kept"] for i in range(5)] == [True] * 5 and got[0]["clean_text"] == clean[0]
+    got = {r["doc_id"]: r for r in quality_rules.clean(docs(enumerate(CLEAN + JUNK))).collect()}
+    assert [t for i, t in enumerate(CLEAN + JUNK) if got[i]["n_failed_lines"]] == JUNK
+    long = [i for i, t in enumerate(CLEAN) if len(t.split()) >= 10]
+    assert all(got[i]["kept"] for i in long) and got[0]["clean_text"] == CLEAN[0] and len(long) >= 10
+
+
+def test_rules_and_their_sql_agree_line_by_line(spark):
+    """Each line beside as many plain words: whether it stays decides whether the document does."""
+    lines = [*CLEAN, *JUNK, "a!b!! x## y$$$", "!!a !!b !!c !!d", "one~~ two^^ three%% four", "x" * 50 + "!!!", "", "   ", "› a » b"]
+    rows = [(2 * i + j, t + "\n" + " ".join(f"w{i}x{k}" for k in range(max(len(t.split()) - j, 1)))) for i, t in enumerate(lines) for j in (0, 1)]
+    rows += [(1000 + i, " ".join([t] * 3)) for i, t in enumerate(lines)] + [(5000, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    con = oracle.duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = quality_rules.clean(df).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+    assert oracle.compare(got, con, llm.SQL["op6_quality_rules"]) is None
 
 
 @pytest.mark.parametrize("limit,step", [(3000, 2), (20_000, 5)])
