@@ -108,7 +108,7 @@ def encode(df: DataFrame, ranks: bytes, text: str = "text", outputs: Sequence[st
     spark = df.sparkSession
     # at most VOCABULARY_BYTES, see read_ranks
     shared = spark.sparkContext.broadcast(ranks)
-    keep = [c for c in df.columns if c not in outputs]
+    keep = [c for c in df.columns if c.lower() not in outputs]
     source = df.select(*[f"`{c}`" for c in keep])
     schema = T.StructType([*source.schema.fields, *[T.StructField(c, OUTPUTS[c]) for c in outputs]])
     outputs = list(outputs)

@@ -6,8 +6,8 @@ suffixes that begin with its window gives all verbatim occurrences, and the word
 the longest match and its place.
 
 Only suffixes that begin with as many benchmark words as a window has can be found at all; the others are left out of
-the arrays. The benchmark is taken in blocks of bounded size, one after the other over the same documents,
-so it may be of any size. Words are compared by 64-bit hashes of their lower-cased bytes.
+the arrays. The benchmark is taken in blocks of bounded size, each in a job of its own over the documents as
+the one before has left them, so it may be of any size: a task, and the driver, hold one block. Words are compared by 64-bit hashes of their lower-cased bytes.
 
 A null or empty text has no words and is clean; so is every document when the benchmark is empty. Items
 with the same id count as one. All columns of the input are kept; an added column replaces one of the same name.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brigade.llm import arrow_text, words
+from brigade.operators.spread import settle
 
 WINDOW = 10
 # Text bytes of the benchmark in one broadcast block; a longer item makes a block of its own.
@@ -183,10 +184,12 @@ def scan(
     """The input with n_words, hits (places of the words inside an occurrence), items with an occurrence, and the
     longest verbatim match: its words, its place and its item."""
     context = df.sparkSession.sparkContext
-    keep = [c for c in df.columns if c not in ADDED]
+    keep = [c for c in df.columns if c.lower() not in ADDED]
     out = df.select(*[f"`{c}`" for c in keep])
     schema = T.StructType([*out.schema.fields, *[T.StructField(c, t) for c, t in ADDED.items()]])
-    for items in _blocks(benchmark, item, item_text, block_bytes):
+    for number, items in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
+        if number:  # the block before is done with when the next one begins
+            out = settle(out, "scanned")
         shared = context.broadcast(items)  # at most block_bytes of text, or one item
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -112,7 +112,7 @@ def fit(df: DataFrame, eligible: Column, key: str = "doc_id", text: str = "text"
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """The input with lang_pred and score."""
     added = ["lang_pred", "score"]
-    keep = [c for c in df.columns if c not in added]
+    keep = [c for c in df.columns if c.lower() not in added]
     if model is None:
         return df.select(*[f"`{c}`" for c in keep], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # BINS floats for each language

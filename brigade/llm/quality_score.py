@@ -113,7 +113,7 @@ def fit(
 def score(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """The input with size_difference and score."""
     added = ["size_difference", "score"]
-    keep = [c for c in df.columns if c not in added]
+    keep = [c for c in df.columns if c.lower() not in added]
     if model is None:
         return df.select(*[f"`{c}`" for c in keep], F.lit(0.0).alias("size_difference"), F.lit(0.5).alias("score"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES

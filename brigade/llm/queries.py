@@ -138,9 +138,12 @@ FROM placed
 """
 
 
-@query("op7_sharding", sharding_sql(sharding.LIMIT_BYTES))
+SHARD_BYTES = 256 << 10  # small enough that the sample's documents are split many times
+
+
+@query("op7_sharding", sharding_sql(SHARD_BYTES))
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(table(spark, sf_dir, "documents"))
+    return sharding.shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
 
 @query("op10_minhash_near_dedup")

@@ -21,6 +21,11 @@ def drawn(labelled: DataFrame, label: str, key: str, per_label: int) -> DataFram
 
 
 def with_texts(drawn_keys: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The drawn rows with their texts; the drawn keys are few by construction."""
+    """The drawn keys with a text each: where rows share a key, the one whose text has the smallest hash.
+
+    So there are no more rows than were drawn, however often a key is repeated.
+    """
     texts = docs.select(key, F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    return attach(texts, drawn_keys, [key], "inner")
+    found = attach(texts, drawn_keys, [key], "inner")
+    one = F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("_one")
+    return found.groupBy(*drawn_keys.columns).agg(one).select(*drawn_keys.columns, F.col("_one._text").alias("_text"))

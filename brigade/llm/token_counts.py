@@ -112,7 +112,7 @@ def _counter(blob: bytes) -> Counter:
 def count_tokens(df: DataFrame, tokenizer: bytes, text: str = "text", name: str = "n_tokens") -> DataFrame:
     """The input with the token count of each text."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)  # at most VOCABULARY_BYTES, see read_tokenizer
-    keep = [c for c in df.columns if c != name]
+    keep = [c for c in df.columns if c.lower() != name.lower()]
     source = df.select(*[f"`{c}`" for c in keep])
     schema = T.StructType([*source.schema.fields, T.StructField(name, T.LongType())])
 

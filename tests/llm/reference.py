@@ -5,6 +5,8 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import regex
+
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -13,6 +15,16 @@ def words(text):
     return WORD.findall((text or "").translate(FOLD))
 
 
+# Letters, digits and marks of Unicode; in scripts without blanks each character with its marks.
+ALONE = (r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F"
+         r"\U0001B000-\U0001B16F\U00020000-\U0003FFFF")
+UNICODE = regex.compile(rf"(?V1)[[{ALONE}]&&[\p{{L}}\p{{N}}]]\p{{M}}*|(?:[[\p{{L}}\p{{N}}]--[{ALONE}]]\p{{M}}*)+")
+
+
+def unicode_words(text):
+    return UNICODE.findall((text or "").translate(FOLD))
+
+
 def without_repeats(rows, length=100):
     """{(id, text): (bytes, removed, spans, kept)} by looking at every string."""
     def place(i, p):
@@ -37,7 +49,7 @@ def without_repeats(rows, length=100):
 
 
 def shingles(text, width=5):
-    w = words(text)
+    w = unicode_words(text)
     return Counter(tuple(w[j : j + width]) for j in range(max(len(w) - width + 1, 1 if w else 0)))
 
 
