@@ -9,7 +9,6 @@ that the operator adds replaces one of the same name.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import os
 from collections.abc import Iterator, Sequence
@@ -26,7 +25,7 @@ from brigade.llm.merging import PairMerger
 # A rank file is broadcast; none may be larger than this.
 VOCABULARY_BYTES = 64 << 20
 # Distinct pre-tokens kept by a worker; when full the cache starts anew, results are the same.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 # Longer pre-tokens are merged but not kept.
 CACHE_KEY_BYTES = 64
 OUTPUTS = {
@@ -114,16 +113,16 @@ def encode(df: DataFrame, ranks: bytes, text: str = "text", outputs: Sequence[st
     outputs = list(outputs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the cache holds many small objects and no cycles
         codec = _codec(shared.value)
-        for batch in batches:
-            for row, end, data, at in arrow_text.pieces(batch.column(keep.index(text))):
-                made = _encode_piece(codec, data, at, outputs)
-                kinds = {"ids": pa.list_(pa.int32()), "offsets": pa.list_(pa.int32()), "decoded": pa.binary(), "n_tokens": pa.int64()}
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(row, end - row).columns, *[pa.array(made[c], kinds.get(c, pa.string())) for c in outputs]],
-                    names=[*keep, *outputs],
-                )
+        kinds = {"ids": pa.list_(pa.int32()), "offsets": pa.list_(pa.int32()), "decoded": pa.binary(), "n_tokens": pa.int64()}
+        with arrow_text.quiet():
+            for batch in batches:
+                for row, end, data, at in arrow_text.pieces(batch.column(keep.index(text))):
+                    made = _encode_piece(codec, data, at, outputs)
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.slice(row, end - row).columns, *[pa.array(made[c], kinds.get(c, pa.string())) for c in outputs]],
+                        names=[*keep, *outputs],
+                    )
 
     return source.mapInArrow(work, schema)
 
