@@ -6,9 +6,10 @@ Jaccard similarity is 0.8 or more, and near texts are joined into classes.
 1. Texts with the same word sequence share one node; nothing below is done per copy.
 2. Forty bands of six registers: a pair at 0.8 misses every band with a probability of 5e-6.
 3. In every bucket all members are compared with one centre, the member that meets most others over all bands.
-4. Buckets whose members are not all in one class afterwards: members far from the centre cannot be near to those
-   near it (one minus the similarity is a metric), all other pairs are compared by signature in blocks of bounded size,
-   which give the links that join two classes and no others.
+4. Buckets whose members are not all in one class afterwards: members of the centre's class need not meet each other, and
+   those far from the centre cannot be near to those near it (one minus the similarity is a metric). So the centre's class
+   meets the few others in blocks of bounded size, by signature. Others that fill more than a block get a centre of their
+   own, and again; what three centres leave is compared in pairs of blocks.
 5. A pair that agrees in 165 or more of its 240 registers (expected at 0.8: 192) is verified on the shingles themselves.
 
 Words are runs of Unicode letters and digits, ASCII lower-cased; in scripts without blanks (Chinese, kana, Thai and the
@@ -22,10 +23,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brigade.llm import arrow_text, probminhash, words
@@ -40,6 +42,8 @@ THRESHOLD = 0.8
 AGREE, FAR = 165, 108
 # Members of a bucket that one task compares with each other; larger buckets go in pairs of blocks.
 BLOCK = 1024
+# Centres that a bucket gets one after the other.
+CENTRES = 3
 # Texts in a piece; ids of texts share 64 bits with 48 of a shingle.
 PIECE_TEXTS = 1 << 15
 
@@ -176,43 +180,107 @@ def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         signed.where("node IS NOT NULL").select("node", "sig", "bands").join(members.select("node").distinct(), "node", "left_semi")
         .dropDuplicates(["node"]), "sigs")
     shingles = settle(_shingles(sigs.select("node"), signed, docs), "shingles")
+    agreeing, links = _compared(starred, sigs, shingles)
+    labels = components(links)
+    known = sigs.join(shingles, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return links.unionByName(settle(_unsettled(starred, agreeing, links, sigs, shingles, known), "more_links"))
+
+
+def _compared(starred: DataFrame, sigs: DataFrame, shingles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Registers that members (centre, node) share with their centre, and the verified links among them."""
     spokes = starred.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     agreeing = settle(
         _with_both(spokes, sigs, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a binary, b binary, agree int"), "agreeing")
     both = _with_both(agreeing.where(F.col("agree") >= AGREE).select("a", "b"), shingles, "shingles")
     similar = both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_similar, "a binary, b binary, similarity double")
-    links = settle(similar.where(F.col("similarity") >= THRESHOLD), "links")
-    labels = components(links)
-    known = sigs.join(shingles, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return links.unionByName(settle(_unsettled(starred, agreeing, links, known), "more_links"))
+    return agreeing, settle(similar.where(F.col("similarity") >= THRESHOLD), "links")
 
 
-def _unsettled(starred: DataFrame, agreeing: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
+def _unsettled(
+    starred: DataFrame, agreeing: DataFrame, links: DataFrame, sigs: DataFrame, shingles: DataFrame, known: DataFrame
+) -> DataFrame:
     """Links between different classes in a shared bucket, beside the pairs already compared."""
     uses = starred.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
     of_node = known.select("node", "label").join(uses, "node")
     placed = settle(attach(starred, of_node, ["node"], "inner", weight="_n", spread_by=["key"]).drop("_n"), "placed")
     token = F.xxhash64("label")
-    mixed_keys = placed.groupBy("key").agg(F.min(token).alias("lo"), F.max(token).alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo < hi")
-    at_stake = attach(placed, mixed_keys.select("key", "_n"), ["key"], "inner", weight="_n", spread_by=["node"]).drop("_n")
-    status = agreeing.join(links.select("a", "b", F.lit(True).alias("near")), ["a", "b"], "left").select(
-        F.col("a").alias("centre"), F.col("b").alias("node"),
-        F.when(F.col("near"), "near").when(F.col("agree") < FAR, "far").otherwise("ring").alias("status"))
-    told = settle(
-        at_stake.where("node != centre").join(status, ["centre", "node"]).select("key", "node", "status"), "told")
-    per_key = told.groupBy("key").agg(
-        F.max(F.col("status") == "ring").alias("ring"), F.sum((F.col("status") != "near").cast("long")).alias("away"), F.count(F.lit(1)).alias("_n"))
-    # without a ring, those near the centre are out of reach for the rest
-    per_key = per_key.where("ring OR away > 1").withColumn(
-        "blocks", F.ceil(F.when(F.col("ring"), F.col("_n")).otherwise(F.col("away")) / BLOCK).cast("int"))
-    left = attach(told, per_key, ["key"], "inner", weight="_n", spread_by=["node"]).where("ring OR status != 'near'")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    home = F.max(F.when(F.col("node") == F.col("centre"), F.col("label")))
+    mixed_keys = placed.groupBy("key").agg(
+        F.min(token).alias("lo"), F.max(token).alias("hi"), F.count(F.lit(1)).alias("_n"), home.alias("home")).where("lo < hi")
+    at_stake = attach(placed, mixed_keys.select("key", "home", "_n"), ["key"], "inner", weight="_n", spread_by=["node"]).drop("_n")
+    laid, more = [], []
+    for turn in range(1, CENTRES + 1):
+        rows, left = _laid(_roles(at_stake, agreeing, links), turn, turn == CENTRES)
+        laid.append(rows)
+        if left is None or left.isEmpty():
+            break
+        # any member may be the next centre; the same one in all its buckets, so that most spokes are met once
+        first = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "label"))
+        centre = left.groupBy("key").agg(first.alias("c"), F.count(F.lit(1)).alias("_n")).select(
+            "key", F.col("c.node").alias("centre"), F.col("c.label").alias("home"), "_n")
+        at_stake = settle(attach(left, centre, ["key"], "inner", weight="_n", spread_by=["node"]).drop("_n"), "at_stake")
+        agreeing, links = _compared(at_stake, sigs, shingles)
+        more.append(links)
+    whole = reduce(DataFrame.unionByName, laid).join(known.select("node", "label", "sig", "bands", "shingles"), "node")
+    found = whole.groupBy("key", "i", "j", "step").applyInArrow(_block_links, "a binary, b binary, similarity double")
+    return reduce(DataFrame.unionByName, more, found)
+
+
+def _roles(at_stake: DataFrame, agreeing: DataFrame, links: DataFrame) -> DataFrame:
+    """What members (key, node, label) are to their centre: near, home (not near, but of its class), far, or ring (between).
+
+    Wants key, centre, home (the centre's class), node and label.
+    """
+    told = agreeing.join(links.select("a", "b", F.lit(True).alias("near")), ["a", "b"], "left").select(
+        F.col("a").alias("centre"), F.col("b").alias("node"), "agree", "near")
+    role = F.when(F.col("near"), "near").when(F.col("label") == F.col("home"), "home").when(F.col("agree") < FAR, "far").otherwise("ring")
+    return at_stake.where("node != centre").join(told, ["centre", "node"]).select("key", "node", "label", role.alias("role"))
+
+
+def _laid(told: DataFrame, turn: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Blocks (key, i, j, step, side, node) to be compared, and the members (key, node, label) left for a further centre.
+
+    Near and home are one class. Near ones meet the ring, home ones the ring and the far ones; a member is laid once for each
+    block of the other side. Ring and far meet among themselves, unless they are more than a block and a centre is to come.
+    """
+    told = settle(told, "told")
+    other = F.col("role").isin("ring", "far")
+    counts = [F.count_if(F.col("role") == r).alias(r) for r in ("near", "home", "ring")]
+    per_key = told.groupBy("key").agg(*counts, F.count_if(other).alias("other"), F.count(F.lit(1)).alias("_n"))
+    per_key = per_key.where("other > 1 OR ring > 0 OR (other > 0 AND home > 0)")
+    sized = settle(attach(told, per_key.withColumn("size", F.col("_n")), ["key"], "inner", weight="_n", spread_by=["node"]).drop("_n"), "sized")
+    small, hashed = F.col("size") <= BLOCK, F.xxhash64("node")
+
+    def blocks(n: str) -> Column:
+        return F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+
+    def own(n: str) -> Column:
+        return F.pmod(hashed, blocks(n)).cast("int")
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+
+    def across(step: int, kin: Column, n_kin: str, rest: Column, n_rest: str) -> list[DataFrame]:
+        both = sized.where(~small & (F.col(n_kin) > 0) & (F.col(n_rest) > 0))
+        # blocks of the centre's class are numbered downwards, so that none equals one of the others
+        a = both.where(rest).withColumn("i", own(n_rest)).withColumn("j", each(n_kin))
+        b = both.where(kin).withColumn("i", each(n_rest)).withColumn("j", own(n_kin))
+        return [x.select("key", "i", (-1 - F.col("j")).alias("j"), F.lit(step).alias("step"), F.lit(side).alias("side"), "node")
+                for side, x in enumerate((a, b))]
+
+    is_ = F.col("role")
+    one = sized.where(small & ((is_ != "near") | (F.col("ring") > 0)))
+    one = one.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(3 * turn).alias("step"), F.lit(0).alias("side"), "node")
+    rows = [one, *across(3 * turn + 1, is_ == "near", "near", is_ == "ring", "ring"), *across(3 * turn + 2, is_ == "home", "home", other, "other")]
+    rest = sized.where(~small & other & (F.col("other") > 1))
+    now = rest if last else rest.where(F.col("other") <= BLOCK)
     # a member meets its own block and every other one, once
-    laid = left.withColumn("_own", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
-        F.when(F.col("_own") <= F.col("_other"), 0).otherwise(1).alias("side"), "node")
-    whole = laid.join(known.select("node", "label", "sig", "bands", "shingles"), "node")
-    return whole.groupBy("key", "i", "j").applyInArrow(_block_links, "a binary, b binary, similarity double")
+    paired = now.withColumn("_own", own("other")).withColumn("_other", each("other"))
+    rows.append(paired.select(
+        "key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), F.lit(3 * turn).alias("step"),
+        F.when(F.col("_own") <= F.col("_other"), 0).otherwise(1).alias("side"), "node"))
+    left = None if last else settle(rest.where(F.col("other") > BLOCK).select("key", "node", "label"), "left")
+    return reduce(DataFrame.unionByName, rows), left
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -117,6 +117,31 @@ def test_buckets_beyond_one_block(spark, docs, monkeypatch):
     assert got == {i: want[k] for k, (i, _) in enumerate(rows)}
 
 
+def test_further_centres_lose_no_link(spark, docs, monkeypatch):
+    """Classes of near texts that are far, between and near to each other in shared buckets, at the real marks and with tiny blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    base, rows = prose(31, 260).split(" "), []
+    for c in range(4):
+        own = [w if (k * 7 + c) % 100 >= 4 * c else f"c{c}w{k}" for k, w in enumerate(base)]
+        for v in range(4):
+            rows.append((100 * c + v, " ".join(f"v{c}{v}" if k in (30 * v + 11, 17 * v + 100) else w for k, w in enumerate(own))))
+    want = reference.near_classes(rows)
+    assert len(set(want.values())) > 1
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs(rows)).collect()}
+    assert got == {i: want[k] for k, (i, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("others", [1, 40])
+def test_rows_laid_for_a_large_bucket(spark, others):
+    """Few others among 20,000 members of one class: about one row a member, however the others lie."""
+    n = 20_000
+    role = F.expr(f"CASE WHEN id < {others} THEN 'ring' WHEN id % 10 = 0 THEN 'home' ELSE 'near' END")
+    told = spark.range(n).select(F.lit(5).cast("long").alias("key"), F.col("id").cast("string").cast("binary").alias("node"), F.lit(b"x").alias("label"), role.alias("role"))
+    rows, left = near_dedup._laid(told, 1, False)
+    assert left.isEmpty() and n <= rows.count() <= n + others * (n // near_dedup.BLOCK + 4)
+    assert rows.groupBy("i", "j", "step").count().agg(F.max("count")).first()[0] < 1.2 * near_dedup.BLOCK + others
+
+
 ITEMS = [(1, prose(40, 25)), (2, prose(41, 9)), (3, None), (4, ""), (5, "?!"), (6, prose(40, 25)), (7, prose(42, 10)), (8, "one word"), (None, prose(43, 12)), (10, prose(40, 25).split(" ", 3)[3])]
 TEXTS = [
     (0, "see " + prose(40, 25) + " end"), (1, prose(41, 9)), (2, prose(41, 8)), (3, prose(42, 10).upper().replace(" ", ", ")), (4, None), (5, ""),
