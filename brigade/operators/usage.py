@@ -24,6 +24,12 @@ def people(managers: DataFrame, users: DataFrame) -> DataFrame:
     return managers.select(*columns).union(users.select(*columns)).distinct()
 
 
+def with_weighted(rows: DataFrame, known: DataFrame, key: str, how: str) -> DataFrame:
+    """Rows with what is known of their key; a plan, subscription or user with very many rows is fanned out."""
+    uses = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return attach(rows, known.join(uses, key), [key], how, weight="_n").drop("_n")
+
+
 def usage_detail(
     usage: DataFrame, subscriptions: DataFrame, plans: DataFrame, managers: DataFrame, users: DataFrame
 ) -> DataFrame:
@@ -34,11 +40,9 @@ def usage_detail(
     plan = plans.select(F.col("id").alias("plan_id"), F.col("name").alias("plan_name"), "max_ai_engagements")
     m = managers.select(F.col("id").alias("user_id"), F.col("email").alias("m_email"), F.col("full_name").alias("m_name"))
     u = users.select(F.col("id").alias("user_id"), F.col("email").alias("u_email"), F.col("full_name").alias("u_name"))
+    with_plan = with_weighted(usage, with_weighted(active, plan, "plan_id", "inner"), "subscription_id", "inner")
     return (
-        usage.join(active, "subscription_id")
-        .join(plan, "plan_id")
-        .join(m, "user_id", "left")
-        .join(u, "user_id", "left")
+        with_weighted(with_plan, m.join(u, "user_id", "full"), "user_id", "left")
         .select(
             "user_id", "subscription_id", "plan_name", "tokens_used", "engagements_used",
             F.coalesce("max_engagements_override", "max_ai_engagements").alias("max_engagements"),
@@ -73,7 +77,8 @@ def current_usage(usage: DataFrame, subscriptions: DataFrame, plans: DataFrame,
     s = subscriptions.select(F.col("id").alias("subscription_id"), "plan_id", "max_engagements_override")
     p = plans.select(F.col("id").alias("plan_id"), "max_ai_engagements")
     limit = F.coalesce("max_engagements_override", "max_ai_engagements", F.lit(DEFAULT_LIMIT))
-    return now.join(s, "subscription_id").join(p, "plan_id", "left").select(
+    with_plan = with_weighted(now, with_weighted(s, p, "plan_id", "left"), "subscription_id", "inner")
+    return with_plan.select(
         "user_id", "subscription_id", "tokens_used", "engagements_used", limit.alias("max_engagements"),
         ratio("engagements_used", limit, 0.0).alias("share_used"),
     )
@@ -97,7 +102,7 @@ def limit_checks(counts: DataFrame, subscriptions: DataFrame, plans: DataFrame)
         ["id"], [f"max_{k}" for k in LIMITED], "usage_type", "usage_limit"
     ).select(F.col("id").alias("plan_id"), F.regexp_replace("usage_type", "^max_", "").alias("usage_type"), "usage_limit")
     active = subscriptions.where("is_active").select("user_id", "plan_id")
-    per_kind = active.join(limits, "plan_id")
+    per_kind = with_weighted(active, limits, "plan_id", "inner")
     return per_kind.join(counts, ["user_id", "usage_type"], "left").select(
         "user_id", "usage_type", "usage_limit",
         F.coalesce("usage_count", F.lit(0)).alias("current_usage"),
