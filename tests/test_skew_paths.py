@@ -13,6 +13,7 @@ NAMES = [
     "anomaly_all", "anomaly_repeated_identical", "risk_transactions", "risk_repeated_amount_sales", "cause_transactions",
     "cause_employees", "cause_inventory", "cause_cluster_sales", "join_ingredient_in_item_text", "kpi_menu_quadrants",
     "dash_product_mix", "dash_depletion_by_item", "dash_week_summary", "customer_labels", "usage_metered",
+    "usage_detail", "usage_current_cycle", "usage_limit_checks",
     "notice_preferences", "vector_similar_history", "text_conversations_newest_first",
 ]
 
