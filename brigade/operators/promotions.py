@@ -36,6 +36,19 @@ OFFERS = {
     "surplus_reduction": ("Chef's Special Feature", "Limited Time Creation"),
 }
 
+# Sign and urgency per dip level, texts of the dip offers in the order of their titles, and how long they run.
+DIP_SIGNS = {
+    "Critical": ("🚨", "Immediate action required"),
+    "High": ("⚠️", "Urgent attention needed"),
+    "Moderate": ("📊", "Monitor closely"),
+}
+DIP_DETAILS = (
+    "Limited time {discount} off on all menu items.\nValid only for {day}, drive immediate sales boost.",
+    "Buy any main course, get appetizer {discount} off.\nPerfect for increasing average order value.",
+    "Extended happy hour with {discount} off.\nBoost traffic during traditionally slow periods.",
+)
+DIP_DURATION = "24 hours"
+
 # Audience and channels per target category.
 AUDIENCE = {
     "premium": ("Fine dining enthusiasts", "Special occasion diners", "Food critics"),
@@ -55,13 +68,18 @@ def _pick(subject: Column, n: Column) -> Column:
     return (F.conv(F.substring(F.md5(subject), 1, 7), 16, 10).cast("bigint") % n + 1).cast("int")
 
 
+def _at(values: Column, place: Column) -> Column:
+    """Element at a place; null for a null place (element_at alone takes it for a number where no element is null)."""
+    return F.when(place.isNotNull(), F.element_at(values, place))
+
+
 def pick_offer(kind: Column, subject: Column) -> Column:
     """An offer title of the kind, chosen by a hash of the subject: the same on every run."""
     table = F.create_map(
         *[x for k, titles in OFFERS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in titles]))]
     )
     titles = table[kind]
-    return F.element_at(titles, _pick(subject, F.size(titles)))
+    return _at(titles, _pick(subject, F.size(titles)))
 
 
 def sales_dips(daily: DataFrame) -> DataFrame:
@@ -88,6 +106,36 @@ def sales_dips(daily: DataFrame) -> DataFrame:
     )
 
 
+def dip_suggestions(daily: DataFrame) -> DataFrame:
+    """A suggestion for every dip: reason, offer, its text with discount and day, and what may be recovered.
+
+    The offer is chosen by a hash of the day, so stores share the offer of a day. A dip without a date keeps its
+    severity, urgency, impact and duration; the texts that name the day are null.
+    """
+    day, severity = F.col("date").cast("string"), F.col("severity")
+    sign, urgency = (
+        F.create_map(*[F.lit(x) for level, pair in DIP_SIGNS.items() for x in (level, pair[i])])[severity] for i in (0, 1)
+    )
+
+    def places(name: str, n: int) -> Column:
+        return F.col(name).cast(f"decimal(38,{n})").cast("string")
+
+    text = _at(F.array(*[F.lit(x) for x in DIP_DETAILS]), _pick(day, F.lit(len(DIP_DETAILS))))
+    discount = F.concat(F.col("discount_pct").cast("string"), F.lit("%"))
+    details = F.replace(F.replace(text, F.lit("{discount}"), discount), F.lit("{day}"), day)
+    reason = F.concat(
+        sign, F.lit(" Sales on "), day, F.lit(" dropped by "), places("drop_pct", 1),
+        F.lit("% compared to daily average of $"), places("average", 2))
+    # amounts are shown with one place where the second one is zero
+    lost = F.regexp_replace(places("recoverable", 2), r"(\.\d)0$", "$1")
+    return sales_dips(daily).select(
+        *KEY, "date", F.concat(F.lit("All menu items (Low sales on "), day, F.lit(")")).alias("item"), "severity", reason.alias("reason"),
+        pick_offer(F.lit("dip"), day).alias("suggested_offer"), details.alias("offer_details"), urgency.alias("urgency_level"),
+        F.concat(F.lit("Potential to recover $"), lost, F.lit(" in lost revenue")).alias("estimated_impact"),
+        F.lit(DIP_DURATION).alias("recommended_duration"), severity.alias("implementation_priority"),
+    )
+
+
 def daypart(hour: Column | str) -> Column:
     h = F.col(hour) if isinstance(hour, str) else hour
     out = None

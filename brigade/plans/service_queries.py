@@ -250,6 +250,25 @@ def _(t):
     return promotions.sales_dips(_daily(t))
 
 
+@query("promo_dip_suggestions", DIPS + f"""
+, v_told AS (SELECT *, CAST(date AS VARCHAR) AS day, discount_pct || '%' AS discount,
+    (('0x' || substr(md5(CAST(date AS VARCHAR)), 1, 7))::BIGINT % 3 + 1)::INT AS pick FROM v_dip)
+SELECT {LOC}, day AS date, 'All menu items (Low sales on ' || day || ')' AS item, severity,
+       CASE severity WHEN 'Critical' THEN '🚨' WHEN 'High' THEN '⚠️' ELSE '📊' END || ' Sales on ' || day || ' dropped by '
+         || CAST(drop_pct AS DECIMAL(38,1)) || '% compared to daily average of $' || CAST(average AS DECIMAL(38,2)) AS reason,
+       ['Flash Sale Boost', 'Combo Value Deal', 'Happy Hour Extension'][pick] AS suggested_offer,
+       ['Limited time ' || discount || ' off on all menu items.' || chr(10) || 'Valid only for ' || day || ', drive immediate sales boost.',
+        'Buy any main course, get appetizer ' || discount || ' off.' || chr(10) || 'Perfect for increasing average order value.',
+        'Extended happy hour with ' || discount || ' off.' || chr(10) || 'Boost traffic during traditionally slow periods.'][pick] AS offer_details,
+       CASE severity WHEN 'Critical' THEN 'Immediate action required' WHEN 'High' THEN 'Urgent attention needed'
+         ELSE 'Monitor closely' END AS urgency_level,
+       'Potential to recover $' || regexp_replace(CAST(CAST(average - total_amount::DOUBLE AS DECIMAL(38,2)) AS VARCHAR), '(\\.\\d)0$', '\\1')
+         || ' in lost revenue' AS estimated_impact,
+       '24 hours' AS recommended_duration, severity AS implementation_priority FROM v_told""")
+def _(t):
+    return promotions.dip_suggestions(_daily(t)).withColumn("date", F.col("date").cast("string"))
+
+
 WEAK = """, v_ih AS (SELECT location_id, menu_item, hour, SUM(sub_revenue) AS revenue FROM v_items GROUP BY 1, 2, 3),
 v_ih2 AS (SELECT *, (SUM(revenue) OVER (PARTITION BY location_id, menu_item))::DOUBLE
                     / COUNT(*) OVER (PARTITION BY location_id, menu_item) AS mean FROM v_ih),

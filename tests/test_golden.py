@@ -162,6 +162,31 @@ def test_sales_dips(spark):
         (Decimal("60.00"), "Critical", 40.0), (Decimal("70.00"), "High", 30.0), (Decimal("80.00"), "Moderate", 20.0)]
 
 
+def test_dip_suggestions(spark):
+    days = [("L", dt.date(2024, 3, i + 1), Decimal(v)) for i, v in enumerate(["150", "59.5", "70", "79.75", "82", "169"])]
+    days += [("M", None, Decimal("10")), ("M", D, Decimal("190")), ("N", D, None), ("O", D, Decimal("0"))]
+    df = spark.createDataFrame(days, "location_id string, date date, total_amount decimal(18,2)")  # means: 101.71, 100, none, 0
+    got = {(r["location_id"], r["date"]): r for r in promotions.dip_suggestions(df).collect()}
+    assert {k: r["severity"] for k, r in got.items()} == {
+        ("L", dt.date(2024, 3, 2)): "Critical", ("L", dt.date(2024, 3, 3)): "High", ("L", dt.date(2024, 3, 4)): "Moderate", ("M", None): "Critical"}
+    r = got["L", dt.date(2024, 3, 2)]
+    assert r["item"] == "All menu items (Low sales on 2024-03-02)"
+    assert r["reason"] == "🚨 Sales on 2024-03-02 dropped by 41.5% compared to daily average of $101.71"
+    assert (r["urgency_level"], r["recommended_duration"], r["implementation_priority"]) == ("Immediate action required", "24 hours", "Critical")
+    assert r["estimated_impact"] == "Potential to recover $42.21 in lost revenue"
+    texts = {
+        "Flash Sale Boost": "Limited time {0} off on all menu items.\nValid only for {1}, drive immediate sales boost.",
+        "Combo Value Deal": "Buy any main course, get appetizer {0} off.\nPerfect for increasing average order value.",
+        "Happy Hour Extension": "Extended happy hour with {0} off.\nBoost traffic during traditionally slow periods."}
+    for (place, day), r in got.items():
+        if day:
+            assert r["offer_details"] == texts[r["suggested_offer"]].format({"Critical": "40%", "High": "30%", "Moderate": "20%"}[r["severity"]], day)
+    r = got["M", None]
+    assert r["estimated_impact"] == "Potential to recover $90.0 in lost revenue" and r["urgency_level"] == "Immediate action required"
+    assert [r[c] for c in ("item", "reason", "suggested_offer", "offer_details")] == [None] * 4
+    assert promotions.dip_suggestions(df.limit(0)).count() == 0
+
+
 def anomaly_sales(spark):
     data = [sale(f"n{i}", total="10.00", hour=12 + i % 3, employee="e1") for i in range(40)]
     data += [sale("big", total="1000.00", hour=13, employee="e2"), sale("night", total="10.00", hour=2, employee="e2"),
