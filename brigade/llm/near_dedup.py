@@ -160,8 +160,8 @@ def _shingles(nodes: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame
     return texts.mapInArrow(_features, "node binary, shingles binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Verified links (a, b, similarity) between nodes, enough of them to join every class."""
+def node_labels(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(node, label) of every node that is near to another one; the label is the smallest node of the class."""
     laid = signed.where("node IS NOT NULL").select("node", F.explode("bands").alias("key"))
     token = F.xxhash64("node")
     shared = laid.groupBy("key").agg(F.min(token).alias("lo"), F.max(token).alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo < hi")
@@ -181,9 +181,24 @@ def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         .dropDuplicates(["node"]), "sigs")
     shingles = settle(_shingles(sigs.select("node"), signed, docs), "shingles")
     agreeing, links = _compared(starred, sigs, shingles)
-    labels = components(links)
+    labels = settle(components(links), "labels")
     known = sigs.join(shingles, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return links.unionByName(settle(_unsettled(starred, agreeing, links, sigs, shingles, known), "more_links"))
+    return _merged(labels, settle(_unsettled(starred, agreeing, links, sigs, shingles, known), "more_links"))
+
+
+def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after further links: components of the classes that these join, not of all nodes again."""
+    edges = more.select("a", "b")
+    for side in ("a", "b"):
+        own = labels.select(F.col("node").alias(side), F.col("label").alias("_class"))
+        edges = edges.join(own, side, "left").withColumn(side, F.coalesce("_class", side)).drop("_class")
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    classes_ = components(edges).select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    joined = settle(classes_.join(sizes, "label", "left"), "joined")
+    moved = attach(labels, joined.where("_n IS NOT NULL"), ["label"], "left", weight="_n", spread_by=["node"])
+    # nodes that had no class before
+    alone = joined.where("_n IS NULL").select(F.col("label").alias("node"), F.col("_to").alias("label"))
+    return moved.select("node", F.coalesce("_to", "label").alias("label")).unionByName(alone)
 
 
 def _compared(starred: DataFrame, sigs: DataFrame, shingles: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -288,7 +303,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     docs = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
     signed = settle(docs.mapInArrow(_sign, f"id {id_type}, node binary, bands array<bigint>, sig binary"), "signed")
-    labels = settle(components(near_links(docs, signed)), "labels")
+    labels = settle(node_labels(docs, signed), "labels")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
     named = settle(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     whole = named.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_docs"), F.count(F.lit(1)).alias("_n"))

@@ -131,6 +131,16 @@ def test_further_centres_lose_no_link(spark, docs, monkeypatch):
     assert got == {i: want[k] for k, (i, _) in enumerate(rows)}
 
 
+def test_further_links_join_classes(spark):
+    """Two classes, two single nodes and a chain over them; links within a class change nothing."""
+    labels = spark.createDataFrame([("a", "a"), ("c", "a"), ("d", "d"), ("e", "d"), ("x", "x"), ("y", "x")], "node string, label string")
+    more = [("c", "e", 0.9), ("b", "e", 0.8), ("a", "c", 1.0), ("p", "q", 0.9)]
+    for rows, joined in ((more, {"b": "a", "d": "a", "e": "a", "p": "p", "q": "p"}), ([], {})):
+        got = near_dedup._merged(labels, spark.createDataFrame(rows, "a string, b string, similarity double")).collect()
+        want = {"a": "a", "c": "a", "d": "d", "e": "d", "x": "x", "y": "x"} | joined
+        assert len(got) == len(want) and {r["node"]: r["label"] for r in got} == want
+
+
 @pytest.mark.parametrize("others", [1, 40])
 def test_rows_laid_for_a_large_bucket(spark, others):
     """Few others among 20,000 members of one class: about one row a member, however the others lie."""
