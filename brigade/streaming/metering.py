@@ -1,33 +1,37 @@
 """Usage metering on a stream: accept or reject each engagement, alert near the limit, close cycles when their time is over.
 
-State is one counter for each user and cycle. Engagements of a micro-batch are counted in the order of their time and id, behind
+State is one counter for each user and cycle, kept together for the users of a bucket: a bucket and cycle is fetched and stored once a
+micro-batch, and its rows are numbered as frames, so that users cost no calls of their own. Engagements of a micro-batch are counted in the order of their time and id, behind
 all that came in earlier batches; so a log that arrives in the order of time gives what ``usage.metered`` gives on the whole log, and
 an engagement that comes late takes the next number. When the watermark passes the end of a cycle, a timer emits the cycle's
-counters and drops its state. Engagements of a closed cycle are rejected without a number.
+counters and drops their state. Engagements of a closed cycle are rejected without a number.
 
 A busy user's rows do not pile up in one task: of each Arrow batch only as many rows of a user and cycle as the limit allows are
-contenders, all later ones are over the limit for certain and are dealt out. Of the contenders a task holds no more than
-the limit at a time.
+contenders, all later ones are over the limit for certain and are dealt out. Of the contenders a task holds those within the
+limit, and HELD others at a time.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from brigade.functions.numbers import ratio
 from brigade.operators.spread import attach
 from brigade.operators.usage import ALERT_SHARE, DEFAULT_LIMIT, TOKENS_PER_ENGAGEMENT
 from brigade.streaming.state import rocksdb
 
 ENGAGEMENT, CYCLE = "engagement", "cycle"
 SPARE = 64  # tasks' worth of keys among which rows over the limit are dealt
+BUCKETS = 512  # groups of users, the same for the whole life of a checkpoint
+HELD = 200_000  # rows that are gathered before those over the limit go
 
 
 def with_cycles(log: DataFrame, cycles: DataFrame) -> DataFrame:
@@ -49,86 +53,89 @@ def _contenders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Meter(StatefulProcessor):
-    """Counter of a user and cycle."""
+    """Counters of the users of one bucket in one cycle."""
 
-    def __init__(self, tokens: int, alert_share: float) -> None:
-        self.tokens, self.alert_share = tokens, alert_share
+    def __init__(self, user: str) -> None:
+        self.user = user  # type of the users' ids
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.used = handle.getValueState("used", "used bigint")
-
-    def _row(self, r, number: int | None) -> Row:
-        """``number``: place in the cycle, none where the cycle is closed."""
-        limit = r["_limit"]
-        used = None if number is None else min(number, limit)
-        share = 0.0 if not used or not limit else used / limit
-        before = 0.0 if not number or not limit else (number - 1) / limit
-        accepted = number is not None and number <= limit
-        return Row(
-            kind=ENGAGEMENT, engagement_id=r["engagement_id"], user_id=r["user_id"], cycle_start=r["cycle_start"], engagements_used=used,
-            tokens_used=None if used is None else used * self.tokens, accepted=accepted, share_used=None if used is None else share,
-            alert=accepted and share >= self.alert_share and before < self.alert_share)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        user, cycle_start, ends, place = key
-        if user is None or cycle_start is None:
-            return  # such a row only moves the clock
+        self.used = handle.getValueState("used", f"users array<{self.user}>, used array<bigint>")
+
+    def _counters(self) -> dict:
+        known = self.used.get()
+        return dict(zip(known[0], known[1], strict=True)) if known else {}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        _, ends, _, place = key
         if ends <= timerValues.getCurrentWatermarkInMs():
-            for r in rows:
-                yield self._row(r, None)
+            for part in rows:
+                yield _told(part, 0)
             return
         if place:
-            for r in rows:
-                yield self._row(r, r["_limit"] + 1)
+            for part in rows:
+                yield _told(part, part["lim"] + 1)
             return
-        known = self.used.get()
-        used = known[0] if known else 0
-        if not known:
-            self.handle.registerTimer(ends)
-        first: list = []  # the earliest, the latest of them on top
-        room = seen = 0
-        for r in rows:
-            limit = r["_limit"]
-            room = max(limit - used, 0)
-            seen += 1
-            item = (-r["_at"], _Reversed(r["engagement_id"]), seen, r)
-            if len(first) < room:
-                heapq.heappush(first, item)
-            elif room:
-                yield self._row(heapq.heappushpop(first, item)[3], limit + 1)
-            else:
-                yield self._row(r, limit + 1)
-        for number, item in enumerate(sorted(first, reverse=True), used + 1):
-            yield self._row(item[3], number)
-        self.used.update((used + min(seen, room),))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        user, cycle_start, _, _ = key
-        known = self.used.get()
+        counters = self._counters()
+        if not counters:
+            self.handle.registerTimer(int(ends))
+        held, n = [], 0
+        for part in rows:
+            held.append(part)
+            n += len(part)
+            if n >= HELD:
+                first, over = _first(held, counters)
+                yield _told(over, over["lim"] + 1)
+                held, n = [first], 0
+        first, over = _first(held, counters)
+        if len(over):
+            yield _told(over, over["lim"] + 1)
+        yield _told(first, first["_used"] + first["_rank"] + 1)
+        now = {user: counters.get(user, 0) for part in (first, over) for user in part["user_id"].drop_duplicates().tolist()}
+        last = first.groupby("user_id", sort=False).size()
+        counters |= now | {user: now[user] + n for user, n in zip(last.index.tolist(), last.tolist(), strict=True)}
+        self.used.update((list(counters), list(counters.values())))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        counters = self._counters()
         self.used.clear()
-        if known:
-            yield Row(kind=CYCLE, engagement_id=None, user_id=user, cycle_start=cycle_start, engagements_used=known[0],
-                      tokens_used=known[0] * self.tokens, accepted=None, share_used=None, alert=None)
+        if counters:
+            n = len(counters)
+            yield pd.DataFrame({
+                "kind": CYCLE, "user_id": pd.Series(list(counters)), "cycle": int(key[0]), "engagement_id": pd.Series([None] * n, dtype=object), "known": False,
+                "lim": 0, "nth": pd.Series(list(counters.values()), dtype="int64")})
 
     def close(self) -> None:
         pass
 
 
-class _Reversed:
-    """Turns the order of an id around; none comes first in the usual order."""
+def _first(held: list[pd.DataFrame], counters: dict) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Of the rows of several users the earliest of each that still fit its limit, with their rank from 0, and the others."""
+    rows = pd.concat(held, ignore_index=True).sort_values(["user_id", "at", "known", "engagement_id"], kind="stable")
+    rows["_used"] = rows["user_id"].map(counters).fillna(0).astype("int64") if counters else 0
+    rows["_rank"] = rows.groupby("user_id", sort=False).cumcount()
+    fits = rows["_used"] + rows["_rank"] < rows["lim"]
+    return rows[fits], rows[~fits]
 
-    __slots__ = ("value",)
 
-    def __init__(self, value) -> None:
-        self.value = value
+def _told(rows: pd.DataFrame, nth) -> pd.DataFrame:
+    """Rows with their place in the cycle, 0 where the cycle is closed."""
+    return pd.DataFrame({"kind": ENGAGEMENT, **{c: rows[c] for c in ("user_id", "cycle", "engagement_id", "known", "lim")}, "nth": nth}, index=rows.index)
 
-    def __lt__(self, other: _Reversed) -> bool:
-        a, b = (other.value is not None, other.value), (self.value is not None, self.value)
-        return a[0] < b[0] or (a[0] == b[0] and a[0] and a[1] < b[1])
 
-    def __eq__(self, other: object) -> bool:
-        return self.value == other.value
+def _result(told: DataFrame, tokens: int, alert_share: float) -> DataFrame:
+    """The columns of ``decisions`` and ``closed_cycles`` from what ``Meter`` gives."""
+    nth, limit, cycle = F.col("nth"), F.col("lim"), F.col("kind") == CYCLE
+    number = F.when(nth > 0, nth)  # none where the cycle is closed
+    used = F.when(cycle, nth).when(number.isNotNull(), F.least(number, limit))  # least alone would skip the null
+    accepted = F.coalesce(number <= limit, F.lit(False))
+    share = F.when(number.isNotNull(), ratio(used, limit, 0.0))
+    before = ratio(number - 1, limit, 0.0)
+    alert = accepted & (share >= alert_share) & (before < alert_share)
+    return told.select(
+        "kind", F.when(F.col("known"), F.col("engagement_id")).alias("engagement_id"), "user_id", F.date_from_unix_date("cycle").alias("cycle_start"),
+        used.alias("engagements_used"), (used * tokens).alias("tokens_used"), F.when(~cycle, accepted).alias("accepted"),
+        F.when(~cycle, share).alias("share_used"), F.when(~cycle, alert).alias("alert"))
 
 
 def meter(
@@ -149,14 +156,20 @@ def meter(
         "engagement_id", "user_id", F.col("cycle_start").cast("date").alias("cycle_start"), ends.alias("_ends"), F.unix_micros("ts").alias("_at"),
         F.coalesce("_limit", F.lit(DEFAULT_LIMIT)).alias("_limit"), F.lit(0).alias("_place"))
     placed = rows.mapInArrow(_contenders, rows.schema)
+    # rows without a user have moved the clock by now; frames have no whole numbers beside nulls, so null ids are marked, and
+    # Spark makes named tuples of their rows, which lose names that begin with an underscore
+    identity, user = rows.schema["engagement_id"].dataType, rows.schema["user_id"].dataType
+    keyed = placed.where("user_id IS NOT NULL AND cycle_start IS NOT NULL").select(
+        F.unix_date("cycle_start").alias("cycle"), F.col("_ends").alias("ends"), F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.col("_place").alias("place"), "user_id", F.coalesce("engagement_id", F.lit("0").cast(identity)).alias("engagement_id"),
+        F.col("engagement_id").isNotNull().alias("known"), F.coalesce("_at", F.lit(-(1 << 63)).cast("long")).alias("at"), F.col("_limit").alias("lim"))
     out = T.StructType([
-        T.StructField("kind", T.StringType()), *[rows.schema[c] for c in ("engagement_id", "user_id", "cycle_start")],
-        *T.StructType.fromDDL("engagements_used bigint, tokens_used bigint, accepted boolean, share_used double, alert boolean").fields])
-    out = T.StructType([T.StructField(f.name, f.dataType, True) for f in out])
-    made = placed.groupBy("user_id", "cycle_start", "_ends", "_place").transformWithState(Meter(tokens, alert_share), out, "Update", "EventTime")
+        T.StructField("kind", T.StringType()), T.StructField("user_id", user), T.StructField("cycle", T.IntegerType()), T.StructField("engagement_id", identity),
+        T.StructField("known", T.BooleanType()), T.StructField("lim", T.LongType()), T.StructField("nth", T.LongType())])
+    made = keyed.groupBy("cycle", "ends", "bucket", "place").transformWithStateInPandas(Meter(user.simpleString()), out, "Update", "EventTime")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").partitionBy("kind").parquet(f"{table}/batch={number}")
+        _result(batch, tokens, alert_share).write.mode("overwrite").partitionBy("kind").parquet(f"{table}/batch={number}")
 
     with rocksdb(spark):
         return made.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(

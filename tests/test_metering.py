@@ -100,3 +100,18 @@ def test_cycles_of_subscriptions(spark):
     cycles = spark.createDataFrame([("a", "2025-01-01", "2025-02-01"), ("a", "2025-02-01", "2025-03-01")], "user_id string, cycle_start string, cycle_end string")
     got = rows(metering.with_cycles(log, cycles).select("engagement_id", F.col("cycle_start").cast("string")))
     assert got == [(1, "2025-01-01"), (2, "2025-02-01"), (4, None)]
+
+
+def test_one_call_for_the_users_of_a_bucket(spark):
+    """The state has a row for each bucket and cycle, not one for each user; each user keeps a counter and a limit of its own."""
+    src, table, ck = dirs("in", "table", "ck")
+    n = 2 * metering.BUCKETS
+    limits = spark.createDataFrame([(f"u{k}", k % 3) for k in range(n)], "user_id string, max_engagements bigint")
+    files = [[row(3 * k + i, f"u{k}", 2 + i, 600, WEEKS[0]) for k in range(n)] for i in range(3)]
+    files[1].append(row(None, "u1", 2, 700, WEEKS[0]))
+    feed(lambda: metering.meter(orders.read_stream(spark, src, LOG), limits, table, ck, delay="1 hour"), src, [files[0] + files[1], files[2]])
+    got = metering.decisions(spark, table)
+    assert rows(got, *COLUMNS) == rows(usage.metered(batch_log(spark, files), limits), *COLUMNS)
+    assert got.where("accepted").count() == n // 3 * 3
+    state = spark.read.format("statestore").option("stateVarName", "used").load(ck)
+    assert state.count() <= metering.BUCKETS
