@@ -135,3 +135,27 @@ def test_moments_far_from_zero_merge_exactly(spark):
     got = anomaly_history.amount_stats(anomaly_history.merge("location", each)).first()
     want = anomaly.amount_stats(df, "location_id").first()
     assert got["mean_amount"] == want["mean_amount"] and abs(got["std_amount"] / want["std_amount"] - 1) < 1e-6
+
+
+def test_a_folder_gets_few_files(spark):
+    """Rows are brought together by folder before a write: tasks do not put a file each into every folder."""
+    base = tempfile.mkdtemp(prefix="folders-")
+    rows_in = spark.range(400).select((F.col("id") % 5).alias("location_id"), (F.col("id") % 3).alias("order_date"), "id").repartition(20)
+    for k, write in enumerate((lambda p: sinks.replace_partitions(rows_in, p, ("location_id", "order_date")),
+                               lambda p: sinks.insert_new(rows_in, p, ["location_id", "order_date", "id"], ("location_id", "order_date")),
+                               lambda p: sinks.append_tagged(rows_in, p, "a.csv", ("location_id", "order_date")))):
+        write(f"{base}/{k}")
+        assert len(glob.glob(f"{base}/{k}/location_id=*/order_date=*/part-*")) == 15
+        assert spark.read.parquet(f"{base}/{k}").count() == 400
+
+
+def test_parts_of_orders_with_gaps(spark):
+    """Items without a name or quantity, null items, orders without items or time; taken out again nothing is left."""
+    data = [("L", "o1", [("Pie", 2, 1.0, 1.0), None, (None, None, 1.0, 1.0)], "2025-03-01 05:00:00", "3"), ("L", "o2", None, None, None), (None, "o3", [], "2025-03-01 05:10:00", "4")]
+    raw = spark.createDataFrame(data, "location_id string, order_id string, " + ORDERS[ORDERS.index("items") : ORDERS.index(", ingest")] + ", t string, total string")
+    some = raw.select("location_id", F.lit("2025-03-01").cast("date").alias("order_date"), F.col("t").cast("timestamp").alias("order_ts"), F.col("total").cast("decimal(18,2)").alias("total"), "items")
+    made = summaries.parts(some)
+    assert rows(made.select("location_id", "kind", "name", "rows", "quantity", F.col("amount").cast("double"))) == sorted([
+        ("L", "total", "", 1, 0, 3.0), ("L", "hour", "5", 1, 0, 3.0), ("L", "item", "Pie", 1, 2, 0.0), ("L", "item", "Unknown", 1, 0, 0.0), ("L", "item", "Unknown", 1, 0, 0.0),
+        ("L", "total", "", 1, 0, 0.0), (None, "total", "", 1, 0, 4.0), (None, "hour", "5", 1, 0, 4.0)], key=lambda r: tuple(map(str, r)))
+    assert summaries.merged(made.unionByName(summaries.parts(some, -1))).count() == 0
