@@ -68,3 +68,24 @@ def test_top_within_limits_before_the_shuffle(spark):
     df = spread.top_within(skewed(spark), ["k"], [F.col("v").desc(), F.col("id")], 3)
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
     assert df.where("k = 'hot'").count() == 3
+
+
+def test_pairs_of_location_and_part_are_found_by_tasks_of_few_lines(spark, monkeypatch):
+    """The number of tasks goes with the lines, also where their bytes would fit into one."""
+    import tempfile
+
+    from brigade.plans import views
+
+    base, dealt = tempfile.mkdtemp(prefix="menu-"), []
+    for name, rows_of in {
+        "lineitem": "SELECT id % 100 AS l_orderkey, id % 7 AS l_partkey FROM range(1000)", "orders": "SELECT id AS o_orderkey, id % 9 AS o_custkey FROM range(100)",
+        "customer": "SELECT id AS c_custkey, CAST(id % 3 AS INT) AS c_nationkey FROM range(9)",
+        "part": "SELECT id AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 't' AS p_type, CAST(id AS INT) AS p_size, 1.0D AS p_retailprice FROM range(7)",
+    }.items():
+        spark.sql(rows_of).write.parquet(f"{base}/{name}.parquet")
+    frame = type(spark.range(1))
+    plain = frame.repartition
+    monkeypatch.setattr(views, "TASK_LINES", 50)
+    monkeypatch.setattr(frame, "repartition", lambda df, n, *c: dealt.append((n, c)) or plain(df, n, *c))
+    assert views.Tables(spark, base).menu.count() == 21
+    assert (21, ("o_orderkey",)) in dealt
