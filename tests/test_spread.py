@@ -89,3 +89,56 @@ def test_pairs_of_location_and_part_are_found_by_tasks_of_few_lines(spark, monke
     monkeypatch.setattr(frame, "repartition", lambda df, n, *c: dealt.append((n, c)) or plain(df, n, *c))
     assert views.Tables(spark, base).menu.count() == 21
     assert (21, ("o_orderkey",)) in dealt
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_side_beyond_its_bound_is_not_broadcast(spark):
+    """Its file is small, so Spark alone would broadcast it."""
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="side-") + "/side"
+    spark.range(2000).selectExpr("id % 50 AS k", "repeat('x', 500) AS t").write.parquet(path)
+    side = spark.read.parquet(path)
+    fact = spark.range(300).selectExpr("IF(id % 7 = 0, NULL, id % 60) AS k", "id AS v")
+    for how in ("inner", "left"):
+        want = rows(fact.join(side, ["k"], how))
+        near, far = spread.beside(fact, side, ["k"], how), spread.beside(fact, side, ["k"], how, broadcast_bytes=1 << 20)
+        assert rows(near) == rows(far) == want
+        assert "BroadcastHashJoin" in plan_of(near) and "BroadcastHashJoin" not in plan_of(far)
+    assert rows(spread.beside(fact, side.limit(0), ["k"])) == []
+    for weight in (None, "n"):
+        far = spread.attach(fact, side.withColumn("n", F.lit(1)), ["k"], "left", weight=weight, broadcast_bytes=1 << 20)
+        assert rows(far.drop("n")) == want
+        # with a weight the few hot keys are broadcast, and nothing else
+        assert plan_of(far).count("BroadcastHashJoin") == (1 if weight else 0)
+
+
+def test_sales_and_menu_broadcast_no_large_part_customer_or_order_table(spark, monkeypatch):
+    import tempfile
+
+    from brigade.plans import views
+
+    base, plans = tempfile.mkdtemp(prefix="sides-"), []
+    for name, rows_of in {
+        "lineitem": """SELECT id % 101 AS l_orderkey, id % 8 AS l_partkey, id % 5 AS l_suppkey, 0.01D * (id % 9) AS l_discount,
+                       CAST(id AS DOUBLE) AS l_extendedprice FROM range(1000)""",
+        "orders": """SELECT IF(id = 3, NULL, id) AS o_orderkey, IF(id = 4, NULL, id % 10) AS o_custkey, 'P' AS o_orderstatus, 10.0D * id AS o_totalprice,
+                     DATE'2000-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(100)""",
+        "customer": "SELECT id % 8 AS c_custkey, 'n' AS c_name, CAST(id % 3 AS INT) AS c_nationkey, 'BUILDING' AS c_mktsegment FROM range(9)",
+        "part": """SELECT IF(id = 6, NULL, id % 5) AS p_partkey, 'n' || id AS p_name, 'b' AS p_brand, 't' AS p_type, CAST(id AS INT) AS p_size,
+                   1.0D AS p_retailprice FROM range(7)""",
+    }.items():
+        spark.sql(rows_of).write.parquet(f"{base}/{name}.parquet")
+    plain = views.settle
+    monkeypatch.setattr(views, "settle", lambda df, name: plans.append(plan_of(df)) or plain(df, name))
+    found = []
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(spread, "SIDE_BYTES", most)
+        t = views.Tables(spark, base)
+        found.append((rows(t.sales), rows(t.menu)))
+    assert found[0] == found[1] and all(found[0])
+    for plan in plans[2:]:
+        assert not any(f"BroadcastHashJoin [{key}#" in plan for key in ("l_partkey", "p_partkey", "o_custkey", "c_custkey", "o_orderkey"))
