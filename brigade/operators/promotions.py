@@ -190,7 +190,7 @@ def smart_targets(
     surplus = inventory.where(F.col("quantity") >= surplus_from).select(*KEY, "ingredient").distinct()
     # recipe lines of the candidates only: a list per item stays as short as its recipe
     lines = menu.select(*item, "ingredient").distinct().join(candidates.select(*item), item, "left_semi")
-    matched = lines.join(surplus, [*KEY, "ingredient"], "left_semi").groupBy(*item).agg(
+    matched = attach(lines, surplus, [*KEY, "ingredient"], "left_semi").groupBy(*item).agg(
         F.sort_array(F.collect_list("ingredient")).alias("surplus_ingredients")
     )
     joined = (

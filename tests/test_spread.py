@@ -142,3 +142,26 @@ def test_sales_and_menu_broadcast_no_large_part_customer_or_order_table(spark, m
     assert found[0] == found[1] and all(found[0])
     for plan in plans[2:]:
         assert not any(f"BroadcastHashJoin [{key}#" in plan for key in ("l_partkey", "p_partkey", "o_custkey", "c_custkey", "o_orderkey"))
+
+
+def test_a_large_surplus_is_not_broadcast(spark, monkeypatch):
+    import tempfile
+
+    from brigade.operators import promotions
+
+    path = tempfile.mkdtemp(prefix="stock-") + "/stock"
+    items = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "a")], "location_id int, menu_item string")
+    menu = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (1, "a", "y"), (1, "b", "z"), (2, "a", "x"), (None, "a", "x"), (1, "a", None)],
+                                 "location_id int, menu_item string, ingredient string")
+    stock = spark.createDataFrame([(1, "x", 2000.0), (1, "x", 1800.0), (1, "y", 1500.0), (1, "z", 1.0), (2, "y", 3000.0), (None, "x", 9000.0), (1, None, 9000.0)],
+                                  "location_id int, ingredient string, quantity double")
+    stock.write.parquet(path)
+    stock = spark.read.parquet(path)
+    want = [(1, "a", "x, y", "surplus_reduction"), (1, "b", "", "premium"), (2, "a", "", "popular"), (None, "a", "", "popular")]
+    for most in (spread.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(spread, "BROADCAST_BYTES", most)
+        got = promotions.smart_targets(items, items, items.where("menu_item = 'b'"), stock, menu)
+        told = got.select("location_id", "menu_item", F.array_join("surplus_ingredients", ", "), "category")
+        assert rows(told) == sorted(want, key=lambda r: tuple(map(str, r)))
+        if not most:
+            assert "ingredient" not in "".join(x for x in plan_of(got).splitlines() if "BroadcastHashJoin" in x)
