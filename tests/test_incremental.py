@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from brigade.operators import anomaly, anomaly_history, pos
+from brigade.plans import catalogue
 from brigade.sources import sinks
 from brigade.streaming import summaries, uploads
 from tests.conftest import rows
@@ -69,6 +70,53 @@ def test_summary_after_any_batches(spark, monkeypatch):
     assert flat(got)[0] == rows(pos.day_totals(latest).select("location_id", F.col("order_date").cast("string"), "total_orders", F.col("total_revenue").cast("double"), "average_order_value"))
 
 
+def test_rows_of_the_summary_are_saved_by_each_batch(spark, monkeypatch):
+    """Days that share a folder stay apart, and the saved rows follow the orders, also after a break behind any of the three writes."""
+    rnd, base = random.Random(2), tempfile.mkdtemp(prefix="incremental-")
+    table, sums, daily = f"{base}/orders", f"{base}/sums", f"{base}/daily"
+    batches = [order_rows(spark, rnd, 50, age, days) for age, days in ((4, (1, 2, 3)), (1, (2, 4)), (6, (3, 4)), (3, (1, 4)))]
+    write, left = sinks.replace_partitions, []
+
+    def breaks(df, path, by):
+        write(df, path, by)
+        if left and left.pop():
+            raise Broken
+
+    monkeypatch.setattr(sinks, "replace_partitions", breaks)
+    whole = None
+    for number, batch in enumerate(batches):
+        left[:] = [[], [True], [True, False], [True, False, False]][number]  # the last one says what the next write does
+        for _ in range(2):
+            try:
+                summaries.apply(batch, number, table, sums, partition_by=("location_id",), daily=daily)
+            except Broken:
+                summaries.apply(batch, number, table, sums, partition_by=("location_id",), daily=daily)
+        whole = batch if whole is None else whole.unionByName(batch)
+        latest = sinks.latest(whole, ["location_id", "order_id", "order_date"], ["ingest_ts"])
+        got = summaries.saved(spark, daily, whole.schema)
+        assert flat(got.where("location_id IS NOT NULL")) == flat(pos.daily_summary(latest.where("location_id IS NOT NULL")))
+        assert flat(got)[0] == rows(pos.day_totals(latest).select("location_id", F.col("order_date").cast("string"), "total_orders", F.col("total_revenue").cast("double"), "average_order_value"))
+    assert rows(spark.read.schema(ORDERS).parquet(table).select("order_id", F.col("ingest_ts").cast("string"))) == rows(latest.select("order_id", F.col("ingest_ts").cast("string")))
+    # the last batch brought nothing for the second and third day
+    marks = summaries.sums_of(spark, sums, whole.schema).where("kind = 'total'").groupBy(F.dayofmonth("order_date").alias("d")).agg(F.max("last_batch"))
+    assert rows(marks)[1:3] == [(2, 1), (3, 2)]
+
+
+def test_totals_of_the_stream_are_those_of_days(spark):
+    """Two days of one quarter are two rows, and orders without a date or total count as well."""
+    base = tempfile.mkdtemp(prefix="days-")
+    some = [(3, 1, "F", 5.0, "1998-02-01"), (4, 1, "F", 6.0, "1998-02-01"), (6, 2, "F", 7.0, "1998-02-02"), (7, 1, "F", 8.0, None), (9, 1, "F", None, "1997-12-31"), (10, 2, "F", 9.0, "1997-12-31")]
+    spark.createDataFrame(some, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string").write.parquet(f"{base}/orders.parquet")
+    spark.createDataFrame([(1, 5), (2, None)], "c_custkey long, c_nationkey int").write.parquet(f"{base}/customer.parquet")
+    spark.createDataFrame([(1, "Pie"), (2, "Tea")], "p_partkey long, p_name string").write.parquet(f"{base}/part.parquet")
+    lines = [(k, k % 2 + 1, 2.0, 3.0) for k in (3, 4, 6, 9)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double").write.parquet(f"{base}/lineitem.parquet")
+    got = catalogue.runnable("stream_daily_summary_totals")(spark, base)
+    assert rows(got, "location_id", "order_date", "total_orders", "total_revenue", "average_order_value") == sorted([
+        (5, "1998-02-01", 2, 11.0, 5.5), (5, None, 1, 8.0, 8.0), (5, "1997-12-31", 1, 0.0, 0.0), (None, "1998-02-02", 1, 7.0, 7.0), (None, "1997-12-31", 1, 9.0, 9.0)],
+        key=lambda r: tuple(map(str, r)))
+
+
 def test_untouched_days_are_not_read(spark):
     rnd, base = random.Random(3), tempfile.mkdtemp(prefix="incremental-")
     table, sums = f"{base}/orders", f"{base}/sums"
